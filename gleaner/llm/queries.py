@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import op9_canonical
 from .sharding import op10_ring
+from .urlfilter import OP2_SQL, op2_rangejoin
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_rangejoin": op2_rangejoin,
+        "op9_canonical": op9_canonical,
         "op10_ring": op10_ring,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_rangejoin": OP2_SQL}
