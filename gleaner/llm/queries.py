@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import op9_canonical
+from .packing import op4_largeitem
 from .sharding import op10_ring
 from .urlfilter import OP2_SQL, op2_rangejoin
 
@@ -16,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_rangejoin": op2_rangejoin,
+        "op4_largeitem": op4_largeitem,
         "op9_canonical": op9_canonical,
         "op10_ring": op10_ring,
     }
