@@ -72,3 +72,48 @@ def ascii_lower(text: Column) -> Column:
 def decimal_id(doc_id: Column) -> Column:
     """crc32 of the identifier written as decimal text."""
     return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+def worker_state(key: str, make):
+    """What a Python worker keeps from task to task (caches; never results)."""
+    import pyspark
+
+    store = pyspark.__dict__.setdefault("_gleaner_worker", {})
+    if key not in store:
+        store.clear()  # one model at a time
+        store[key] = make()
+    return store[key]
+
+
+def labelled_sample(df: DataFrame, label: str, key: str, per_label: int, seed: str) -> DataFrame:
+    """About ``per_label`` rows of each label (all, where there are fewer), chosen by
+    a hash of the key, so that neither the order nor the layout of rows matters."""
+    counts = df.groupBy(label).count()  # one row a label
+    share = counts.select(label, (F.lit(per_label * 1.0) / F.col("count")).alias("_share"))
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+    return df.join(F.broadcast(share), label).filter(place < F.col("_share")).drop("_share")
+
+
+def fit_logistic(x, y, ridge: float = 1.0, steps: int = 40):
+    """Weights of a logistic regression by damped Newton steps (numpy arrays)."""
+    import numpy as np
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, z).sum() - (y * z).sum() + 0.5 * ridge * (w @ w)
+
+    w = np.zeros(x.shape[1])
+    now = loss(w)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (y - p) - ridge * w
+        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        step = np.linalg.solve(hess, grad)
+        size = 1.0
+        while size > 1e-4 and loss(w + size * step) > now:
+            size /= 2
+        new = loss(w + size * step)
+        if size <= 1e-4 or now - new < 1e-9 * max(1.0, now):
+            break
+        w, now = w + size * step, new
+    return w

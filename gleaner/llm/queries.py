@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import op9_canonical
+from .langid import op1_kneserney
 from .packing import op4_largeitem
+from .quality import op5_bradleyterry
 from .sharding import op10_ring
 from .urlfilter import OP2_SQL, op2_rangejoin
 
@@ -16,8 +18,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_kneserney": op1_kneserney,
         "op2_rangejoin": op2_rangejoin,
         "op4_largeitem": op4_largeitem,
+        "op5_bradleyterry": op5_bradleyterry,
         "op9_canonical": op9_canonical,
         "op10_ring": op10_ring,
     }
