@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .fingerprints import op9_canonical
 from .langid import op1_kneserney
 from .packing import op4_largeitem
+from .pii import op3_boosting
 from .quality import op5_bradleyterry
 from .sharding import op10_ring
 from .urlfilter import OP2_SQL, op2_rangejoin
@@ -20,6 +21,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_kneserney": op1_kneserney,
         "op2_rangejoin": op2_rangejoin,
+        "op3_boosting": op3_boosting,
         "op4_largeitem": op4_largeitem,
         "op5_bradleyterry": op5_bradleyterry,
         "op9_canonical": op9_canonical,
