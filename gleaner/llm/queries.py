@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op7_positional
 from .fingerprints import op9_canonical
 from .langid import op1_kneserney
 from .packing import op4_largeitem
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op3_boosting": op3_boosting,
         "op4_largeitem": op4_largeitem,
         "op5_bradleyterry": op5_bradleyterry,
+        "op7_positional": op7_positional,
         "op9_canonical": op9_canonical,
         "op10_ring": op10_ring,
     }
