@@ -80,7 +80,8 @@ def worker_state(key: str, make):
 
     store = pyspark.__dict__.setdefault("_gleaner_worker", {})
     if key not in store:
-        store.clear()  # one model at a time
+        while len(store) > 64:  # the oldest go first
+            del store[next(iter(store))]
         store[key] = make()
     return store[key]
 

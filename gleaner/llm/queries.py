@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op7_positional
 from .fingerprints import op9_canonical
+from .jaccard import op8_pigeonhole
 from .langid import op1_kneserney
 from .packing import op4_largeitem
 from .pii import op3_boosting
@@ -26,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op4_largeitem": op4_largeitem,
         "op5_bradleyterry": op5_bradleyterry,
         "op7_positional": op7_positional,
+        "op8_pigeonhole": op8_pigeonhole,
         "op9_canonical": op9_canonical,
         "op10_ring": op10_ring,
     }
