@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op7_positional
 from .fingerprints import op9_canonical
+from .htmltext import op6_hostpaths
 from .jaccard import op8_pigeonhole
 from .langid import op1_kneserney
 from .packing import op4_largeitem
@@ -26,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op3_boosting": op3_boosting,
         "op4_largeitem": op4_largeitem,
         "op5_bradleyterry": op5_bradleyterry,
+        "op6_hostpaths": op6_hostpaths,
         "op7_positional": op7_positional,
         "op8_pigeonhole": op8_pigeonhole,
         "op9_canonical": op9_canonical,
