@@ -18,6 +18,8 @@ frequent length nor the whole table meets in one task.
 from __future__ import annotations
 
 import bisect
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,15 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, shuffle_partitions, table
+from .common import materialize, shuffle_partitions, table, worker_state
 
 CAPACITY = 2048
-#: Words that a task keeps the ids of, before it starts anew.
-CACHE_WORDS = 400_000
+#: Letter runs and marks whose ids a worker keeps, before it starts anew.
+CACHE_PIECES = 800_000
+#: How the tokenizer parts text before it merges: letters, single digits, other marks.
+ASCII_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9\s]+")
+LETTER_PIECES = re.compile(r"[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 
 
-class WordIds(dict):
-    """The ids, as little-endian bytes, of each white-space free piece of text."""
+class PieceIds(dict):
+    """The ids, as little-endian bytes, of each piece of text that was seen."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -45,24 +50,43 @@ class WordIds(dict):
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join([x.to_bytes(4, "little") for x in ids])
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_PIECES:
             self.clear()
-        out = self.encode(word)
-        if len(word) <= 64:
-            self[word] = out
+        out = self.encode(piece)
+        if len(piece) <= 64:
+            self[piece] = out
         return out
 
     def text(self, text: str) -> bytes:
         """As the tokenizer encodes the whole text.
 
-        The tokenizer drops white space and never joins characters across it,
-        so a text's ids are its words' ids in order.  Texts with characters that
-        only Python counts as white space are encoded as they are.
+        It drops white space, lower-cases, and never merges across the pieces
+        above, so a text's ids are its pieces' ids in order.  Apostrophes (which
+        may part contractions), "<|" (special tokens) and non-ASCII characters
+        other than letters send the words that have them to the tokenizer as
+        they are; characters that only Python counts as white space, the text.
         """
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        if plain(text):
+            return self.pieces(text)
+        return b"".join([self.pieces(w) if plain(w) else self[w] for w in text.split()])
+
+    def pieces(self, text: str) -> bytes:
+        found = ASCII_PIECES.findall(text.lower()) if text.isascii() else LETTER_PIECES.findall(text)
+        return b"".join(map(self.__getitem__, found))
+
+
+def plain(text: str) -> bool:
+    if "'" in text or "<|" in text:
+        return False
+    return text.isascii() or all(c < "\x80" or only_letters(c) for c in set(text))
+
+
+def only_letters(c: str) -> bool:
+    """A letter, and still letters once it is lower-cased and composed."""
+    return c.isalpha() and unicodedata.normalize("NFC", c.lower()).isalpha()
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text",
@@ -72,7 +96,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text:
     kind = df.schema[key].dataType.simpleString()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(tokenizer_path)
+        ids = worker_state(f"pieces {tokenizer_path}", lambda: PieceIds(tokenizer_path))
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             keys, piece, start, length, crc = [], [], [], [], []
