@@ -214,11 +214,11 @@ def i9_index_stats(spark, d):
     return I.index_stats(postings(spark, d))
 
 
-@query("""WITH s AS (SELECT o_custkey AS segment_id, (sum(o_totalprice))::BIGINT AS size_bytes FROM orders GROUP BY 1),
+@query("""WITH s AS (SELECT o_custkey AS segment_id, sum(floor(o_totalprice)::BIGINT)::BIGINT AS size_bytes FROM orders GROUP BY 1),
 r AS (SELECT *, sum(size_bytes) OVER (ORDER BY size_bytes, segment_id ROWS UNBOUNDED PRECEDING) AS running, row_number() OVER (ORDER BY size_bytes, segment_id) AS rank FROM s)
 SELECT segment_id, size_bytes, running::BIGINT AS running, rank::INT AS rank FROM r WHERE running <= 5000000 AND rank <= 10""")
 def i14_select_segments(spark, d):
-    seg = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("segment_id")).agg(F.round(F.sum("o_totalprice")).cast("long").alias("size_bytes"))
+    seg = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("segment_id")).agg(F.sum(F.floor("o_totalprice")).alias("size_bytes"))
     return I.select_segments(seg, 5_000_000)
 
 
