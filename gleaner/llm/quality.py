@@ -161,15 +161,18 @@ def score_quality(df: DataFrame, model: Ranker, text: str = "text", score: str =
     return df.mapInArrow(run, schema)
 
 
-def labelled_documents(spark, sf_dir: str) -> DataFrame:
-    """The documents that may be learnt from, with their labels."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(F.pmod(decimal_id(F.col("doc_id")), F.lit(5)) != 0)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+def labelled_documents(docs: DataFrame, labels: DataFrame, texts_per_label: int = TEXTS_PER_LABEL) -> DataFrame:
+    """Documents that may be learnt from, with their labels: those whose crc32 isn't
+    divisible by 5.  The labels are sampled first, so that they (and no text) are
+    what is sent around."""
+    may = labels.select("doc_id", "quality").filter(F.pmod(decimal_id(F.col("doc_id")), F.lit(5)) != 0).filter("quality is not null")
+    few = labelled_sample(may, "quality", "doc_id", texts_per_label, "quality")
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # about texts_per_label rows a label
 
 
 def op5_bradleyterry(spark, sf_dir: str) -> DataFrame:
-    model = train_ranker(labelled_documents(spark, sf_dir))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_ranker(labelled_documents(docs, table(spark, sf_dir, "labels")))
     return score_quality(docs, model).select(
         "doc_id", (F.pmod(decimal_id(F.col("doc_id")), F.lit(5)) == 0).alias("held_out"), "score",
         (F.col("score") >= CUT).cast("int").alias("predicted"))
