@@ -48,21 +48,18 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     shuffle and a group of any size costs one row a task.  Null and empty texts
     are one group; null keys take part and are never a group_id unless alone.
     """
-    prints = fingerprint(df.select(key, text), text, "_fp").select(key, "_fp", F.col(text).alias("_t"))
-    many = prints.groupBy("_fp").count().filter("count > 1").select("_fp")
-    byte_groups = (
-        prints.join(many, "_fp", "left_semi")
+    canon = canonical(F.col(text))
+    prints = materialize(df.select(key, wide_hash(canon).alias("_fp"), F.sha2(canon.cast("binary"), 256).alias("_sha")))
+    many = materialize(prints.groupBy("_fp").count().filter("count > 1").select("_fp"))
+    tagged = (
+        df.select(key, wide_hash(canon).alias("_fp"), F.col(text).alias("_t"))
+        .join(many, "_fp", "left_semi")
         .withColumn("_bytes", canonical(F.col("_t")).cast("binary"))
         .groupBy("_fp", "_bytes").agg(F.min(key).alias("group_id"), F.count("*").alias("n_copies"))
+        .select("_fp", F.sha2("_bytes", 256).alias("_sha"), "group_id", "n_copies")
     )
-    # within a bucket the byte groups are numbered; nearly always there is one
-    tagged = byte_groups.select("_fp", F.sha2("_bytes", 256).alias("_sha"), "group_id", "n_copies")
-    return (
-        prints.withColumn("_sha", F.sha2(canonical(F.col("_t")).cast("binary"), 256))
-        .join(tagged, ["_fp", "_sha"], "left")
-        .select(key, F.col("_fp").alias("fingerprint"), F.coalesce("group_id", key).alias("group_id"),
-                F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
-    )
+    return prints.join(tagged, ["_fp", "_sha"], "left").select(
+        key, F.col("_fp").alias("fingerprint"), F.coalesce("group_id", key).alias("group_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -81,10 +78,10 @@ def _order_buckets(df: DataFrame, key: str) -> tuple[Column, int]:
     k = F.col(key)
     bounds = F.split(F.lit(",".join(map(str, knots))), ",").cast("array<bigint>")
     i = F.size(F.filter(bounds, lambda b: b <= k))  # 0: below the first knot
-    lo = F.get(bounds, i - 1)
-    width = F.coalesce(F.get(bounds, i), lo) - lo
+    lo = F.get(bounds, i - 1).cast("double")
+    width = F.coalesce(F.get(bounds, i).cast("double"), lo) - lo
     step = F.when((i == 0) | (width <= 0), F.lit(0)).otherwise(
-        F.floor((k - lo).cast("double") * sub / width).cast("int"))
+        F.floor((k.cast("double") - lo) * sub / width).cast("int"))
     return i * sub + F.least(step, F.lit(sub - 1)), (len(knots) + 1) * sub
 
 
@@ -133,10 +130,11 @@ def op9_canonical(spark, sf_dir: str) -> DataFrame:
         .withColumn("fingerprint", wide_hash(canonical(F.col("text"))))
         .withColumn("edited_fingerprint", wide_hash(canonical(F.col("edited"))))
     )
+    groups = exact_groups(docs).select("doc_id", "group_id", "n_copies")
     return out.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-    )
+    ).join(groups, "doc_id", "left")
