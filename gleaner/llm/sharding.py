@@ -14,6 +14,8 @@ arc, and the arcs outnumber the shuffle partitions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -118,7 +120,8 @@ def bounded_ring_shards(df: DataFrame, key: str = "doc_id", n_shards: int = 24,
     if slack is None:
         capacity = {s: total // n_shards + (s < total % n_shards) for s in range(n_shards)}
     else:
-        capacity = {s: int(-(-total * (1 + slack) // n_shards)) for s in range(n_shards)}
+        most = math.ceil(round(total * (1 + slack) / n_shards, 6))
+        capacity = {s: most for s in range(n_shards)}
     runs = overflow_plan(counts, points, capacity)
     by_arc: dict[int, list] = {}
     for arc, a, b, shard, slot in runs:
