@@ -133,12 +133,18 @@ def duplicate_pairs(files: DataFrame, threshold: float = 0.8, n: int = 3) -> Dat
     groups = sets.groupBy("s").agg(F.min("file_path").alias("rep"), F.count("*").alias("files"))
     inside = sets.join(groups.filter("files > 1"), "s").filter("file_path <> rep").select(
         F.col("rep").alias("file_a"), F.col("file_path").alias("file_b"), F.lit(1.0).alias("similarity"))
-    items = groups.select("rep", F.size("s").alias("n"), F.explode("s").alias("x"))
-    a, b = items.alias("a"), items.alias("b")
-    both = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.rep") < F.col("b.rep"))).groupBy(
-        F.col("a.rep").alias("file_a"), F.col("b.rep").alias("file_b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).count()
-    sim = F.col("count") / (F.col("na") + F.col("nb") - F.col("count"))
-    return both.withColumn("similarity", F.round(sim, 6)).filter(F.col("similarity") >= threshold).select("file_a", "file_b", "similarity").unionByName(inside)
+    # rarest shingles first: sets that overlap enough share one of their first few
+    seen = groups.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("times"))
+    ordered = groups.select("rep", F.explode("s").alias("x")).join(seen, "x").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("times", "x"))).alias("o"))
+    n_first = F.size("o") - F.ceil(F.size("o") * threshold).cast("int") + 1
+    first = ordered.select("rep", F.explode(F.slice(F.col("o"), F.lit(1), n_first)).alias("y")).select("rep", "y.x")
+    a, b = first.alias("a"), first.alias("b")
+    pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.rep") < F.col("b.rep"))).select(
+        F.col("a.rep").alias("file_a"), F.col("b.rep").alias("file_b")).distinct()
+    full = pairs.join(groups.select(F.col("rep").alias("file_a"), F.col("s").alias("sa")), "file_a").join(groups.select(F.col("rep").alias("file_b"), F.col("s").alias("sb")), "file_b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    sim = F.round(both / (F.size("sa") + F.size("sb") - both), 6)
+    return full.withColumn("similarity", sim).filter(F.col("similarity") >= threshold).select("file_a", "file_b", "similarity").unionByName(inside)
 
 
 def halstead(files: DataFrame) -> DataFrame:

@@ -82,9 +82,9 @@ def most_imported(edges: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def graph_stats(files: DataFrame, edges: DataFrame) -> DataFrame:
-    n = files.agg(F.count("*").alias("nodes"))
-    e = edges.agg(F.count("*").alias("edges"), F.countDistinct("src").alias("importing"), F.countDistinct("dst").alias("imported"))
-    return n.crossJoin(e)  # one row each
+    none = F.lit(None).cast("string")
+    rows = files.select(F.lit(1).alias("node"), none.alias("src"), none.alias("dst")).unionByName(edges.select(F.lit(None).cast("int").alias("node"), "src", "dst"))
+    return rows.agg(F.count("node").alias("nodes"), F.count("src").alias("edges"), F.countDistinct("src").alias("importing"), F.countDistinct("dst").alias("imported"))
 
 
 def shared_dependencies(imports: DataFrame, repo: str = "repo_id") -> DataFrame:

@@ -638,11 +638,9 @@ def s6_minhash(spark, d):
     return S.minhash(_repo_shingles(spark, d), "repo", 16)
 
 
-@query(f"""WITH {SIGN_SQL} SELECT a.repo AS a, b.repo AS b, len([i for i in range(1, 17) if a.signature[i] = b.signature[i]]) / 16.0 AS similarity FROM sig a JOIN sig b ON a.repo < b.repo""")
+@query(f"""WITH {SIGN_SQL} SELECT a.repo AS a, b.repo AS b, len([i for i in range(1, 17) if a.signature[i] = b.signature[i]]) / 16.0 AS similarity FROM sig a JOIN sig b ON a.repo < b.repo AND a.signature <> b.signature WHERE len([i for i in range(1, 17) if a.signature[i] = b.signature[i]]) >= 4""")
 def s7_estimate(spark, d):
-    s = S.minhash(_repo_shingles(spark, d), "repo", 16)
-    a, b = s.select(F.col("repo").alias("a"), F.col("signature").alias("sa")), s.select(F.col("repo").alias("b"), F.col("signature").alias("sb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", S.estimate(F.col("sa"), F.col("sb")).alias("similarity"))
+    return S.similarity_edges(S.minhash(_repo_shingles(spark, d), "repo", 16), "repo", 0.25, 16)
 
 
 @query(f"""WITH sh AS (SELECT DISTINCT repo, unnest({WORDS_SQL}) AS s FROM @code), n AS (SELECT repo, count(*) AS n FROM sh GROUP BY 1),
