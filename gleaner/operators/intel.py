@@ -148,3 +148,53 @@ def assignments(files: DataFrame) -> DataFrame:
 def deduplicate(defs: DataFrame) -> DataFrame:
     w = W.partitionBy("file_path", "name", "kind", "line").orderBy("line")
     return defs.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def signatures(files: DataFrame, width: int = 200) -> DataFrame:
+    """Rows (file_path, line, name, signature) of functions: up to the next ``{``, or
+    else ``:``, or else 100 characters; white space squeezed, cut to ``width``."""
+    defs = symbols(files).filter("kind = 'function'")
+    line = code_lines(files).select("file_path", "line", F.trim("text").alias("t"))
+    brace, colon = F.instr("t", "{"), F.instr("t", ":")
+    cut = F.when(brace > 0, brace - 1).when(colon > 0, colon - 1).otherwise(100)
+    return defs.join(line, ["file_path", "line"]).select(
+        "file_path", "line", "name", F.substring(F.trim(F.regexp_replace(F.substring(F.col("t"), F.lit(1), cut), r"\s+", " ")), 1, width).alias("signature"))
+
+
+def doc_comments(files: DataFrame, most: int = 10) -> DataFrame:
+    """Rows (file_path, line, name, comment): the comment lines right above a symbol."""
+    marks = r"^\s*(#|//|/\*|\*)"
+    ls = F.split("content", "\n")
+    above = F.reverse(F.slice(F.col("ls"), F.greatest(F.col("line") - most, F.lit(1)), F.least(F.col("line") - 1, F.lit(most))))
+    start = F.struct(F.array().cast("array<string>").alias("got"), F.lit(False).alias("stop"))
+
+    def step(s, x):
+        comment = F.rlike(x, F.lit(marks)) & ~s["stop"]
+        return F.struct(F.when(comment, F.array_append(s["got"], F.trim(x))).otherwise(s["got"]).alias("got"), (~comment).alias("stop"))
+
+    got = F.aggregate(F.when(F.col("line") > 1, above).otherwise(F.array().cast("array<string>")), start, step, lambda s: F.array_join(F.reverse(s["got"]), "\n"))
+    return symbols(files).join(files.select("file_path", ls.alias("ls")), "file_path").select("file_path", "line", "name", got.alias("comment")).filter("comment <> ''")
+
+
+def hover(points: DataFrame, blocks: DataFrame, files: DataFrame) -> DataFrame:
+    """The innermost block at each (file_path, at_line), with its signature."""
+    sig = signatures(files).select("file_path", "line", "signature")
+    return enclosing(points, blocks).join(sig, ["file_path", "line"], "left")
+
+
+def combined_search(files: DataFrame, query: str, search=None) -> DataFrame:
+    """``struct:"..."``, ``lang:``, ``file:`` (a glob) and words in one query; words must all occur."""
+    struct = re.search(r'struct:"([^"]*)"', query)
+    rest = query.replace(struct.group(), "") if struct else query
+    out = files
+    for word in rest.split():
+        if word.startswith("lang:"):
+            out = out.filter(F.lower("language") == word[5:].lower())
+        elif word.startswith("file:"):
+            glob = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in word[5:])
+            out = out.filter(F.rlike("file_path", F.lit(f"^{glob}$")))
+        else:
+            out = out.filter(F.contains(F.lower("content"), F.lit(word.lower())))
+    if struct:
+        return structural_search(out, struct.group(1)).select("file_path", "line", "match")
+    return out.select("file_path", F.lit(1).alias("line"), F.lit("").alias("match"))

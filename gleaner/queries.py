@@ -713,6 +713,78 @@ def k22_shard_stats(spark, d):
     return e.rollup("shard").agg(F.count("*").alias("messages"), F.round(F.sum("value"), 2).alias("total")).select(F.coalesce("shard", F.lit(-1)).alias("shard"), "messages", "total")
 
 
+# -- more of each group ------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {SYMBOLS_SQL} SELECT s.file_path, s.line, s.name, substr(trim(regexp_replace(substr(trim(t), 1, CASE WHEN instr(trim(t), '{{') > 0 THEN instr(trim(t), '{{') - 1 WHEN instr(trim(t), ':') > 0 THEN instr(trim(t), ':') - 1 ELSE 100 END), '\\s+', ' ', 'g')), 1, 200) AS signature
+  FROM symbols s JOIN lines l USING (file_path, line) WHERE s.kind = 'function'""")
+def t2_signatures(spark, d):
+    return X.signatures(code(spark, d))
+
+
+@query()
+def t3_doc_comments(spark, d):
+    return X.doc_comments(code(spark, d))
+
+
+@query()
+def t12_hover(spark, d):
+    files = code(spark, d)
+    points = X.code_lines(files).filter(F.contains("text", F.lit("return"))).select("file_path", F.col("line").alias("at_line"))
+    return X.hover(points, X.scopes(files), files)
+
+
+@query()
+def t15_assignments(spark, d):
+    return X.assignments(code(spark, d))
+
+
+@query(r"""SELECT file_path, unnest(regexp_extract_all(content, '(?s)for (.+?) in range\((\d+(?:\.\d+)?)\)')) AS match FROM @code WHERE language = 'python' AND contains(lower(content), 'todo')""")
+def q11_combined_search(spark, d):
+    return X.combined_search(code(spark, d), 'struct:"for :[x] in range(:[n:number])" lang:python file:src/*.py todo').select("file_path", "match")
+
+
+@query("SELECT vec_id, round(CASE WHEN vec_id % 2 = 0 THEN array_cosine_similarity(embedding::DOUBLE[64], list_reverse(embedding)::DOUBLE[64]) ELSE 1 END, 6) AS score FROM embeddings")
+def v2_cosine(spark, d):
+    e = F.col("embedding")
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.when(F.col("vec_id") % 2 == 0, R.cosine(e, F.reverse(e))).otherwise(R.cosine(e, e)), 6).alias("score"))
+
+
+@query("SELECT p_partkey, concat('0x', substr(h, 7, 2), substr(h, 5, 2), substr(h, 3, 2), substr(h, 1, 2))::BIGINT AS h FROM (SELECT p_partkey, sha256(concat('42:', p_name)) AS h FROM part)")
+def s5_seeded_hash(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.seeded_hash(F.col("p_name"), F.lit(42)).alias("h"))
+
+
+@query("SELECT (concat('0x', substr(md5(user_id::VARCHAR), 1, 8))::BIGINT % 4)::INT AS partition, count(*) AS messages, max(event_id) AS end_offset FROM events GROUP BY 1")
+def k9_topic_counts(spark, d):
+    return table(spark, d, "events").groupBy(S.hash_shard(F.col("user_id"), 4).alias("partition")).agg(F.count("*").alias("messages"), F.max("event_id").alias("end_offset"))
+
+
+@query("SELECT (user_id % 4) AS partition, max(event_id) - coalesce(max(CASE WHEN user_id % 4 < 3 AND event_id % 7 = 0 THEN event_id END), 0) AS lag FROM events GROUP BY 1")
+def k13_lag(spark, d):
+    from gleaner.streaming.jobs import lag
+
+    e = table(spark, d, "events").withColumn("partition", F.col("user_id") % 4)
+    return lag(e.groupBy("partition").agg(F.max("event_id").alias("end_offset")), e.filter("partition < 3 and event_id % 7 = 0").groupBy("partition").agg(F.max("event_id").alias("offset")))
+
+
+@query(r"""SELECT doc_id, regexp_extract_all(t, '(?s)```\w*\n(.*?)```', 1) AS blocks, regexp_extract_all(t, '(?m)^\s*\d+[.)]\s+(.+)$', 1) AS items
+FROM (SELECT doc_id, concat('Try:', chr(10), '1. run it', chr(10), '2) read it', chr(10), '```', language, chr(10), content, chr(10), '```') AS t FROM @code)""")
+def k26_blocks(spark, d):
+    t = F.concat(F.lit("Try:\n1. run it\n2) read it\n```"), F.col("language"), F.lit("\n"), F.col("content"), F.lit("\n```"))
+    return code(spark, d).withColumn("t", t).select("doc_id", T.code_blocks(F.col("t")).alias("blocks"), T.numbered_items(F.col("t")).alias("items"))
+
+
+@query("SELECT event_type AS query, user_id AS doc_id, count(*) AS hits FROM events GROUP BY ALL HAVING count(*) >= 3")
+def v11_query_counters(spark, d):
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("query"), F.col("user_id").alias("doc_id")).agg(F.count("*").alias("hits")).filter("hits >= 3")
+
+
+@query()
+def s11_ingest_order(spark, d):
+    return S.ingest_order(S.spanning_tree(S.jaccard_edges(_repo_shingles(spark, d), "repo", 0.05)))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
