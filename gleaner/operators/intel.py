@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _TYPED = {"identifier": r"[a-zA-Z_]\w*", "string": r"""(?:"[^"]*"|'[^']*')""", "number": r"\d+(?:\.\d+)?"}
-_HOLE = re.compile(r":\[(?:(~)?([^\]:]*))(?::(identifier|string|number))?\]|\.\.\.")
+_HOLE = re.compile(r":\[~((?:[^\[\]\\]|\\.|\[[^\]]*\])*)\]|:\[([^\]:~]*)(?::(identifier|string|number))?\]|\.\.\.")
 KEYWORDS = ("False None True and as assert async await break class continue def del elif else except finally for from global if import in is "
             "lambda nonlocal not or pass raise return try while with yield function var let const new this typeof export default").split()
 #: Patterns of symbols by language, one capture group each.
@@ -36,9 +36,9 @@ def compile_pattern(pattern: str) -> tuple[str, list[str]]:
         last = m.end()
         if m.group() == "...":
             out.append(".*?")
-        elif m.group(1):
-            out.append(f"({m.group(2)})")
-            names.append("~" + m.group(2))
+        elif m.group(1) is not None:
+            out.append(f"({m.group(1)})")
+            names.append("~" + m.group(1))
         else:
             out.append(f"({_TYPED.get(m.group(3), '.+?')})")
             names.append(m.group(2))
