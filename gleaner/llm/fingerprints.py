@@ -130,11 +130,10 @@ def op9_canonical(spark, sf_dir: str) -> DataFrame:
         .withColumn("fingerprint", wide_hash(canonical(F.col("text"))))
         .withColumn("edited_fingerprint", wide_hash(canonical(F.col("edited"))))
     )
-    groups = exact_groups(docs).select("doc_id", "group_id", "n_copies")
     return out.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-    ).join(groups, "doc_id", "left")
+    )
