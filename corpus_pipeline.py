@@ -20,6 +20,8 @@ from gleaner.llm.pii import redact
 from gleaner.llm.quality import CUT, labelled_documents, score_quality, train_ranker
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Pieces of text whose ids a worker keeps: fewer than on its own, as workers live through all stages.
+CACHE_PIECES = 250_000
 #: Share of a document's words inside benchmark windows from which all of it goes.
 CONTAMINATED = 0.0
 
@@ -53,7 +55,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048: see ``gleaner.llm.packing``."""
-    return pack_documents(docs, default_tokenizer())
+    return pack_documents(docs, default_tokenizer(), cache_pieces=CACHE_PIECES)
 
 
 STAGES = [

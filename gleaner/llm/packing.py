@@ -41,17 +41,17 @@ LETTER_PIECES = re.compile(r"[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 class PieceIds(dict):
     """The ids, as little-endian bytes, of each piece of text that was seen."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
 
     def encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join([x.to_bytes(4, "little") for x in ids])
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
+        if len(self) >= self.limit:
             self.clear()
         out = self.encode(piece)
         if len(piece) <= 64:
@@ -90,13 +90,13 @@ def only_letters(c: str) -> bool:
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text",
-                 capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+                 capacity: int = CAPACITY, end_id: int = 0, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Rows (key, piece, start, length, ids_crc32): each text's ids and ``end_id``,
     cut into pieces of ``capacity``.  A null text has just ``end_id``."""
     kind = df.schema[key].dataType.simpleString()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = worker_state(f"pieces {tokenizer_path}", lambda: PieceIds(tokenizer_path))
+        ids = worker_state(f"pieces {tokenizer_path} {cache_pieces}", lambda: PieceIds(tokenizer_path, cache_pieces))
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             keys, piece, start, length, crc = [], [], [], [], []
@@ -225,10 +225,11 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, sp
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
+                   cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Tokenizes and packs; see :func:`token_pieces` and :func:`pack`.  Null keys
     and repeated rows keep their own pieces; no rows give no rows."""
-    pieces = materialize(token_pieces(docs, tokenizer_path, key, text, capacity))
+    pieces = materialize(token_pieces(docs, tokenizer_path, key, text, capacity, cache_pieces=cache_pieces))
     return pack(pieces, "length", capacity, [key, "piece", "ids_crc32"])
 
 
