@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, shuffle_partitions, table, worker_state
@@ -36,7 +37,6 @@ from .common import discard, materialize, shuffle_partitions, table, worker_stat
 SHINGLE = 5
 #: The threshold, as a fraction of whole numbers: intersection * DEN >= union * NUM.
 NUM, DEN = 75, 100
-CACHE_WORDS = 600_000
 #: Layouts tried: no segment allows a deletion, every one, or one in so many.
 DELETION_STEPS = (0, 1, 2, 8)
 #: Standard deviations of slack in the number of filled segments.
@@ -53,30 +53,74 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-class _Words(dict):
-    """Hash of each word seen, for as long as the table is small."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-def shingle_set(text: str | None, words: _Words, size: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; words are split at ASCII white
-    space, A-Z lower-cased.  A shorter text is one shingle, none without words."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    if len(words) > CACHE_WORDS:
-        words.clear()
-    h = np.array(list(map(words.__getitem__, parts)), np.uint64)
-    k = min(size, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = mix(out ^ h[i: len(h) - k + 1 + i], i + 1)
-    return np.unique(out)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_STEPS = mix(np.arange(1, 65, dtype=np.uint64), 9) | np.uint64(1)
+#: Bytes of text that are hashed at once.
+CHUNK = 2_000_000
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of a buffer, eight bytes of each at a time."""
+    low = _LOWER[np.frombuffer(data + b" " * 16, np.uint8)]
+    white = _WHITE[low]
+    edge = np.flatnonzero(np.concatenate([[True], white[:-1]]) != white)
+    if not white[0]:
+        starts, ends = edge[0::2], edge[1::2]
+    else:
+        edge = edge[1:] if len(edge) and edge[0] == 0 and white[0] else edge
+        starts, ends = edge[0::2], edge[1::2]
+    n = ends - starts
+    eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+    h = n.astype(np.uint64)
+    at, k = np.arange(len(n)), 0
+    while len(at):
+        left = np.minimum(n[at] - k, 8).astype(np.uint64)
+        block = eight[starts[at] + k] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left))
+        h[at] = mix(h[at] ^ block, k + 1)
+        k += 8
+        at = at[n[at] > k]
+    return starts, h
+
+
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[list[np.ndarray]]:
+    """For chunks of texts, each one's sorted hashes of distinct shingles.  Words are
+    split at ASCII white space, A-Z lower-cased; a text with fewer words is one
+    shingle, a text without words has none."""
+    chunk, held = [], 0
+    for t in texts:
+        chunk.append((t or "").encode("utf-8", "surrogatepass"))
+        held += len(chunk[-1])
+        if held >= CHUNK:
+            yield _chunk_sets(chunk, size)
+            chunk, held = [], 0
+    if chunk:
+        yield _chunk_sets(chunk, size)
+
+
+def _chunk_sets(chunk: list[bytes], size: int) -> list[np.ndarray]:
+    starts, h = word_hashes(b" ".join(chunk))
+    ends = np.cumsum([len(c) + 1 for c in chunk])
+    last = np.searchsorted(starts, ends)
+    first = np.concatenate([[0], last[:-1]])
+    whole = np.zeros(max(0, len(h) - size + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size):
+            whole += h[i: i + len(whole)] * _STEPS[i]
+    whole = mix(whole, size)
+    out = []
+    for a, b in zip(first.tolist(), last.tolist()):
+        if b - a >= size:
+            x = np.sort(whole[a: b - size + 1])
+            out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
+        elif b > a:
+            with np.errstate(over="ignore"):
+                out.append(mix((h[a:b] * _STEPS[: b - a]).sum(keepdims=True), b - a))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 # -- layouts ------------------------------------------------------------------
@@ -129,52 +173,69 @@ class Layout:
         # a lone shingle is shared far sooner than several: it costs as four more hashes
         return (float((hashes + 4 * single).mean()), every, lo, publish)
 
-    def signatures(self, s: np.ndarray) -> tuple[np.ndarray, int]:
-        """Hashes of the published segments, and the weight they carry."""
-        q = int(self.publish[len(s) - self.low])
-        with np.errstate(over="ignore"):
-            seg = (mix(s, 77 + self.band) >> np.uint64(32)) * np.uint64(self.segments) >> np.uint64(32)
-        use = seg < q
-        seg, tok = seg[use].astype(np.int64), mix(s[use], 5)
-        order = np.argsort(seg, kind="stable")
-        seg, tok = seg[order], tok[order]
-        if not len(seg):
-            return np.zeros(0, np.uint64), 0
-        first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-        with np.errstate(over="ignore"):
-            total = np.add.reduceat(tok, first)
-            ids = seg[first]
-            out = [mix(total ^ mix(ids.astype(np.uint64), 1000 + self.band))]
-            weight = len(ids)
-            if self.every:
-                sizes = np.diff(np.concatenate([first, [len(seg)]]))
-                del_seg = (ids % self.every == 0) & (sizes >= 2)
-                weight += int(del_seg.sum())
-                rep = np.repeat(np.arange(len(ids)), sizes)
-                which = del_seg[rep]
-                rest = total[rep[which]] - tok[which]
-                out.append(mix(rest ^ mix(seg[which].astype(np.uint64), 1000 + self.band)))
-        return np.unique(np.concatenate(out)), weight
-
 
 def layout(band: int) -> Layout:
     return worker_state(f"layout {band}", lambda: Layout(band))
 
 
-def published(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(hashes, which of them are of the set's own band, surplus of weight there)."""
-    n = len(s)
-    if n < DEN // (DEN - NUM) - 1:  # smaller sets match nothing but themselves
-        return np.zeros(0, np.uint64), np.zeros(0, bool), 0
-    band = n.bit_length() - 1
-    own = layout(band)
-    sig, weight = own.signatures(s)
-    surplus = weight - int(Layout.need(n))
-    flags = np.ones(len(sig), bool)
-    if band and -(-n * NUM // DEN) < own.low:
-        more, _ = layout(band - 1).signatures(s)
-        sig, flags = np.concatenate([sig, more]), np.concatenate([flags, np.zeros(len(more), bool)])
-    return sig, flags, surplus
+def _segment_hashes(sets: list[np.ndarray], bands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, which set each is of, weight by set) under the layouts of ``bands``.
+
+    A segment's content is the sum of its mixed shingles; sums are taken in four
+    16-bit parts, which are exact, so nothing is sorted."""
+    made = [layout(int(b)) for b in bands]
+    sizes = np.array([len(s) for s in sets])
+    m = np.array([x.segments for x in made], np.uint64)
+    q = np.array([x.publish[n - x.low] for x, n in zip(made, sizes)], np.int64)
+    every = np.array([x.every for x in made], np.int64)
+    base = np.concatenate([[0], np.cumsum(q)])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    flat = np.concatenate(sets)
+    salt = mix(bands.astype(np.uint64), 77)
+    with np.errstate(over="ignore"):
+        seg = ((mix(flat ^ salt[owner]) >> np.uint64(32)) * m[owner] >> np.uint64(32)).astype(np.int64)
+        use = seg < q[owner]
+        seg, owner, tok = seg[use], owner[use], mix(flat[use], 5)
+        slot = base[owner] + seg
+        count = np.bincount(slot, minlength=base[-1])
+        total = np.zeros(base[-1], np.uint64)
+        for shift in (0, 16, 32, 48):
+            part = (tok >> np.uint64(shift)) & np.uint64(0xFFFF)
+            total += np.bincount(slot, part, minlength=base[-1]).astype(np.uint64) << np.uint64(shift)
+        full = np.flatnonzero(count)
+        of = np.searchsorted(base, full, "right") - 1
+        name = mix((full - base[of]).astype(np.uint64) ^ salt[of], 3)
+        sig, who = [mix(total[full] ^ name)], [of]
+        weight = np.bincount(of, minlength=len(sets))
+        if every.any():
+            step = np.maximum(every, 1)
+            twice = (every[of] > 0) & ((full - base[of]) % step[of] == 0) & (count[full] >= 2)
+            weight = weight + np.bincount(of[twice], minlength=len(sets))
+            rare = (every[owner] > 0) & (seg % step[owner] == 0) & (count[slot] >= 2)
+            sig.append(mix((total[slot[rare]] - tok[rare]) ^ mix(seg[rare].astype(np.uint64) ^ salt[owner[rare]], 3)))
+            who.append(owner[rare])
+    return np.concatenate(sig), np.concatenate(who), weight
+
+
+def published(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, which set, whether of the set's own band, surplus of weight by set).
+    Sets too small to match anything but themselves publish nothing."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    surplus = np.zeros(len(sets), np.int64)
+    ids = np.flatnonzero(sizes >= DEN // (DEN - NUM) - 1)
+    if not len(ids):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), surplus
+    bands = np.array([int(n).bit_length() - 1 for n in sizes[ids]])
+    sig, who, weight = _segment_hashes([sets[i] for i in ids], bands)
+    surplus[ids] = weight - Layout.need(sizes[ids])
+    out, owner, own = [sig], [ids[who]], [np.ones(len(sig), bool)]
+    low = (bands > 0) & (-(-sizes[ids] * NUM // DEN) < (1 << bands))
+    if low.any():
+        sig, who, _ = _segment_hashes([sets[i] for i in ids[low]], bands[low] - 1)
+        out.append(sig)
+        owner.append(ids[low][who])
+        own.append(np.zeros(len(sig), bool))
+    return np.concatenate(out), np.concatenate(owner), np.concatenate(own), surplus
 
 
 def class_of(s: np.ndarray, seed: int) -> tuple[int, int]:
@@ -185,109 +246,132 @@ def class_of(s: np.ndarray, seed: int) -> tuple[int, int]:
 # -- passes over the documents -------------------------------------------------
 
 
-def _words() -> _Words:
-    return worker_state("shingles", _Words)
-
-
 def _classes(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words()
         for batch in batches:
-            n, c, check, surplus = [], [], [], []
-            for t in batch.column(1):
-                s = shingle_set(t.as_py(), words)
-                a, b = class_of(s, seed)
-                n.append(len(s))
-                c.append(a)
-                check.append(b)
-                surplus.append(published(s)[2] if len(s) else 0)
+            n, c, check = [], [], []
+            for sets in shingle_sets(batch.column(1).to_pylist()):
+                for s in sets:
+                    a, b = class_of(s, seed)
+                    n.append(len(s))
+                    c.append(a)
+                    check.append(b)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(check, pa.int64()), pa.array(surplus, pa.int32())],
-                names=[key, "n", "c", "chk", "surplus"])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(check, pa.int64())], names=[key, "n", "c", "chk"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long, c long, chk long, surplus int")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long, c long, chk long")
 
 
-PAIR = np.dtype([("sig", "<u8"), ("c", "<i8")])
+#: 40 bits of a hash (beside its bucket; what they confuse, verification parts) and a class.
+PAIR = np.dtype([("hi", "u1"), ("lo", "<u4"), ("c", "<i8")])
 
 
 def _publications(docs: DataFrame, text: str, seed: int, buckets: int) -> DataFrame:
-    """Rows (bucket, data): packed (hash, class) pairs, many a row; the lowest bit
-    of a hash tells whether it is of the set's own band."""
+    """Rows (bucket, data, surplus): packed (hash, class) pairs, many a row.  The
+    lowest bit of a hash tells whether it is of the set's own band.  Rows with
+    ``surplus`` have (surplus, class) pairs instead, dealt by class."""
 
-    def flush(sig, c):
+    def deal(sig, c, bucket, surplus):
         pairs = np.empty(len(sig), PAIR)
-        pairs["sig"], pairs["c"] = sig, c
-        b = (sig >> np.uint64(40)) % np.uint64(buckets)
-        order = np.argsort(b, kind="stable")
-        pairs, b = pairs[order], b[order]
-        cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
-        ends = np.concatenate([cut[1:], [len(b)]]) if len(b) else cut
+        pairs["hi"], pairs["lo"], pairs["c"] = (sig >> np.uint64(32)) & np.uint64(0xFF), sig & np.uint64(0xFFFFFFFF), c
+        order = np.argsort(bucket, kind="stable")
+        pairs, bucket = pairs[order], bucket[order]
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = np.concatenate([cut[1:], [len(bucket)]])
         return pa.RecordBatch.from_arrays(
-            [pa.array(b[cut].astype(np.int32)), pa.array([pairs[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())],
-            names=["bucket", "data"])
+            [pa.array(bucket[cut].astype(np.int32)), pa.array([pairs[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()), pa.array(np.full(len(cut), surplus))],
+            names=["bucket", "data", "surplus"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sigs, cs, held = _words(), [], [], 0
+        held: list[list] = [[], [], [], []]
+
+        def flush():
+            sig, c, extra, known = [np.concatenate(x) for x in held]
+            for x in held:
+                x.clear()
+            if len(sig):
+                yield deal(sig, c, ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), False)
+            if len(known):
+                yield deal(extra, known, (mix(known.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), True)
+
         for batch in batches:
-            for t in batch.column(0):
-                s = shingle_set(t.as_py(), words)
-                sig, own, _ = published(s)
-                if not len(sig):
-                    continue
-                sigs.append((sig & ~np.uint64(1)) | own.astype(np.uint64))
-                cs.append(np.full(len(sig), class_of(s, seed)[0], np.int64))
-                held += len(sig)
-                if held > 3_000_000:
-                    yield flush(np.concatenate(sigs), np.concatenate(cs))
-                    sigs, cs, held = [], [], 0
-        if held:
-            yield flush(np.concatenate(sigs), np.concatenate(cs))
-
-    return docs.select(text).mapInArrow(run, "bucket int, data binary")
+            for sets in shingle_sets(batch.column(0).to_pylist()):
+                c = np.array([class_of(s, seed)[0] for s in sets], np.int64)
+                sig, who, own, surplus = published(sets)
+                held[0].append((sig & ~np.uint64(1)) | own.astype(np.uint64))
+                held[1].append(c[who])
+                some = np.array([len(s) > 0 for s in sets], bool)
+                held[2].append((surplus[some] + (1 << 20)).astype(np.uint64))
+                held[3].append(c[some])
+                if sum(map(len, held[0])) > 2_000_000:
+                    yield from flush()
+        if held[0]:
+            yield from flush()
+
+    return docs.select(text).mapInArrow(run, "bucket int, data binary, surplus boolean")
 
 
 def _shared(pubs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (sig, c, own, k, hub) of hashes that more than one class published."""
+    """Rows (sig, c, own, k) of hashes that more than one class published, k of them;
+    and, with k = 0, a row for each class with its surplus in ``sig``."""
+
+    def rows(b, sig, c, own, k):
+        for i in range(0, len(sig), 100_000):
+            j = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sig[j].astype(np.int64)), pa.array(c[j]), pa.array(own[j]), pa.array(k[j].astype(np.int64))], names=["sig", "c", "own", "k"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list] = {}
+        by: dict[tuple[int, bool], list] = {}
         for batch in batches:
-            for b, d in zip(batch.column(0).to_pylist(), batch.column(1)):
-                by.setdefault(b, []).append(np.frombuffer(d.as_buffer(), PAIR))
-        for b in sorted(by):
-            pairs = np.concatenate(by.pop(b))
-            sig, own, c = pairs["sig"] & ~np.uint64(1), (pairs["sig"] & np.uint64(1)).astype(bool), pairs["c"]
-            order = np.lexsort((~own, c, sig))
+            for b, d, extra in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                by.setdefault((b, extra), []).append(np.frombuffer(d.as_buffer(), PAIR))
+        for b, extra in sorted(by):
+            pairs = np.concatenate(by.pop((b, extra)))
+            code = (pairs["hi"].astype(np.uint64) << np.uint64(32)) | pairs["lo"].astype(np.uint64)
+            c = pairs["c"].astype(np.int64)
+            if extra:
+                c, first = np.unique(c, return_index=True)
+                none = np.zeros(len(c), np.int64)
+                yield from rows(b, code[first].astype(np.int64) - (1 << 20), c, none.astype(bool), none)
+                continue
+            sig, own = code >> np.uint64(1), (code & np.uint64(1)).astype(bool)
+            order = np.argsort(sig, kind="stable")
+            same = sig[order]
+            near = np.concatenate([same[1:] == same[:-1], [False]])
+            order = order[near | np.concatenate([[False], near[:-1]])]  # only hashes that occur again
+            order = order[np.lexsort((~own[order], c[order], sig[order]))]
             sig, own, c = sig[order], own[order], c[order]
-            first = np.concatenate([[True], (sig[1:] != sig[:-1]) | (c[1:] != c[:-1])])
+            first = np.concatenate([[True], (sig[1:] != sig[:-1]) | (c[1:] != c[:-1])]) if len(sig) else np.zeros(0, bool)
             sig, own, c = sig[first], own[first], c[first]
-            head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
             k = np.diff(np.concatenate([head, [len(sig)]]))
-            rep = np.repeat(np.arange(len(head)), k)
-            many = k[rep] > 1
-            for i in range(0, int(many.sum()), 100_000):
-                at = np.flatnonzero(many)[i: i + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig[at].view(np.int64)), pa.array(c[at]), pa.array(own[at]), pa.array(k[rep[at]].astype(np.int64)), pa.array(c[head][rep[at]])],
-                    names=["sig", "c", "own", "k", "hub"])
+            times = np.repeat(k, k)
+            many = times > 1
+            yield from rows(b, (sig[many].astype(np.int64) * buckets) + b, c[many], own[many], times[many])
+
+    return pubs.repartition(max(1, buckets // 8), "bucket").mapInArrow(run, "sig long, c long, own boolean, k long")
 
-    return pubs.repartition(buckets // 8, "bucket").mapInArrow(run, "sig long, c long, own boolean, k long, hub long")
+
+#: Representatives up to which their ids are sent to every executor.
+BROADCAST_ROWS = 200_000
 
 
 def _sets(docs: DataFrame, key: str, text: str, seed: int, wanted: DataFrame) -> DataFrame:
     """Rows (c, s): the packed shingles of the classes' representatives."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([class_of(s, seed)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "s"])
+            for sets in shingle_sets(batch.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([class_of(s, seed)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "s"])
 
-    return docs.select(key, text).join(wanted, key, "left_semi").select(text).mapInArrow(run, "c long, s binary")
+    ids = materialize(wanted.distinct())
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    # rows that repeat a representative's key give its class once
+    return docs.select(key, text).join(few, key, "left_semi").select(text).mapInArrow(run, "c long, s binary").dropDuplicates(["c"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -341,29 +425,26 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(now.select(F.col("v").alias("c"), F.col("v").alias("root")).distinct())
 
 
-def _uneven_links(docs: DataFrame, text: str, seed: int, sets: np.ndarray, owner: np.ndarray, sizes: dict[int, int]) -> DataFrame:
+def _uneven_links(docs: DataFrame, text: str, seed: int, tokens: np.ndarray, owner: np.ndarray, sizes: dict[int, int]) -> DataFrame:
     """Links of a block of sets, given as sorted shingles with their classes, to all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast((sets, owner, sizes))  # at most BLOCK_SHINGLES, and a set
+    shared = docs.sparkSession.sparkContext.broadcast((tokens, owner, sizes))  # at most BLOCK_SHINGLES, and a set
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, who, n = shared.value
-        words = _words()
         for batch in batches:
             a, b = [], []
-            for t in batch.column(0):
-                s = shingle_set(t.as_py(), words)
-                if not len(s):
-                    continue
-                lo, hi = np.searchsorted(tokens, s), np.searchsorted(tokens, s, "right")
-                hit = np.flatnonzero(hi > lo)
-                if not len(hit):
-                    continue
-                found, times = np.unique(np.concatenate([who[lo[i]: hi[i]] for i in hit]), return_counts=True)
-                mine = class_of(s, seed)[0]
-                for f, k in zip(found.tolist(), times.tolist()):
-                    if f != mine and k * DEN >= (n[f] + len(s) - k) * NUM:
-                        a.append(f)
-                        b.append(mine)
+            for sets in shingle_sets(batch.column(0).to_pylist()):
+                for s in sets:
+                    lo, hi = np.searchsorted(tokens, s), np.searchsorted(tokens, s, "right")
+                    hit = np.flatnonzero(hi > lo)
+                    if not len(hit):
+                        continue
+                    found, times = np.unique(np.concatenate([who[lo[i]: hi[i]] for i in hit]), return_counts=True)
+                    mine = class_of(s, seed)[0]
+                    for f, k in zip(found.tolist(), times.tolist()):
+                        if f != mine and k * DEN >= (n[f] + len(s) - k) * NUM:
+                            a.append(f)
+                            b.append(mine)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return docs.select(text).mapInArrow(run, "a long, b long").distinct()
@@ -380,59 +461,85 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     for seed in range(8):
         members = materialize(_classes(docs, key, text, seed))
-        classes = materialize(members.groupBy("c").agg(
-            F.min(key).alias("rep"), F.max("n").alias("n"), F.max("surplus").alias("surplus"), (F.min("chk") != F.max("chk")).alias("clash")))
+        classes = materialize(members.groupBy("c").agg(F.min(key).alias("rep"), F.max("n").alias("n"), (F.min("chk") != F.max("chk")).alias("clash")))
         if not classes.filter("clash").limit(1).count():
             break
         discard(members, classes)  # two sets of one class number: number them anew
     buckets = 8 * shuffle_partitions(spark)
     shared = materialize(_shared(_publications(docs, text, seed, buckets), buckets))
-    wanted = shared.select("c").distinct().join(classes, "c").select(F.col("rep").alias(key))
-    sets = materialize(_sets(docs, key, text, seed, wanted))
-    # each class and the hub with which it shares most
-    hubs = shared.filter("c <> hub").groupBy("c", "hub").count().groupBy("c").agg(F.max(F.struct("count", "hub")).alias("x"))
-    tried = materialize(hubs.select(F.col("x.hub").alias("a"), F.col("c").alias("b")))
+    surplus = shared.filter("k = 0").select("c", F.col("sig").alias("surplus"))
+    asked = materialize(_asked(shared.filter("k > 1"), surplus))
+    reps = classes.select("c", F.col("rep").alias(key))
+    sets = materialize(_sets(docs, key, text, seed, asked.select("c").distinct().join(reps, "c").select(key)))
+    # each class and the hub with which it shares most; a hash's hub is one that asks
+    hub = asked.filter("asks").groupBy("sig").agg(F.min("c").alias("hub"))
+    met = asked.join(hub, "sig").filter("c <> hub").groupBy("c", "hub").count()
+    tried = materialize(met.groupBy("c").agg(F.max(F.struct("count", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("c").alias("b")))
     links = materialize(_verified(tried, sets))
-    uneven = classes.filter("surplus < 0 and n > 0")
-    extra = _block_links(docs, key, text, seed, uneven)
+    extra = _block_links(docs, key, text, seed, surplus.filter("surplus < 0").join(classes, "c"))
     if extra is not None:
         links = materialize(links.unionByName(extra))
     roots = materialize(components(links))
-    # what still joins different components
-    labelled = shared.join(roots, "c", "left").select("sig", "c", "own", "k", F.coalesce("root", "c").alias("root"))
+    # classes under hashes that still join different components: their rarest shingles decide
+    labelled = asked.join(roots, "c", "left").select("sig", "c", F.coalesce("root", "c").alias("root"))
     split = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-    rest = materialize(labelled.join(split, "sig"))
-    pairs = _open_pairs(rest, classes).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = materialize(labelled.join(split, "sig", "left_semi").select("c", "root").distinct())
+    pairs = _rarest_pairs(sets, rest).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = materialize(_verified(pairs, sets))
     if more.limit(1).count():
-        # roots stand for their classes: the links among them are few
-        name = lambda side: more.join(roots.select(F.col("c").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(
-            side, F.coalesce(f"r{side}", side)).drop(f"r{side}")
-        more_ends = name("a")
-        more_ends = more_ends.join(roots.select(F.col("c").alias("b"), F.col("root").alias("rb")), "b", "left").select("a", F.coalesce("rb", "b").alias("b"))
-        upper = components(more_ends).select(F.col("c").alias("root"), F.col("root").alias("top"))
-        single = more.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(roots, "c", "left_anti").select("c", F.col("c").alias("root"))
-        roots = materialize(roots.unionByName(single).join(upper, "root", "left").select("c", F.coalesce("top", "root").alias("root")))
+        roots = materialize(components(links.select("a", "b").unionByName(more)))
     labels = classes.join(roots, "c", "left").select("c", "n", "rep", F.coalesce("root", "c").alias("root"))
     best = labels.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialize(labels.join(best, "root").select("c", "component_id"))
-    discard(shared, sets, tried, rest)
+    discard(shared, asked, sets, tried, rest)
     empty = F.col("n") == 0
     return members.join(named, "c", "left").select(
         key, F.col("n").alias("n_shingles"), F.when(empty, F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _open_pairs(rest: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes in different components under one hash.  A class gives up
-    as many of its most crowded hashes as its surplus allows; a pair needs one
-    side that hasn't given the hash up."""
-    from pyspark.sql import Window as W
+def _asked(shared: DataFrame, surplus: DataFrame) -> DataFrame:
+    """Rows (sig, c, asks) of hashes that some class asks to be looked at.
 
-    order = W.partitionBy("c").orderBy(F.desc("k"), "sig")
-    own = rest.filter("own").withColumn("_i", F.row_number().over(order)).join(classes.select("c", "surplus"), "c")
-    asks = own.filter("_i > surplus").select("sig", F.col("c").alias("x"), F.col("root").alias("rx"))
-    met = asks.join(rest.select("sig", F.col("c").alias("y"), F.col("root").alias("ry")), "sig").filter("rx <> ry")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    A class gives up as many of its most crowded hashes as its surplus of weight
+    allows, and asks for the rest of its own band; the pigeonhole then still
+    holds for it, and a pair needs only one side that asks."""
+    order = W.partitionBy("c").orderBy(F.desc("own"), F.desc("k"), "sig")
+    ranked = shared.withColumn("_i", F.row_number().over(order)).join(surplus, "c")
+    # hashes of one class are a set's segments: a group is as large as a document
+    asks = ranked.select("sig", "c", (F.col("own") & (F.col("_i") > F.greatest("surplus", F.lit(0)))).alias("asks"))
+    wanted = asks.groupBy("sig").agg(F.bool_or("asks").alias("any")).filter("any").select("sig")
+    return asks.join(wanted, "sig", "left_semi")
+
+
+def _rarest_pairs(sets: DataFrame, rest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the classes ``rest`` (c, root) in different components that may
+    be similar, by the finest partition: a shingle a segment, cheapest first.
+
+    Sets that are similar share one of the n - ceil(0.75 n) + 1 shingles of each
+    that the fewest of these classes have.  Passages that many share come last,
+    so sets that share nothing else do not meet."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, root, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                t = np.frombuffer(s.as_buffer(), np.int64)
+                for i in range(0, len(t), 100_000):
+                    part = t[i: i + 100_000]
+                    k = len(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(part), pa.array(np.full(k, c)), pa.array(np.full(k, root)), pa.array(np.full(k, len(t)))], names=["t", "c", "root", "n"])
+
+    one = rest.join(sets, "c").select("c", "root", "s").mapInArrow(run, "t long, c long, root long, n long")
+    often = one.withColumn("times", F.count("*").over(W.partitionBy("t"))).filter("times > 1")
+    w = W.partitionBy("c")  # a group is a document's shingles
+    ranked = often.withColumns({"i": F.row_number().over(w.orderBy("times", "t")), "many": F.count("*").over(w)})
+    # the shingles that no other class has come before these
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(NUM) / F.lit(DEN)) + 1 - (F.col("n") - F.col("many"))
+    few = ranked.filter(F.col("i") <= first).select("t", "c", "root", "n")
+    x = few.select("t", F.col("c").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    y = few.select("t", F.col("c").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    like = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
+    return x.join(y, "t").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & like).select("a", "b").distinct()
 
 
 def _block_links(docs: DataFrame, key: str, text: str, seed: int, uneven: DataFrame) -> DataFrame | None:
@@ -442,7 +549,7 @@ def _block_links(docs: DataFrame, key: str, text: str, seed: int, uneven: DataFr
 
     def run(block: list) -> DataFrame:
         wanted = docs.sparkSession.createDataFrame([(x,) for x in block], f"`{key}` {docs.schema[key].dataType.simpleString()}")
-        rows = _sets(docs, key, text, seed, F.broadcast(wanted)).distinct().collect()  # at most BLOCK_SHINGLES, and a set
+        rows = _sets(docs, key, text, seed, wanted).collect()  # at most BLOCK_SHINGLES, and a set
         tokens = [np.frombuffer(r.s, np.uint64) for r in rows]
         flat = np.concatenate(tokens)
         who = np.repeat(np.array([r.c for r in rows], np.int64), [len(t) for t in tokens])
