@@ -41,7 +41,7 @@ def seeded_hash(value: Column, seed: Column) -> Column:
     return F.conv(swapped, 16, 10).cast("long")
 
 
-def minhash(shingles: DataFrame, key: str, seeds: int = 16) -> DataFrame:
+def minhash(shingles: DataFrame, key: str, seeds: int = 128) -> DataFrame:
     """Rows (key, signature) from rows (key, shingle): one pass, partial minima
     before the shuffle."""
     mins = [F.min(seeded_hash(F.col("shingle"), F.lit(i))).alias(f"h{i}") for i in range(seeds)]
@@ -54,9 +54,15 @@ def estimate(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("signatures differ in length"))).otherwise(same)
 
 
-def lsh_candidates(signatures: DataFrame, key: str, bands: int) -> DataFrame:
+def signature_classes(signatures: DataFrame, key: str) -> DataFrame:
+    """Rows (key, rep): rep is the least key with the same signature."""
+    return signatures.join(signatures.groupBy("signature").agg(F.min(key).alias("rep")), "signature").select(key, "rep")
+
+
+def lsh_candidates(signatures: DataFrame, key: str, bands: int = 16) -> DataFrame:
     """Rows (a, b), a < b, that share a band.  Equal signatures are one group first,
-    so copies do not multiply; ``a`` and ``b`` are groups' least keys."""
+    so copies do not multiply; ``a`` and ``b`` are groups' least keys, and
+    ``signature_classes`` has the members."""
     groups = signatures.groupBy("signature").agg(F.min(key).alias(key))
     rows = F.size("signature") / bands
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.slice(F.col("signature"), i * rows.cast("int") + 1, rows.cast("int")).alias("part")))
@@ -66,12 +72,33 @@ def lsh_candidates(signatures: DataFrame, key: str, bands: int) -> DataFrame:
         F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
 
 
-def similarity_edges(signatures: DataFrame, key: str, threshold: float = 0.5, bands: int = 8) -> DataFrame:
-    """Candidate pairs whose estimated similarity reaches the threshold."""
-    s = signatures.groupBy("signature").agg(F.min(key).alias(key))
-    return lsh_candidates(signatures, key, bands).join(s.select(F.col(key).alias("a"), F.col("signature").alias("sa")), "a").join(
-        s.select(F.col(key).alias("b"), F.col("signature").alias("sb")), "b").withColumn("similarity", estimate(F.col("sa"), F.col("sb"))).filter(
-        F.col("similarity") >= threshold).select("a", "b", "similarity")
+def similarity_edges(signatures: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
+    """Rows (a, b, similarity), a < b: all pairs whose estimated similarity is above 0
+    and reaches the threshold.
+
+    Of n slots such a pair has m = ceil(threshold * n) equal, so one at least among
+    any n - m + 1: pairs that share one of the first n - m + 1 slots are compared, and
+    no other can qualify.  Equal signatures are one group until pairs are known."""
+    groups = signatures.groupBy("signature").agg(F.min(key).alias("g"))
+    n = F.size("signature")
+    least = F.greatest(F.ceil(F.lit(float(threshold)) * n - 1e-9), F.lit(1)).cast("int")
+    slots = groups.select("g", F.posexplode(F.slice("signature", 1, F.greatest(n - least + 1, F.lit(0)))).alias("i", "h"))
+    x, y = slots.alias("x"), slots.alias("y")
+    met = x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.g") < F.col("y.g"))).select(
+        F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
+    far = met.join(groups.select(F.col("g").alias("ga"), F.col("signature").alias("sa")), "ga").join(
+        groups.select(F.col("g").alias("gb"), F.col("signature").alias("sb")), "gb").withColumn("similarity", estimate(F.col("sa"), F.col("sb"))).filter(
+        F.col("similarity") >= threshold - 1e-9).select("ga", "gb", "similarity")
+    return _member_pairs(far, signature_classes(signatures, key).toDF("k", "g"), threshold)
+
+
+def _member_pairs(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Rows (a, b, similarity), a < b, of members (k, g) of classes from pairs of
+    classes (ga, gb, similarity); members of one class are alike by 1."""
+    a, b = classes.toDF("ka", "ga"), classes.toDF("kb", "gb")
+    across = pairs.join(a, "ga").join(b, "gb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity")
+    within = a.join(b, (F.col("ga") == F.col("gb")) & (F.col("ka") < F.col("kb"))).select(F.col("ka").alias("a"), F.col("kb").alias("b"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(within.filter(F.lit(threshold <= 1)))
 
 
 def jaccard_edges(shingles: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
