@@ -101,21 +101,42 @@ def _member_pairs(pairs: DataFrame, classes: DataFrame, threshold: float) -> Dat
     return across.unionByName(within.filter(F.lit(threshold <= 1)))
 
 
-def jaccard_edges(shingles: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
-    """Exact similarity of all pairs of sets (key, shingle) that share a shingle.
+def _set_classes(shingles: DataFrame, key: str) -> DataFrame:
+    """Rows (k, g, s): each key, the least key with an equal set, and the set."""
+    sets = shingles.filter(F.col("shingle").isNotNull()).distinct().groupBy(F.col(key).alias("k")).agg(F.array_sort(F.collect_list("shingle")).alias("s"))
+    return sets.join(sets.groupBy("s").agg(F.min("k").alias("g")), "s").select("k", "g", "s")
 
-    For sets of repositories, which are few; equal sets are one group first."""
-    sets = shingles.distinct().groupBy(key).agg(F.array_sort(F.collect_list("shingle")).alias("s"))
-    items = sets.groupBy("s").agg(F.min(key).alias("k")).select("k", F.size("s").alias("n"), F.explode("s").alias("x"))
+
+def _class_edges(classes: DataFrame, threshold: float) -> DataFrame:
+    items = classes.filter("k = g").select("k", F.size("s").alias("n"), F.explode("s").alias("x"))
     a, b = items.alias("a"), items.alias("b")
     both = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.k") < F.col("b.k"))).groupBy(
-        F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).count()
-    return both.withColumn("similarity", F.round(F.col("count") / (F.col("na") + F.col("nb") - F.col("count")), 6)).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+        F.col("a.k").alias("ga"), F.col("b.k").alias("gb"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).count()
+    return both.withColumn("similarity", F.round(F.col("count") / (F.col("na") + F.col("nb") - F.col("count")), 6)).filter(F.col("similarity") >= threshold).select("ga", "gb", "similarity")
+
+
+def jaccard_edges(shingles: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
+    """Exact similarity of all pairs of sets (key, shingle) that share a shingle.
 
+    For sets of repositories, which are few; equal sets are one group until pairs are known."""
+    classes = _set_classes(shingles, key)
+    return _member_pairs(_class_edges(classes, threshold), classes.select("k", "g"), threshold)
 
-def spanning_tree(edges: DataFrame) -> DataFrame:
+
+def tree_edges(shingles: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
+    """``jaccard_edges`` as far as a spanning tree needs them: pairs of classes' least
+    keys, and each copy with the least key of its class."""
+    classes = _set_classes(shingles, key)
+    copies = classes.filter("k <> g").select(F.col("g").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("similarity"))
+    return _class_edges(classes, threshold).toDF("a", "b", "similarity").unionByName(copies)
+
+
+def spanning_tree(edges: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Rows (node, parent, level) of a maximum-similarity forest: Borůvka rounds in
-    Spark, then levels from each tree's busiest node (ties: the least)."""
+    Spark, then levels from each tree's busiest node (ties: the least).
+
+    Of ``keys``, a column of all nodes, those without an edge go under the hub, the
+    busiest node of all; if no node has an edge, the least one is the hub."""
     spark = edges.sparkSession
     e = edges.select("a", "b", "similarity")
     nodes = e.select(F.col("a").alias("v")).union(e.select(F.col("b").alias("v"))).distinct()
@@ -131,7 +152,8 @@ def spanning_tree(edges: DataFrame) -> DataFrame:
         tree = best if tree is None else tree.union(best)
         comp = _labels(nodes, tree)
     if tree is None:
-        return nodes.select(F.col("v").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")).filter("false")
+        none = nodes.select(F.col("v").alias("node"), F.lit(None).cast(nodes.dtypes[0][1]).alias("parent"), F.lit(0).alias("level")).filter("false")
+        return none if keys is None else _under_hub(none, keys, keys.agg(F.min(keys.columns[0]).alias("hub")))
     both = tree.select("a", "b").union(tree.select(F.col("b"), F.col("a"))).toDF("u", "v").distinct()
     degree = both.groupBy("u").count()
     roots = degree.join(comp.withColumnRenamed("v", "u"), "u").groupBy("c").agg(F.min(F.struct((-F.col("count")).alias("d"), "u")).alias("x")).select(F.col("x.u").alias("node"))
@@ -144,7 +166,15 @@ def spanning_tree(edges: DataFrame) -> DataFrame:
         if level.isEmpty():
             break
         out = out.union(level)
-    return out
+    if keys is None:
+        return out
+    return _under_hub(out, keys, degree.agg(F.min(F.struct((-F.col("count")).alias("d"), "u")).alias("x")).select(F.col("x.u").alias("hub")))
+
+
+def _under_hub(tree: DataFrame, keys: DataFrame, hub: DataFrame) -> DataFrame:
+    """Adds the keys that are not in the tree, under the hub; the hub itself, if it is new, as a root."""
+    lone = keys.toDF("node").filter("node is not null").distinct().join(tree.select("node"), "node", "left_anti").crossJoin(F.broadcast(hub))
+    return tree.unionByName(lone.select("node", F.when(F.col("node") != F.col("hub"), F.col("hub")).alias("parent"), F.when(F.col("node") != F.col("hub"), 1).otherwise(0).alias("level")))
 
 
 def _labels(nodes: DataFrame, tree: DataFrame) -> DataFrame:

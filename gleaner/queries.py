@@ -659,7 +659,7 @@ def s9_lsh(spark, d):
 
 @query()
 def s10_spanning_tree(spark, d):
-    return S.spanning_tree(S.jaccard_edges(_repo_shingles(spark, d), "repo", 0.05))
+    return S.spanning_tree(S.tree_edges(_repo_shingles(spark, d), "repo", 0.05), code(spark, d).select("repo"))
 
 
 # -- monitors and logs ----------------------------------------------------------------------------------
@@ -783,7 +783,7 @@ def v11_query_counters(spark, d):
 
 @query()
 def s11_ingest_order(spark, d):
-    return S.ingest_order(S.spanning_tree(S.jaccard_edges(_repo_shingles(spark, d), "repo", 0.05)))
+    return S.ingest_order(s10_spanning_tree(spark, d))
 
 
 def queries() -> dict[str, Query]:

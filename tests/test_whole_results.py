@@ -21,3 +21,15 @@ def test_signatures_are_the_survey_s_by_default(spark):
     sigs = S.minhash(sh, "repo")
     assert {len(r.signature) for r in sigs.collect()} == {128}
     assert {tuple(r) for r in S.signature_classes(sigs, "repo").collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+
+
+def test_tree_holds_copies_and_lone_nodes(spark):
+    sets = {"a": "xyz", "b": "xyw", "fork": "xyz", "fork2": "xyz", "lone": "q"}
+    sh = spark.createDataFrame([(k, x) for k, v in sets.items() for x in v], "repo string, shingle string")
+    pairs = {(r.a, r.b): r.similarity for r in S.jaccard_edges(sh, "repo", 0.5).collect()}
+    assert pairs == {("a", "b"): 0.5, ("a", "fork"): 1.0, ("a", "fork2"): 1.0, ("b", "fork"): 0.5, ("b", "fork2"): 0.5, ("fork", "fork2"): 1.0}
+    keys = spark.createDataFrame([(k,) for k in [*sets, "empty"]], "repo string")
+    got = {r.node: (r.parent, r.level) for r in S.ingest_order(S.spanning_tree(S.tree_edges(sh, "repo", 0.5), keys)).collect()}
+    assert got == {"a": (None, 0)} | {k: ("a", 1) for k in ("b", "fork", "fork2", "lone", "empty")}
+    got = {r.node: (r.parent, r.level) for r in S.spanning_tree(S.tree_edges(sh, "repo", 0.5).filter("false"), keys.filter("repo in ('b', 'lone')")).collect()}
+    assert got == {"b": (None, 0), "lone": ("b", 1)}
