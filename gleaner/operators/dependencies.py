@@ -63,18 +63,72 @@ def import_chains(edges: DataFrame, start: str, limit: int = 50) -> DataFrame:
     return done
 
 
-def cycles(spark, edges: DataFrame, longest: int = 12) -> DataFrame:
-    """Simple cycles of at most ``longest`` files, each from its least file on, by a
-    recursive query over paths that stay above their start."""
-    edges.select("src", "dst").distinct().createOrReplaceTempView("_gleaner_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(start, node, path, closed) MAX RECURSION LEVEL {longest + 2} AS (
-          SELECT src, dst, array(src), dst = src FROM _gleaner_edges WHERE dst >= src
-          UNION ALL
-          SELECT w.start, e.dst, array_append(w.path, w.node), e.dst = w.start
-          FROM walk w JOIN _gleaner_edges e ON e.src = w.node
-          WHERE NOT w.closed AND e.dst >= w.start AND NOT array_contains(w.path, w.node) AND size(w.path) < {longest})
-        SELECT path, size(path) AS length FROM walk WHERE closed""")
+def _kept(df: DataFrame) -> DataFrame:
+    """Computed once, without the constraints and size estimates of its plan, which
+    else grow exponentially from round to round."""
+    spark = df.sparkSession
+    out = df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.cache()
+    return DataFrame(spark._jsparkSession.createDataFrame(out._jdf.toJavaRDD(), out._jdf.schema()), spark)
+
+
+def cyclic_edges(edges: DataFrame) -> DataFrame:
+    """The edges (src, dst) whose ends lie in one strongly connected component.
+
+    Inside a component the least file that reaches a file, and the least that it
+    reaches, are the same for all: edges whose ends differ in either go, until none does."""
+    e = _kept(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
+    n = e.count()
+    while n:
+        left, right = e.select(F.col("src").alias("v")), e.select(F.col("dst").alias("v"))
+        trimmed = _kept(e.join(right.distinct(), e["src"] == F.col("v"), "left_semi").join(left.distinct(), e["dst"] == F.col("v"), "left_semi"))
+        m = trimmed.count()
+        e = trimmed
+        if m < n:
+            n = m
+            continue
+        lab = _reach(e)
+        e = _kept(e.join(lab.toDF("src", "f1", "b1"), "src").join(lab.toDF("dst", "f2", "b2"), "dst").filter("f1 = f2 and b1 = b2").select("src", "dst"))
+        m = e.count()
+        if m == n:
+            break
+        n = m
+    return e
+
+
+def _reach(e: DataFrame) -> DataFrame:
+    """Rows (v, f, b): the least files that reach v and that v reaches, itself among
+    them, by rounds of neighbours' minima with pointer jumping."""
+    lab = _kept(e.select(F.col("src").alias("v")).union(e.select("dst")).distinct().select("v", F.col("v").alias("f"), F.col("v").alias("b")))
+    while True:
+        none = F.lit(None).cast("string")
+        ahead = e.join(lab.select(F.col("v").alias("src"), "f"), "src").select(F.col("dst").alias("v"), "f", none.alias("b"))
+        back = e.join(lab.select(F.col("v").alias("dst"), "b"), "dst").select(F.col("src").alias("v"), none.alias("f"), "b")
+        jump_f = lab.select("v", F.col("f").alias("k")).join(lab.select(F.col("v").alias("k"), "f"), "k").select("v", "f", none.alias("b"))
+        jump_b = lab.select("v", F.col("b").alias("k")).join(lab.select(F.col("v").alias("k"), "b"), "k").select("v", none.alias("f"), "b")
+        new = _kept(lab.unionByName(ahead).unionByName(back).unionByName(jump_f).unionByName(jump_b).groupBy("v").agg(F.min("f").alias("f"), F.min("b").alias("b")))
+        if new.join(lab.toDF("v", "f0", "b0"), "v").filter("f <> f0 or b <> b0").isEmpty():
+            return new
+        lab = new
+
+
+def cycles(spark, edges: DataFrame) -> DataFrame:
+    """All simple cycles, of any length, each from its least file on: rounds of one
+    step over paths inside strongly connected components that stay above their start."""
+    e = _kept(cyclic_edges(edges))
+    ahead = _kept(e.groupBy("src").agg(F.collect_list("dst").alias("next")))
+    walk = e.filter("dst >= src").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src").alias("path"))
+    done = None
+    while True:
+        walk = _kept(walk)
+        closed = walk.filter("node = start").select("path", F.size("path").alias("length"))
+        done = closed if done is None else done.unionByName(closed)
+        grows = walk.filter("node <> start")
+        if grows.isEmpty():
+            return done
+        path = F.array_append("path", F.col("node"))
+        onward = F.filter("next", lambda x: (x == F.col("start")) | ((x > F.col("start")) & ~F.array_contains(path, x)))
+        walk = grows.join(ahead, F.col("node") == F.col("src")).select(
+            F.explode(F.transform(onward, lambda x: F.struct("start", x.alias("node"), path.alias("path")))).alias("w")).select("w.start", "w.node", "w.path")
 
 
 def most_imported(edges: DataFrame, limit: int = 10) -> DataFrame:

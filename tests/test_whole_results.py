@@ -2,6 +2,7 @@
 
 import itertools
 
+from gleaner.operators import dependencies as D
 from gleaner.operators import similarity as S
 
 
@@ -33,3 +34,11 @@ def test_tree_holds_copies_and_lone_nodes(spark):
     assert got == {"a": (None, 0)} | {k: ("a", 1) for k in ("b", "fork", "fork2", "lone", "empty")}
     got = {r.node: (r.parent, r.level) for r in S.spanning_tree(S.tree_edges(sh, "repo", 0.5).filter("false"), keys.filter("repo in ('b', 'lone')")).collect()}
     assert got == {"b": (None, 0), "lone": ("b", 1)}
+
+
+def test_cycles_of_any_length(spark):
+    ring = [(f"n{i:02d}", f"n{(i + 1) % 15:02d}") for i in range(15)]
+    more = [("n05", "n03"), ("x", "n00"), ("n07", "y"), ("y", "z"), ("z", "w"), ("w", "z"), ("s", "s")]
+    got = {tuple(r.path) for r in D.cycles(spark, spark.createDataFrame(ring + more + ring[:2], "src string, dst string")).collect()}
+    assert got == {tuple(a for a, _ in ring), ("n03", "n04", "n05"), ("w", "z"), ("s",)}
+    assert D.cycles(spark, spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")).count() == 0
