@@ -46,21 +46,21 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(index, "module").filter("src <> dst").withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("src", "dst", "module")
 
 
-def import_chains(edges: DataFrame, start: str, limit: int = 50) -> DataFrame:
+def import_chains(edges: DataFrame, start: str) -> DataFrame:
     """All simple paths from a file to files that import nothing, in rounds of one
-    step; a round keeps only paths that can still grow."""
-    e = edges.select("src", "dst").distinct()
+    step until no path can grow."""
+    e = _kept(edges.select("src", "dst").distinct())
     leaves = e.select(F.col("dst").alias("node")).join(e.select(F.col("src").alias("node")), "node", "left_anti").distinct()
     paths = e.filter(F.col("src") == start).select(F.array("src", "dst").alias("path"), F.col("dst").alias("node"))
     done = None
-    for _ in range(limit):
-        ended = paths.join(leaves, "node", "left_semi").select("path")
+    while True:
+        paths = _kept(paths)
+        ended = _kept(paths.join(leaves, "node", "left_semi").select("path"))
         done = ended if done is None else done.unionByName(ended)
+        if paths.isEmpty():
+            return done
         paths = paths.join(e, paths["node"] == e["src"]).filter(~F.array_contains("path", F.col("dst"))).select(
             F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("node"))
-        if paths.isEmpty():
-            break
-    return done
 
 
 def _kept(df: DataFrame) -> DataFrame:

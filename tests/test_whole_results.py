@@ -42,3 +42,9 @@ def test_cycles_of_any_length(spark):
     got = {tuple(r.path) for r in D.cycles(spark, spark.createDataFrame(ring + more + ring[:2], "src string, dst string")).collect()}
     assert got == {tuple(a for a, _ in ring), ("n03", "n04", "n05"), ("w", "z"), ("s",)}
     assert D.cycles(spark, spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")).count() == 0
+
+
+def test_chains_of_any_length(spark):
+    line = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(55)]
+    got = [r.path for r in D.import_chains(spark.createDataFrame([*line, ("n03", "n00"), ("n00", "z")], "src string, dst string"), "n00").collect()]
+    assert sorted(got) == [[f"n{i:02d}" for i in range(56)], ["n00", "z"]]
