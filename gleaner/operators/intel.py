@@ -93,9 +93,10 @@ def go_to_definition(refs: DataFrame, defs: DataFrame) -> DataFrame:
     """For each reference (file_path, line, column, name) its definitions: those in the
     same file, if there are any, or else all."""
     d = defs.select(F.col("name"), F.col("file_path").alias("def_file"), F.col("line").alias("def_line"), "kind")
-    local = defs.select("file_path", "name").distinct().withColumn("_own", F.lit(True))
-    tagged = refs.join(local, ["file_path", "name"], "left")
-    return tagged.join(d, "name").filter(F.col("_own").isNull() | (F.col("def_file") == F.col("file_path"))).drop("_own")
+    out = [*refs.columns, "def_file", "def_line", "kind"]
+    own = refs.join(d.withColumn("file_path", F.col("def_file")), ["file_path", "name"]).select(*out)
+    rest = refs.join(defs.select("file_path", "name").distinct(), ["file_path", "name"], "left_anti").join(d, "name").select(*out)
+    return own.unionByName(rest)
 
 
 def find_references(name: str, refs: DataFrame, defs: DataFrame) -> DataFrame:

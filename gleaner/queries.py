@@ -424,6 +424,16 @@ def t9_definitions(spark, d):
     return X.go_to_definition(refs, X.symbols(files)).select("file_path", "line", "name", "def_file", "def_line", "kind")
 
 
+@query(f"""WITH {SYMBOLS_SQL}, {REFS_SQL}, r AS (SELECT DISTINCT * FROM refs), o AS (SELECT DISTINCT file_path, name FROM symbols)
+SELECT r.file_path, r.line, r.name, s.file_path AS def_file, s.line AS def_line, s.kind FROM r JOIN symbols s ON s.name = r.name AND s.file_path = r.file_path
+UNION ALL SELECT r.file_path, r.line, r.name, s.file_path, s.line, s.kind FROM r ANTI JOIN o USING (file_path, name) JOIN symbols s USING (name)""")
+def t9_all_definitions(spark, d):
+    """``t9_definitions`` over references to all names."""
+    files = code(spark, d)
+    refs = X.references(files).select("file_path", "line", "name").distinct()
+    return X.go_to_definition(refs, X.symbols(files)).select("file_path", "line", "name", "def_file", "def_line", "kind")
+
+
 @query(f"WITH {SYMBOLS_SQL}, {REFS_SQL} SELECT file_path, line, 'use' AS role FROM refs WHERE name = 'Item7' UNION ALL SELECT file_path, line, 'definition' FROM symbols WHERE name = 'Item7'")
 def t10_references_of(spark, d):
     files = code(spark, d)

@@ -2,6 +2,7 @@
 
 import itertools
 
+from gleaner import queries as Q
 from gleaner.operators import dependencies as D
 from gleaner.operators import similarity as S
 
@@ -48,3 +49,8 @@ def test_chains_of_any_length(spark):
     line = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(55)]
     got = [r.path for r in D.import_chains(spark.createDataFrame([*line, ("n03", "n00"), ("n00", "z")], "src string, dst string"), "n00").collect()]
     assert sorted(got) == [[f"n{i:02d}" for i in range(56)], ["n00", "z"]]
+
+
+def test_definitions_of_all_names(spark):
+    got = {r.name for r in Q.queries()["t9_all_definitions"](spark, "/root/testdata/sf0.001").select("name").distinct().collect()}
+    assert {"getName", "y_value", "onClick"} <= got and any(n.startswith("Widget") for n in got)
