@@ -1,21 +1,33 @@
 """Exact n-gram Jaccard self-join by universe partition and pigeonhole.
 
-A document is the set of its distinct 5-word shingles.  Sets of like size
-(within a band of sizes) share a layout: shingles are hashed into segments, and
-two sets that differ in H shingles in all agree on some segment of any H + 1,
-or agree up to one shingle on a segment that allows one deletion (which then
-counts twice).  The layout of a band says how many segments there are, how many
-of them sets of a given size must publish, and which allow deletions; it is
-chosen by estimated cost.  Segments' contents are hashed, sets that publish
-the same hash are candidates, and candidates are verified on their shingles.
-
-Scale and skew: equal sets are one class from the start.  Candidates of a hash
-are tied to one hub, not paired with each other; verified links give
-components, and only hashes that still join different components are looked
-at again, where a set may give up its most crowded hashes as long as enough
-remain for the pigeonhole.  Components are found by star contraction in Spark.
-Sets whose segments are too unevenly filled for the guarantee (none, nearly
-always) are compared with all others in blocks.  Nothing is capped.
+A document is the set of its distinct 5-word shingles.  Sets of like size (a
+band of sizes) share a layout: shingles are hashed into segments, and two sets
+that differ in H shingles in all agree on some segment of any H + 1, or agree
+up to one shingle on a segment that allows one deletion (which then counts
+twice).  How many segments a band has, how many of them are published, and
+which allow a deletion is chosen by estimated cost.  Segments' contents are
+hashed, and sets that publish the same hash are candidates.
+
+Crowded hashes: counts over all documents give each hash its crowd.  A set asks
+only for its least crowded segments, as many as the pigeonhole needs; those that
+no other set has come first and cost nothing.  The order is the same for all
+sets, so the first segment on which two similar sets agree is asked for by both.
+
+Groups: equal sets are one class from the start.  The classes of a hash are
+tied to one hub, the smallest, and verified against it; verified links give
+components.  Classes under hashes that still join different components are
+decided on their remainder, by the finest partition, a shingle a segment: a
+class asks for its n - ceil(0.75 n) + 1 least crowded shingles, and two classes
+whose first common one is t share exactly what stands behind t in both.  So
+classes with the same rest behind t are settled by sizes alone (the smallest of
+them decides), and of classes with different ones only those are compared whose
+rests are long enough for the threshold: two sets of which less than 6/7 stands
+behind t never are.  A passage that many documents share is thus one rest, not
+a square of pairs.
+
+Components are found by star contraction in Spark.  Sets whose segments are too
+unevenly filled for the guarantee (one in ten million) are compared with all
+others in blocks.  Nothing is capped.
 
 Shingles are compared by 64-bit hashes; a set of a million has a chance of
 about 3e-8 of holding a colliding pair.
@@ -24,6 +36,7 @@ about 3e-8 of holding a colliding pair.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +45,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, shuffle_partitions, table, worker_state
+from .common import discard, materialize, shuffle_partitions, table
 
 SHINGLE = 5
 #: The threshold, as a fraction of whole numbers: intersection * DEN >= union * NUM.
 NUM, DEN = 75, 100
 #: Layouts tried: no segment allows a deletion, every one, or one in so many.
 DELETION_STEPS = (0, 1, 2, 8)
-#: Standard deviations of slack in the number of filled segments.
-SLACK = 5.0
+#: Chance that a set's segments are too unevenly filled, and the same in standard deviations.
+UNEVEN, SLACK = 1e-7, 5.2
+#: Sizes up to which that chance is computed exactly.
+EXACT_SIZES = 127
+#: What a segment of one shingle costs, in hashes, beside its own.
+LONE = 4.0
+#: Hashes that a worker holds before it sends them on, and hashes a bucket.
+HELD, BUCKET = 500_000, 1_000_000
 #: Shingles of unevenly filled sets that are compared with all documents in one pass.
 BLOCK_SHINGLES = 2_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -126,67 +145,110 @@ def _chunk_sets(chunk: list[bytes], size: int) -> list[np.ndarray]:
 # -- layouts ------------------------------------------------------------------
 
 
+def apart(a, b):
+    """Most shingles in which similar sets of a and b shingles differ."""
+    return (a + b) * (DEN - NUM) // (DEN + NUM)
+
+
 class Layout:
-    """How sets of a band of sizes are cut: segments, those to publish by size,
-    and whether some allow a deletion."""
+    """How sets of a band of sizes are cut: ``segments``, how many of them are
+    published, and whether all, some (one in ``every``) or none allow a deletion.
+
+    The larger of two similar sets vouches for their meeting: it has more weight
+    in published segments than the two can differ in."""
 
     def __init__(self, band: int):
         self.band = band
-        low, high = 1 << band, (1 << (band + 1)) - 1
-        self.low, self.top = low, max(high, high * DEN // NUM)  # with the sets of the next band that may match
-        options = [self._fit(every) for every in DELETION_STEPS]
+        self.low, self.high = 1 << band, (1 << (band + 1)) - 1
+        self.top = max(self.high, self.high * DEN // NUM)  # with the sets of the next band that may match
+        options = [o for every in DELETION_STEPS for o in self._options(every)]
         self.cost, self.every, self.segments, self.publish = min(options, key=lambda o: o[0])
 
+    def vouched(self, x):
+        """The weight that a set of x needs to meet any similar set that is not larger."""
+        return apart(x, np.minimum(x, self.high)) + 1
+
     @staticmethod
-    def need(x):
-        """Most shingles by which a set of x can differ from a larger match, and 1."""
-        return x * (DEN - NUM) // NUM + 1
+    def asked(x):
+        """The weight of the segments that a set of x asks for, whichever of a pair is larger."""
+        return np.maximum(apart(x, x), x * (DEN - NUM) // NUM) + 1
 
     @staticmethod
     def _weight(lam, every):
         filled = 1 - np.exp(-lam)
         twice = (filled - lam * np.exp(-lam)) / every if every else 0 * lam
-        mean = filled + twice
-        return mean, filled * (1 - filled) + 2 * twice * (1 - filled) + twice * (1 - twice)
-
-    def _publish(self, x, m, every):
-        w, v = self._weight(x / m, every)
-        root = (SLACK * np.sqrt(v) + np.sqrt(SLACK**2 * v + 4 * w * self.need(x))) / (2 * w)
-        return np.maximum.accumulate(np.ceil(root**2).astype(np.int64))
-
-    def _fit(self, every: int):
-        x = np.arange(self.low, self.top + 1)
-        if self.top <= 48:  # small sets: segments enough to part nearly all shingles, all published
-            m = 16 * self.top
-            return (0.0, 0, m, np.full(len(x), m))
-        lo, hi = max(2, self.top // 8), 8 * self.top
-        while lo < hi:  # the fewest segments that suffice: the fuller, the more telling
-            mid = (lo + hi) // 2
-            if self._publish(x, mid, every)[-1] <= mid:
-                hi = mid
-            else:
-                lo = mid + 1
-        publish = np.minimum(self._publish(x, lo, every), lo)
-        lam = x / lo
-        hashes = publish * ((1 - np.exp(-lam)) + (lam / every if every else 0))
-        single = publish * lam * np.exp(-lam)
-        # a lone shingle is shared far sooner than several: it costs as four more hashes
-        return (float((hashes + 4 * single).mean()), every, lo, publish)
+        return filled, twice
+
+    def _enough(self, q: int, m: int, every: int) -> bool:
+        """Whether q of m segments suffice for (nearly) every set."""
+        if self.high <= EXACT_SIZES and not every:
+            x = np.arange(max(self.low, DEN // (DEN - NUM) - 1), self.top + 1)
+            return _chance_of_few(x, self.vouched(x) - 1, q, m) <= UNEVEN
+        x = np.unique(np.linspace(self.low, self.top, 24).astype(np.int64))
+        lam = x / m
+        filled, twice = self._weight(lam, every)
+        var = q * np.exp(-lam) * filled - q * q * lam / m * np.exp(-2 * lam)
+        var = var + q * (2 * twice * (1 - filled) + twice * (1 - twice))  # deletions taken as independent: more than it is
+        return bool((q * (filled + twice) - SLACK * np.sqrt(np.maximum(var, 0)) >= self.vouched(x)).all())
+
+    def _options(self, every: int):
+        if every and self.low < 64:  # small sets' segments are too few to tell their spread
+            return
+        for fullness in (0.01, 0.02, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0):
+            m = max(2, int(self.high / fullness))
+            if not self._enough(m, m, every):
+                continue
+            lo, hi = 1, m
+            while lo < hi:
+                mid = (lo + hi) // 2
+                if self._enough(mid, m, every):
+                    hi = mid
+                else:
+                    lo = mid + 1
+            x = np.arange(self.low, self.top + 1)
+            lam = x / m
+            filled, _ = self._weight(lam, every)
+            hashes = lo * (filled + (lam / every if every else 0))
+            single = lo * lam * np.exp(-lam)
+            # a lone shingle is shared far sooner than several: it costs as LONE more hashes
+            yield (float(((hashes + LONE * single) / x).mean()), every, m, lo)
+
+
+def _chance_of_few(x: np.ndarray, most: np.ndarray, q: int, m: int) -> float:
+    """The largest chance, over sizes x, that x shingles fill at most ``most`` of q among m segments."""
+    wanted = dict(zip(x.tolist(), most.tolist()))
+    p = np.zeros(int(most.max()) + 2)
+    p[0], worst = 1.0, 0.0
+    go = np.maximum(q - np.arange(len(p)), 0) / m
+    for n in range(1, int(x.max()) + 1):
+        moved = p * go
+        p -= moved
+        p[1:] += moved[:-1]
+        if n in wanted:
+            worst = max(worst, float(p[: wanted[n] + 1].sum()))
+    return worst
+
+
+@lru_cache(maxsize=64)
+def layout(band: int) -> Layout:
+    return Layout(band)
 
 
-def layout(band: int) -> Layout:
-    return worker_state(f"layout {band}", lambda: Layout(band))
+def layouts_up_to(size: int) -> dict[int, Layout]:
+    """The layouts of all bands of sets of at most ``size`` shingles."""
+    return {b: layout(b) for b in range(1, max(2, int(size).bit_length()))}
 
 
-def _segment_hashes(sets: list[np.ndarray], bands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, which set each is of, weight by set) under the layouts of ``bands``.
+def _segment_hashes(sets: list[np.ndarray], bands: np.ndarray, layouts: dict[int, Layout]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, which set each is of, whether of a segment with deletions, weight by
+    set) under the layouts of ``bands``.
 
     A segment's content is the sum of its mixed shingles; sums are taken in four
     16-bit parts, which are exact, so nothing is sorted."""
-    made = [layout(int(b)) for b in bands]
+    made = [layouts[int(b)] for b in bands]
     sizes = np.array([len(s) for s in sets])
     m = np.array([x.segments for x in made], np.uint64)
-    q = np.array([x.publish[n - x.low] for x, n in zip(made, sizes)], np.int64)
+    q = np.array([x.publish for x in made], np.int64)
     every = np.array([x.every for x in made], np.int64)
     base = np.concatenate([[0], np.cumsum(q)])
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -207,35 +269,46 @@ def _segment_hashes(sets: list[np.ndarray], bands: np.ndarray) -> tuple[np.ndarr
         name = mix((full - base[of]).astype(np.uint64) ^ salt[of], 3)
         sig, who = [mix(total[full] ^ name)], [of]
         weight = np.bincount(of, minlength=len(sets))
+        step = np.maximum(every, 1)
+        loose = (every[of] > 0) & ((full - base[of]) % step[of] == 0)
+        fixed = [loose]
         if every.any():
-            step = np.maximum(every, 1)
-            twice = (every[of] > 0) & ((full - base[of]) % step[of] == 0) & (count[full] >= 2)
+            twice = loose & (count[full] >= 2)
             weight = weight + np.bincount(of[twice], minlength=len(sets))
             rare = (every[owner] > 0) & (seg % step[owner] == 0) & (count[slot] >= 2)
             sig.append(mix((total[slot[rare]] - tok[rare]) ^ mix(seg[rare].astype(np.uint64) ^ salt[owner[rare]], 3)))
             who.append(owner[rare])
-    return np.concatenate(sig), np.concatenate(who), weight
+            fixed.append(np.ones(int(rare.sum()), bool))
+    return np.concatenate(sig), np.concatenate(who), np.concatenate(fixed), weight
+
 
+#: Bits of a published hash that say something: of the set's own band; of a segment that is never given up.
+OWN, FIXED = np.uint64(1), np.uint64(2)
+#: A class under one layout: its size, and the weight that it may give up (negative: too little of it).
+ENTRY = np.dtype([("c", "<i8"), ("n", "<i4"), ("spare", "<i4"), ("own", "u1"), ("short", "u1")])
 
-def published(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, which set, whether of the set's own band, surplus of weight by set).
+
+def published(sets: list[np.ndarray], layouts: dict[int, Layout]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes with their bits, which set each is of, entries, which set each is of).
     Sets too small to match anything but themselves publish nothing."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    surplus = np.zeros(len(sets), np.int64)
     ids = np.flatnonzero(sizes >= DEN // (DEN - NUM) - 1)
-    if not len(ids):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), surplus
-    bands = np.array([int(n).bit_length() - 1 for n in sizes[ids]])
-    sig, who, weight = _segment_hashes([sets[i] for i in ids], bands)
-    surplus[ids] = weight - Layout.need(sizes[ids])
-    out, owner, own = [sig], [ids[who]], [np.ones(len(sig), bool)]
-    low = (bands > 0) & (-(-sizes[ids] * NUM // DEN) < (1 << bands))
-    if low.any():
-        sig, who, _ = _segment_hashes([sets[i] for i in ids[low]], bands[low] - 1)
-        out.append(sig)
-        owner.append(ids[low][who])
-        own.append(np.zeros(len(sig), bool))
-    return np.concatenate(out), np.concatenate(owner), np.concatenate(own), surplus
+    out, owner, entries, entry_of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, ENTRY)], [np.zeros(0, np.int64)]
+    bands = np.array([int(n).bit_length() - 1 for n in sizes[ids]], np.int64)
+    low = (bands > 1) & (-(-sizes[ids] * NUM // DEN) < (1 << bands))
+    for own, at, band in ((1, ids, bands), (0, ids[low], bands[low] - 1)):
+        if not len(at):
+            continue
+        sig, who, fixed, weight = _segment_hashes([sets[i] for i in at], band, layouts)
+        out.append((sig & ~(OWN | FIXED)) | np.uint64(own) | (FIXED * fixed.astype(np.uint64)))
+        owner.append(at[who])
+        e = np.zeros(len(at), ENTRY)
+        e["n"], e["own"] = sizes[at], own
+        e["spare"] = weight - Layout.asked(sizes[at])
+        e["short"] = weight < [layouts[int(b)].vouched(n) for b, n in zip(band, sizes[at])]
+        entries.append(e)
+        entry_of.append(at)
+    return np.concatenate(out), np.concatenate(owner), np.concatenate(entries), np.concatenate(entry_of)
 
 
 def class_of(s: np.ndarray, seed: int) -> tuple[int, int]:
@@ -264,95 +337,217 @@ def _classes(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long, c long, chk long")
 
 
-#: 40 bits of a hash (beside its bucket; what they confuse, verification parts) and a class.
+#: A hash (40 bits beside its bucket; what they confuse, verification parts) and a class.
 PAIR = np.dtype([("hi", "u1"), ("lo", "<u4"), ("c", "<i8")])
+#: A whole shingle and a class.
+WIDE = np.dtype([("sig", "<u8"), ("c", "<i8")])
+#: A hash that more than one class has, with the number of them.
+HIT = np.dtype([("c", "<i8"), ("sig", "<u8"), ("k", "<u4")])
+
+
+def _deal(rows: np.ndarray, bucket: np.ndarray, entries: bool) -> pa.RecordBatch:
+    """Packed rows, one binary value a bucket."""
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.concatenate([cut[1:], [len(bucket)]])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[cut].astype(np.int32)), pa.array([rows[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()), pa.array(np.full(len(cut), entries))],
+        names=["bucket", "data", "entries"])
 
 
-def _publications(docs: DataFrame, text: str, seed: int, buckets: int) -> DataFrame:
-    """Rows (bucket, data, surplus): packed (hash, class) pairs, many a row.  The
-    lowest bit of a hash tells whether it is of the set's own band.  Rows with
-    ``surplus`` have (surplus, class) pairs instead, dealt by class."""
+def _class_bucket(c: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(c.view(np.uint64), 13) % np.uint64(buckets)).astype(np.int32)
 
-    def deal(sig, c, bucket, surplus):
-        pairs = np.empty(len(sig), PAIR)
-        pairs["hi"], pairs["lo"], pairs["c"] = (sig >> np.uint64(32)) & np.uint64(0xFF), sig & np.uint64(0xFFFFFFFF), c
-        order = np.argsort(bucket, kind="stable")
-        pairs, bucket = pairs[order], bucket[order]
-        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        ends = np.concatenate([cut[1:], [len(bucket)]])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(bucket[cut].astype(np.int32)), pa.array([pairs[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()), pa.array(np.full(len(cut), surplus))],
-            names=["bucket", "data", "surplus"])
+
+PACKED = "bucket int, data binary, entries boolean"
+
+
+def _publications(docs: DataFrame, text: str, seed: int, buckets: int, layouts: dict[int, Layout]) -> DataFrame:
+    """Rows (bucket, data, entries): packed (hash, class) pairs dealt by hash, and
+    packed entries dealt by class.  A class is sent once of those held at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
+        held: list[list] = [[], [], []]
+        seen: set[int] = set()
 
         def flush():
-            sig, c, extra, known = [np.concatenate(x) for x in held]
+            sig, c, entries = [np.concatenate(x) for x in held]
             for x in held:
                 x.clear()
-            if len(sig):
-                yield deal(sig, c, ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), False)
-            if len(known):
-                yield deal(extra, known, (mix(known.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), True)
+            seen.clear()
+            pairs = np.empty(len(sig), PAIR)
+            pairs["hi"], pairs["lo"], pairs["c"] = (sig >> np.uint64(32)) & np.uint64(0xFF), sig & np.uint64(0xFFFFFFFF), c
+            yield _deal(pairs, ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), False)
+            yield _deal(entries, _class_bucket(np.ascontiguousarray(entries["c"]), buckets), True)
 
         for batch in batches:
             for sets in shingle_sets(batch.column(0).to_pylist()):
                 c = np.array([class_of(s, seed)[0] for s in sets], np.int64)
-                sig, who, own, surplus = published(sets)
-                held[0].append((sig & ~np.uint64(1)) | own.astype(np.uint64))
+                new = []
+                for i, x in enumerate(c.tolist()):
+                    if x not in seen:
+                        seen.add(x)
+                        new.append(i)
+                if not new:
+                    continue
+                c = c[new]
+                sig, who, entries, of = published([sets[i] for i in new], layouts)
+                entries["c"] = c[of]
+                held[0].append(sig)
                 held[1].append(c[who])
-                some = np.array([len(s) > 0 for s in sets], bool)
-                held[2].append((surplus[some] + (1 << 20)).astype(np.uint64))
-                held[3].append(c[some])
-                if sum(map(len, held[0])) > 2_000_000:
+                held[2].append(entries)
+                if sum(map(len, held[0])) > HELD:
                     yield from flush()
         if held[0]:
             yield from flush()
 
-    return docs.select(text).mapInArrow(run, "bucket int, data binary, surplus boolean")
+    return docs.select(text).mapInArrow(run, PACKED)
 
 
-def _shared(pubs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (sig, c, own, k) of hashes that more than one class published, k of them;
-    and, with k = 0, a row for each class with its surplus in ``sig``."""
-
-    def rows(b, sig, c, own, k):
-        for i in range(0, len(sig), 100_000):
-            j = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sig[j].astype(np.int64)), pa.array(c[j]), pa.array(own[j]), pa.array(k[j].astype(np.int64))], names=["sig", "c", "own", "k"])
+def _shingle_publications(sets: DataFrame, buckets: int) -> DataFrame:
+    """The same under the finest partition: every shingle of the classes (c, s)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[tuple[int, bool], list] = {}
         for batch in batches:
-            for b, d, extra in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                by.setdefault((b, extra), []).append(np.frombuffer(d.as_buffer(), PAIR))
-        for b, extra in sorted(by):
-            pairs = np.concatenate(by.pop((b, extra)))
-            code = (pairs["hi"].astype(np.uint64) << np.uint64(32)) | pairs["lo"].astype(np.uint64)
-            c = pairs["c"].astype(np.int64)
-            if extra:
-                c, first = np.unique(c, return_index=True)
-                none = np.zeros(len(c), np.int64)
-                yield from rows(b, code[first].astype(np.int64) - (1 << 20), c, none.astype(bool), none)
+            rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            if not rows:
+                continue
+            c, n = batch.column(0).to_numpy().astype(np.int64), np.array([len(x) for x in rows], np.int64)
+            entries = np.zeros(len(rows), ENTRY)
+            entries["c"], entries["n"], entries["own"] = c, n, 1
+            entries["spare"] = -(-n * NUM // DEN) - 1  # all but n - ceil(0.75 n) + 1
+            yield _deal(entries, _class_bucket(c, buckets), True)
+            ends = np.cumsum(n)
+            at = 0
+            while at < len(rows):  # as many sets at a time as hold HELD shingles
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD, "right")))
+                pairs = np.empty(int(n[at:to].sum()), WIDE)
+                pairs["sig"], pairs["c"] = np.concatenate(rows[at:to]), np.repeat(c[at:to], n[at:to])
+                yield _deal(pairs, (mix(np.ascontiguousarray(pairs["sig"]), 21) % np.uint64(buckets)).astype(np.int32), False)
+                at = to
+
+    return sets.select("c", "s").mapInArrow(run, PACKED)
+
+
+def _by_bucket(packed: DataFrame, buckets: int) -> DataFrame:
+    """Buckets whole and one after the other in their tasks, which so hold one at a time."""
+    return packed.repartition(min(buckets, 4 * shuffle_partitions(packed.sparkSession)), "bucket").sortWithinPartitions("bucket")
+
+
+def _buckets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
+    """(bucket, its binary values, its values with entries) of rows sorted by bucket."""
+    now, plain, entries = None, [], []
+    for batch in batches:
+        for b, d, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if b != now:
+                if now is not None:
+                    yield now, plain, entries
+                now, plain, entries = b, [], []
+            (entries if e else plain).append(d)
+    if now is not None:
+        yield now, plain, entries
+
+
+def _shared(pubs: DataFrame, buckets: int, wide: bool) -> DataFrame:
+    """Packed hits, dealt by class: the hashes that more than one class published (one
+    of them under its own band), and how many.  Entries pass through."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, plain, entries in _buckets_of(batches):
+            for d in entries:
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([d], pa.binary()), pa.array([True])], names=["bucket", "data", "entries"])
+            if not plain:
                 continue
-            sig, own = code >> np.uint64(1), (code & np.uint64(1)).astype(bool)
-            order = np.argsort(sig, kind="stable")
-            same = sig[order]
+            pairs = np.frombuffer(b"".join(plain), WIDE if wide else PAIR)
+            plain.clear()
+            c = pairs["c"].astype(np.int64)
+            if wide:
+                sig = name = pairs["sig"].astype(np.uint64)
+                bits = np.full(len(sig), OWN)
+            else:
+                code = (pairs["hi"].astype(np.uint64) << np.uint64(32)) | pairs["lo"].astype(np.uint64)
+                bits = code & (OWN | FIXED)
+                name = code >> np.uint64(2)
+                sig = ((name * np.uint64(buckets) + np.uint64(b)) << np.uint64(2)) | bits
+            del pairs
+            order = np.argsort(name, kind="stable")
+            same = name[order]
             near = np.concatenate([same[1:] == same[:-1], [False]])
             order = order[near | np.concatenate([[False], near[:-1]])]  # only hashes that occur again
-            order = order[np.lexsort((~own[order], c[order], sig[order]))]
-            sig, own, c = sig[order], own[order], c[order]
-            first = np.concatenate([[True], (sig[1:] != sig[:-1]) | (c[1:] != c[:-1])]) if len(sig) else np.zeros(0, bool)
-            sig, own, c = sig[first], own[first], c[first]
-            head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-            k = np.diff(np.concatenate([head, [len(sig)]]))
-            times = np.repeat(k, k)
-            many = times > 1
-            yield from rows(b, (sig[many].astype(np.int64) * buckets) + b, c[many], own[many], times[many])
+            order = order[np.lexsort((~bits[order], c[order], name[order]))]
+            name, sig, bits, c = name[order], sig[order], bits[order], c[order]
+            if not len(name):
+                continue
+            first = np.concatenate([[True], (name[1:] != name[:-1]) | (c[1:] != c[:-1])])
+            name, sig, bits, c = name[first], sig[first], bits[first], c[first]
+            head = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+            k = np.diff(np.concatenate([head, [len(name)]]))
+            owned = np.add.reduceat((bits & OWN).astype(np.int64), head)
+            many = np.repeat((k > 1) & (owned > 0), k)
+            hits = np.empty(int(many.sum()), HIT)
+            hits["c"], hits["sig"], hits["k"] = c[many], sig[many], np.minimum(np.repeat(k, k)[many], 2**32 - 1)
+            if len(hits):
+                yield _deal(hits, _class_bucket(c[many], buckets), False)
+
+    return _by_bucket(pubs, buckets).mapInArrow(run, PACKED)
+
+
+def _asked(hits: DataFrame, buckets: int, wide: bool) -> DataFrame:
+    """Rows (sig, c, n, own, rest, h) of the hashes that classes ask for: all but as
+    many of the most crowded as they can spare.  For single shingles, ``rest``
+    names the shared ones from this one on, in the order of asking, and h is
+    their number.  Entries that are short of weight give a row without sig."""
+
+    def rows(sig, c, n, own, rest, h):
+        for i in range(0, len(sig), 100_000):
+            j = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays(
+                [sig[j], pa.array(c[j]), pa.array(n[j]), pa.array(own[j]), pa.array(rest[j]), pa.array(h[j])], names=["sig", "c", "n", "own", "rest", "h"])
 
-    return pubs.repartition(max(1, buckets // 8), "bucket").mapInArrow(run, "sig long, c long, own boolean, k long")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, plain, entries in _buckets_of(batches):
+            e = np.frombuffer(b"".join(entries), ENTRY)
+            which = (e["c"].astype(np.int64), e["own"].astype(bool))
+            order = np.lexsort((which[1], which[0]))
+            e = e[order]
+            first = np.concatenate([[True], (e["c"][1:] != e["c"][:-1]) | (e["own"][1:] != e["own"][:-1])]) if len(e) else np.zeros(0, bool)
+            e = e[first]
+            bad = e[e["short"] > 0]
+            if len(bad):
+                none = np.zeros(len(bad), np.int64)
+                yield from rows(pa.nulls(len(bad), pa.int64()), bad["c"].astype(np.int64), bad["n"].astype(np.int64), bad["own"].astype(bool), none, none)
+            if not plain:
+                continue
+            x = np.frombuffer(b"".join(plain), HIT)
+            plain.clear()
+            c, sig, k = x["c"].astype(np.int64), x["sig"].astype(np.uint64), x["k"].astype(np.int64)
+            own, fixed = np.ones(len(c), bool), np.zeros(len(c), bool)
+            if not wide:
+                own, fixed, sig = (sig & OWN) > 0, (sig & FIXED) > 0, sig >> np.uint64(2)
+            order = np.lexsort((sig, k, ~fixed, own, c))
+            c, sig, own, fixed = c[order], sig[order], own[order], fixed[order]
+            head = np.concatenate([[True], (c[1:] != c[:-1]) | (own[1:] != own[:-1])])
+            group = np.cumsum(head) - 1
+            at = np.flatnonzero(head)
+            size = np.diff(np.concatenate([at, [len(c)]]))
+            place = np.arange(len(c)) - at[group]
+            # the entry of each group
+            names = e["c"].astype(np.int64)
+            i = np.searchsorted(names, c[at])
+            i = i + ((own[at]) & (e["own"][i] == 0) & (i + 1 < len(e)))
+            spare, n = e["spare"][i].astype(np.int64), e["n"][i].astype(np.int64)
+            ask = fixed | (place < (size - np.maximum(spare, 0))[group])
+            rest = np.zeros(len(c), np.int64)
+            h = np.zeros(len(c), np.int64)
+            if wide:
+                with np.errstate(over="ignore"):
+                    total = np.concatenate([[0], np.cumsum(mix(sig, 31))]).astype(np.uint64)
+                    rest = (total[np.concatenate([at[1:], [len(c)]])][group] - total[:-1]).view(np.int64)
+                h = size[group] - place
+            yield from rows(pa.array(sig[ask].view(np.int64)), c[ask], n[group][ask], own[ask], rest[ask], h[ask])
+
+    return _by_bucket(hits, buckets).mapInArrow(run, "sig long, c long, n long, own boolean, rest long, h long")
 
 
 #: Representatives up to which their ids are sent to every executor.
@@ -384,10 +579,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are similar."""
+    """Those of the pairs (a, b) that are similar.  ``a`` may be in many pairs: its
+    shingles come last, so that they are not moved with each."""
     full = (
-        pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
-        .join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+        pairs.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+        .join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
         .select("a", "b", "sa", "sb")
     )
 
@@ -422,7 +618,9 @@ def components(links: DataFrame) -> DataFrame:
             break
         mark = tuple(seen)
     roots = now.select(F.col("u").alias("c"), F.col("v").alias("root"))
-    return roots.unionByName(now.select(F.col("v").alias("c"), F.col("v").alias("root")).distinct())
+    out = materialize(roots.unionByName(now.select(F.col("v").alias("c"), F.col("v").alias("root")).distinct()))
+    discard(now)
+    return out
 
 
 def _uneven_links(docs: DataFrame, text: str, seed: int, tokens: np.ndarray, owner: np.ndarray, sizes: dict[int, int]) -> DataFrame:
@@ -450,13 +648,18 @@ def _uneven_links(docs: DataFrame, text: str, seed: int, tokens: np.ndarray, own
     return docs.select(text).mapInArrow(run, "a long, b long").distinct()
 
 
+def _alike(n, m):
+    """Whether sets of n and m shingles can be similar at all."""
+    return (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_shingles, component_id), one for each row of ``docs``.
 
     component_id is the least key that links lead to; documents without words
     are linked with nothing.  Null texts count as empty, null keys never name a
-    component that has another key; repeated rows stay.  An empty table gives
-    an empty one.
+    component that has another key; repeated rows stay; very long texts are taken
+    whole; other columns are not looked at.  An empty table gives an empty one.
     """
     spark = docs.sparkSession
     for seed in range(8):
@@ -465,81 +668,102 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         if not classes.filter("clash").limit(1).count():
             break
         discard(members, classes)  # two sets of one class number: number them anew
-    buckets = 8 * shuffle_partitions(spark)
-    shared = materialize(_shared(_publications(docs, text, seed, buckets), buckets))
-    surplus = shared.filter("k = 0").select("c", F.col("sig").alias("surplus"))
-    asked = materialize(_asked(shared.filter("k > 1"), surplus))
+    else:
+        raise RuntimeError("different sets have one class number under every seed")
+    most, total = classes.agg(F.max("n"), F.sum("n")).first()
+    layouts = layouts_up_to(most or 1)
+    buckets = max(2 * shuffle_partitions(spark), (total or 0) // BUCKET)
+    pubs = _publications(docs, text, seed, buckets, layouts)
+    asked = materialize(_asked(_shared(pubs, buckets, False), buckets, False))
+    short = asked.filter("sig is null").select("c").distinct()
+    met = _met(asked.filter("sig is not null"))
+    stored = [members, classes, asked, met]
     reps = classes.select("c", F.col("rep").alias(key))
-    sets = materialize(_sets(docs, key, text, seed, asked.select("c").distinct().join(reps, "c").select(key)))
-    # each class and the hub with which it shares most; a hash's hub is one that asks
-    hub = asked.filter("asks").groupBy("sig").agg(F.min("c").alias("hub"))
-    met = asked.join(hub, "sig").filter("c <> hub").groupBy("c", "hub").count()
-    tried = materialize(met.groupBy("c").agg(F.max(F.struct("count", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("c").alias("b")))
+    sets = materialize(_sets(docs, key, text, seed, met.select("c").distinct().join(reps, "c").select(key)))
+    # each class and the hub with which it shares most
+    ways = met.filter((F.col("c") != F.col("hub")) & _alike(F.col("n"), F.col("hub_n"))).groupBy("c", "hub").count()
+    tried = ways.groupBy("c").agg(F.max(F.struct("count", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("c").alias("b"))
     links = materialize(_verified(tried, sets))
-    extra = _block_links(docs, key, text, seed, surplus.filter("surplus < 0").join(classes, "c"))
+    stored += [sets, links]
+    extra = _block_links(docs, key, text, seed, short.join(classes, "c"))
     if extra is not None:
-        links = materialize(links.unionByName(extra))
-    roots = materialize(components(links))
-    # classes under hashes that still join different components: their rarest shingles decide
-    labelled = asked.join(roots, "c", "left").select("sig", "c", F.coalesce("root", "c").alias("root"))
+        links = links.unionByName(extra)
+    roots = components(links)
+    stored.append(roots)
+    # classes under hashes that still join different components
+    labelled = met.select("sig", "c").join(roots, "c", "left").select("sig", "c", F.coalesce("root", "c").alias("root"))
     split = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-    rest = materialize(labelled.join(split, "sig", "left_semi").select("c", "root").distinct())
-    pairs = _rarest_pairs(sets, rest).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialize(_verified(pairs, sets))
-    if more.limit(1).count():
-        roots = materialize(components(links.select("a", "b").unionByName(more)))
+    rest = materialize(labelled.join(split, "sig", "left_semi").select("c").distinct())
+    stored.append(rest)
+    if rest.limit(1).count():
+        roots = _settled(sets.join(rest, "c", "left_semi"), links, roots, sets, stored)
     labels = classes.join(roots, "c", "left").select("c", "n", "rep", F.coalesce("root", "c").alias("root"))
     best = labels.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialize(labels.join(best, "root").select("c", "component_id"))
-    discard(shared, asked, sets, tried, rest)
     empty = F.col("n") == 0
-    return members.join(named, "c", "left").select(
-        key, F.col("n").alias("n_shingles"), F.when(empty, F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def _asked(shared: DataFrame, surplus: DataFrame) -> DataFrame:
-    """Rows (sig, c, asks) of hashes that some class asks to be looked at.
-
-    A class gives up as many of its most crowded hashes as its surplus of weight
-    allows, and asks for the rest of its own band; the pigeonhole then still
-    holds for it, and a pair needs only one side that asks."""
-    order = W.partitionBy("c").orderBy(F.desc("own"), F.desc("k"), "sig")
-    ranked = shared.withColumn("_i", F.row_number().over(order)).join(surplus, "c")
-    # hashes of one class are a set's segments: a group is as large as a document
-    asks = ranked.select("sig", "c", (F.col("own") & (F.col("_i") > F.greatest("surplus", F.lit(0)))).alias("asks"))
-    wanted = asks.groupBy("sig").agg(F.bool_or("asks").alias("any")).filter("any").select("sig")
-    return asks.join(wanted, "sig", "left_semi")
-
-
-def _rarest_pairs(sets: DataFrame, rest: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the classes ``rest`` (c, root) in different components that may
-    be similar, by the finest partition: a shingle a segment, cheapest first.
+    out = materialize(members.join(named, "c", "left").select(
+        key, F.col("n").alias("n_shingles"), F.when(empty, F.col(key)).otherwise(F.col("component_id")).alias("component_id")))
+    discard(*stored, named, *([extra] if extra is not None else []))
+    return out
 
-    Sets that are similar share one of the n - ceil(0.75 n) + 1 shingles of each
-    that the fewest of these classes have.  Passages that many share come last,
-    so sets that share nothing else do not meet."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c, root, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                t = np.frombuffer(s.as_buffer(), np.int64)
-                for i in range(0, len(t), 100_000):
-                    part = t[i: i + 100_000]
-                    k = len(part)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(part), pa.array(np.full(k, c)), pa.array(np.full(k, root)), pa.array(np.full(k, len(t)))], names=["t", "c", "root", "n"])
-
-    one = rest.join(sets, "c").select("c", "root", "s").mapInArrow(run, "t long, c long, root long, n long")
-    often = one.withColumn("times", F.count("*").over(W.partitionBy("t"))).filter("times > 1")
-    w = W.partitionBy("c")  # a group is a document's shingles
-    ranked = often.withColumns({"i": F.row_number().over(w.orderBy("times", "t")), "many": F.count("*").over(w)})
-    # the shingles that no other class has come before these
-    first = F.col("n") - F.ceil(F.col("n") * F.lit(NUM) / F.lit(DEN)) + 1 - (F.col("n") - F.col("many"))
-    few = ranked.filter(F.col("i") <= first).select("t", "c", "root", "n")
-    x = few.select("t", F.col("c").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    y = few.select("t", F.col("c").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    like = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
-    return x.join(y, "t").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & like).select("a", "b").distinct()
+def _met(asked: DataFrame) -> DataFrame:
+    """Rows (sig, c, n, hub, hub_n): the classes that meet under a hash, and the
+    smallest of them of the hash's own band."""
+    hub = asked.groupBy("sig").agg(F.min(F.when(F.col("own"), F.struct("n", "c"))).alias("h"), F.count("*").alias("k"))
+    hub = hub.filter("k > 1 and h is not null").select("sig", F.col("h.c").alias("hub"), F.col("h.n").alias("hub_n"))
+    return materialize(asked.select("sig", "c", "n").join(hub, "sig"))
+
+
+def _settled(rest: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, stored: list) -> DataFrame:
+    """The components with the links among the classes ``rest`` (c, s) that their hubs
+    have left open, by the finest partition."""
+    buckets = 2 * shuffle_partitions(rest.sparkSession)
+    asked = _asked(_shared(_shingle_publications(rest, buckets), buckets, True), buckets, True)
+    asked = materialize(asked.withColumnRenamed("sig", "t").drop("own"))
+    stored.append(asked)
+    both = F.lit(NUM + DEN)
+
+    def rooted(roots):
+        return asked.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+
+    here = materialize(rooted(roots))
+    stored.append(here)
+    # classes that share all behind t, and the smallest of them: their sizes decide
+    least = here.groupBy("t", "rest").agg(F.min(F.struct("n", "c", "root")).alias("x"), F.count("*").alias("k")).filter("k > 1")
+    sure = here.join(least, ["t", "rest"]).filter(
+        (F.col("root") != F.col("x.root")) & ((F.col("n") + F.col("x.n")) * NUM <= both * F.col("h"))
+    ).select(F.col("x.c").alias("a"), F.col("c").alias("b")).distinct()
+    # and the class of which the largest part stands behind t
+    part = F.struct((F.col("h") / F.col("n")).alias("part"), "c", "n", "h", "root")
+    hub = here.groupBy("t").agg(F.max(part).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("t", "x")
+    likely = here.join(hub, "t").filter(
+        (F.col("root") != F.col("x.root")) & ((F.col("n") + F.col("x.n")) * NUM <= both * F.least("h", "x.h"))
+    ).select(F.col("x.c").alias("a"), F.col("c").alias("b")).distinct()
+    more = materialize(_verified(likely, sets).unionByName(sure))
+    stored.append(more)
+    links = links.select("a", "b").unionByName(more)
+    if more.limit(1).count():
+        roots = components(links)
+        stored.append(roots)
+        here = materialize(rooted(roots))
+        stored.append(here)
+    # of each component the smallest class with each rest; ``most``: the largest partner that the rest allows
+    ends = here.groupBy("t", "rest", "root").agg(F.min(F.struct("n", "c")).alias("x"), F.max("h").alias("h")).select(
+        "t", "root", F.col("x.c").alias("c"), F.col("x.n").alias("n"), (F.floor(F.col("h") * both / NUM) - F.col("x.n")).alias("most"))
+    split = ends.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("t")
+    ends = materialize(ends.join(split, "t", "left_semi"))
+    stored.append(ends)
+    x = ends.filter("most >= n").select("t", *[F.col(c).alias(f"{c}_x") for c in ("root", "c", "n", "most")])
+    pairs = x.join(ends, "t").filter(
+        (F.col("root") != F.col("root_x")) & (F.col("n") <= F.col("most_x")) & (F.col("n_x") <= F.col("most")) & _alike(F.col("n"), F.col("n_x"))
+    ).select(F.least("c", "c_x").alias("a"), F.greatest("c", "c_x").alias("b")).distinct()
+    last = materialize(_verified(pairs, sets))
+    stored.append(last)
+    if last.limit(1).count():
+        roots = components(links.unionByName(last))
+        stored.append(roots)
+    return roots
 
 
 def _block_links(docs: DataFrame, key: str, text: str, seed: int, uneven: DataFrame) -> DataFrame | None:

@@ -349,7 +349,23 @@ def test_layouts_fill_enough():
     rng = np.random.default_rng(1)
     for n in [3, 4, 9, 20, 33, 64, 85, 130, 300, 513, 1500]:
         sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for _ in range(60)]
-        assert jaccard.published(sets)[3].min() >= 0
+        entries = jaccard.published(sets, jaccard.layouts_up_to(n))[2]
+        assert len(entries) >= len(sets) and not entries["short"].any()
+
+
+def test_jaccard_of_texts_that_share_a_passage(spark):
+    """Most of each text is one passage, so many pairs are just below or above the threshold."""
+    rng = random.Random(8)
+    passage, second = [f"p{i}" for i in range(34)], [f"q{i}" for i in range(12)]
+    docs = []
+    for i in range(1200):
+        own = [f"{i}x{j}" for j in range(rng.randint(0, 16))]
+        w = passage + own + (second if i % 5 == 0 else [])
+        if i % 7 == 0:
+            w[rng.randrange(34)] = f"{i}y"
+        docs.append((i, " ".join(w)))
+    got = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id int, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs)
 
 
 def test_jaccard_empty(spark, empty, awkward):
