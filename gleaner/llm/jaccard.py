@@ -56,8 +56,10 @@ DELETION_STEPS = (0, 1, 2, 8)
 UNEVEN, SLACK = 1e-7, 5.2
 #: Sizes up to which that chance is computed exactly.
 EXACT_SIZES = 127
-#: What a segment of one shingle costs, in hashes, beside its own.
-LONE = 4.0
+#: Share of what a set asks for that it should be able to give up.
+RESERVE = 0.25
+#: What a segment of one shingle, or a hash that can't be given up, costs in hashes beside itself.
+DEAR = 4.0
 #: Hashes that a worker holds before it sends them on, and hashes a bucket.
 HELD, BUCKET = 500_000, 1_000_000
 #: Shingles of unevenly filled sets that are compared with all documents in one pass.
@@ -151,18 +153,19 @@ def apart(a, b):
 
 
 class Layout:
-    """How sets of a band of sizes are cut: ``segments``, how many of them are
-    published, and whether all, some (one in ``every``) or none allow a deletion.
+    """How sets of a band of sizes are cut: ``segments``, and whether all, some (one
+    in ``every``) or none allow a deletion.
 
     The larger of two similar sets vouches for their meeting: it has more weight
-    in published segments than the two can differ in."""
+    in its segments than the two can differ in.  Beyond that a set should have
+    ``RESERVE`` more than it asks for, so that it can give up crowded segments."""
 
     def __init__(self, band: int):
         self.band = band
         self.low, self.high = 1 << band, (1 << (band + 1)) - 1
         self.top = max(self.high, self.high * DEN // NUM)  # with the sets of the next band that may match
         options = [o for every in DELETION_STEPS for o in self._options(every)]
-        self.cost, self.every, self.segments, self.publish = min(options, key=lambda o: o[0])
+        self.cost, self.every, self.segments = min(options, key=lambda o: o[0])
 
     def vouched(self, x):
         """The weight that a set of x needs to meet any similar set that is not larger."""
@@ -179,47 +182,43 @@ class Layout:
         twice = (filled - lam * np.exp(-lam)) / every if every else 0 * lam
         return filled, twice
 
-    def _enough(self, q: int, m: int, every: int) -> bool:
-        """Whether q of m segments suffice for (nearly) every set."""
+    def _enough(self, m: int, every: int) -> bool:
+        """Whether m segments suffice for (nearly) every set."""
         if self.high <= EXACT_SIZES and not every:
             x = np.arange(max(self.low, DEN // (DEN - NUM) - 1), self.top + 1)
-            return _chance_of_few(x, self.vouched(x) - 1, q, m) <= UNEVEN
+            return _chance_of_few(x, self.vouched(x) - 1, m) <= UNEVEN
         x = np.unique(np.linspace(self.low, self.top, 24).astype(np.int64))
         lam = x / m
         filled, twice = self._weight(lam, every)
-        var = q * np.exp(-lam) * filled - q * q * lam / m * np.exp(-2 * lam)
-        var = var + q * (2 * twice * (1 - filled) + twice * (1 - twice))  # deletions taken as independent: more than it is
-        return bool((q * (filled + twice) - SLACK * np.sqrt(np.maximum(var, 0)) >= self.vouched(x)).all())
+        var = m * np.exp(-lam) * (filled - lam * np.exp(-lam))
+        var = var + m * (2 * twice * (1 - filled) + twice * (1 - twice))  # deletions taken as independent: more than it is
+        return bool((m * (filled + twice) - SLACK * np.sqrt(var) >= self.vouched(x)).all())
 
     def _options(self, every: int):
         if every and self.low < 64:  # small sets' segments are too few to tell their spread
             return
-        for fullness in (0.01, 0.02, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0):
+        x = np.arange(self.low, self.top + 1)
+        own = x <= self.high
+        for fullness in (0.01, 0.02, 0.2, 0.35, 0.5, 0.75, 1.0, 1.25, 1.5, 1.75, 2.0, 2.25, 2.5, 3.0, 3.5, 4.0):
             m = max(2, int(self.high / fullness))
-            if not self._enough(m, m, every):
-                continue
-            lo, hi = 1, m
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if self._enough(mid, m, every):
-                    hi = mid
-                else:
-                    lo = mid + 1
-            x = np.arange(self.low, self.top + 1)
             lam = x / m
-            filled, _ = self._weight(lam, every)
-            hashes = lo * (filled + (lam / every if every else 0))
-            single = lo * lam * np.exp(-lam)
-            # a lone shingle is shared far sooner than several: it costs as LONE more hashes
-            yield (float(((hashes + LONE * single) / x).mean()), every, m, lo)
+            filled, twice = self._weight(lam, every)
+            reserve = (m * (filled + twice) / self.asked(x))[own].min() >= 1 + RESERVE
+            if (fullness > 0.02 and not reserve) or not self._enough(m, every):
+                continue
+            loose = m * (filled + lam) / every if every else 0 * lam
+            hashes = m * filled + (m * lam / every if every else 0)
+            single = m * lam * np.exp(-lam)
+            # a lone shingle is shared far sooner than several, and what allows a deletion is never given up
+            yield (float(((hashes + DEAR * (single + loose)) / x).mean()), every, m)
 
 
-def _chance_of_few(x: np.ndarray, most: np.ndarray, q: int, m: int) -> float:
-    """The largest chance, over sizes x, that x shingles fill at most ``most`` of q among m segments."""
+def _chance_of_few(x: np.ndarray, most: np.ndarray, m: int) -> float:
+    """The largest chance, over sizes x, that x shingles fill at most ``most`` of m segments."""
     wanted = dict(zip(x.tolist(), most.tolist()))
     p = np.zeros(int(most.max()) + 2)
     p[0], worst = 1.0, 0.0
-    go = np.maximum(q - np.arange(len(p)), 0) / m
+    go = np.maximum(m - np.arange(len(p)), 0) / m
     for n in range(1, int(x.max()) + 1):
         moved = p * go
         p -= moved
@@ -248,16 +247,14 @@ def _segment_hashes(sets: list[np.ndarray], bands: np.ndarray, layouts: dict[int
     made = [layouts[int(b)] for b in bands]
     sizes = np.array([len(s) for s in sets])
     m = np.array([x.segments for x in made], np.uint64)
-    q = np.array([x.publish for x in made], np.int64)
     every = np.array([x.every for x in made], np.int64)
-    base = np.concatenate([[0], np.cumsum(q)])
+    base = np.concatenate([[0], np.cumsum(m)]).astype(np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     flat = np.concatenate(sets)
     salt = mix(bands.astype(np.uint64), 77)
     with np.errstate(over="ignore"):
         seg = ((mix(flat ^ salt[owner]) >> np.uint64(32)) * m[owner] >> np.uint64(32)).astype(np.int64)
-        use = seg < q[owner]
-        seg, owner, tok = seg[use], owner[use], mix(flat[use], 5)
+        tok = mix(flat, 5)
         slot = base[owner] + seg
         count = np.bincount(slot, minlength=base[-1])
         total = np.zeros(base[-1], np.uint64)
@@ -341,8 +338,8 @@ def _classes(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
 PAIR = np.dtype([("hi", "u1"), ("lo", "<u4"), ("c", "<i8")])
 #: A whole shingle and a class.
 WIDE = np.dtype([("sig", "<u8"), ("c", "<i8")])
-#: A hash that more than one class has, with the number of them.
-HIT = np.dtype([("c", "<i8"), ("sig", "<u8"), ("k", "<u4")])
+#: A hash that more than one class has, with the number of them and their hub, one of the hash's own band.
+HIT = np.dtype([("c", "<i8"), ("sig", "<u8"), ("k", "<u4"), ("hub", "<i8")])
 
 
 def _deal(rows: np.ndarray, bucket: np.ndarray, entries: bool) -> pa.RecordBatch:
@@ -454,69 +451,83 @@ def _shared(pubs: DataFrame, buckets: int, wide: bool) -> DataFrame:
     of them under its own band), and how many.  Entries pass through."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        passed: list[np.ndarray] = []
+
+        def flush():
+            for x, entries in ((held, False), (passed, True)):
+                if x:
+                    rows = np.concatenate(x)
+                    x.clear()
+                    yield _deal(rows, _class_bucket(np.ascontiguousarray(rows["c"]), buckets), entries)
+
         for b, plain, entries in _buckets_of(batches):
-            for d in entries:
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([d], pa.binary()), pa.array([True])], names=["bucket", "data", "entries"])
-            if not plain:
-                continue
-            pairs = np.frombuffer(b"".join(plain), WIDE if wide else PAIR)
-            plain.clear()
-            c = pairs["c"].astype(np.int64)
-            if wide:
-                sig = name = pairs["sig"].astype(np.uint64)
-                bits = np.full(len(sig), OWN)
-            else:
-                code = (pairs["hi"].astype(np.uint64) << np.uint64(32)) | pairs["lo"].astype(np.uint64)
-                bits = code & (OWN | FIXED)
-                name = code >> np.uint64(2)
-                sig = ((name * np.uint64(buckets) + np.uint64(b)) << np.uint64(2)) | bits
-            del pairs
-            order = np.argsort(name, kind="stable")
-            same = name[order]
-            near = np.concatenate([same[1:] == same[:-1], [False]])
-            order = order[near | np.concatenate([[False], near[:-1]])]  # only hashes that occur again
-            order = order[np.lexsort((~bits[order], c[order], name[order]))]
-            name, sig, bits, c = name[order], sig[order], bits[order], c[order]
-            if not len(name):
-                continue
-            first = np.concatenate([[True], (name[1:] != name[:-1]) | (c[1:] != c[:-1])])
-            name, sig, bits, c = name[first], sig[first], bits[first], c[first]
-            head = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-            k = np.diff(np.concatenate([head, [len(name)]]))
-            owned = np.add.reduceat((bits & OWN).astype(np.int64), head)
-            many = np.repeat((k > 1) & (owned > 0), k)
-            hits = np.empty(int(many.sum()), HIT)
-            hits["c"], hits["sig"], hits["k"] = c[many], sig[many], np.minimum(np.repeat(k, k)[many], 2**32 - 1)
-            if len(hits):
-                yield _deal(hits, _class_bucket(c[many], buckets), False)
+            passed += [np.frombuffer(d, ENTRY) for d in entries]
+            if plain:
+                pairs = np.frombuffer(b"".join(plain), WIDE if wide else PAIR)
+                plain.clear()
+                held.append(_crowds(pairs, b, buckets, wide))
+            if sum(map(len, held)) + sum(map(len, passed)) > HELD:
+                yield from flush()
+        yield from flush()
 
     return _by_bucket(pubs, buckets).mapInArrow(run, PACKED)
 
 
+def _crowds(pairs: np.ndarray, b: int, buckets: int, wide: bool) -> np.ndarray:
+    """The hits of one bucket's pairs."""
+    c = pairs["c"].astype(np.int64)
+    if wide:
+        sig = name = pairs["sig"].astype(np.uint64)
+        bits = np.full(len(sig), OWN)
+    else:
+        code = (pairs["hi"].astype(np.uint64) << np.uint64(32)) | pairs["lo"].astype(np.uint64)
+        bits = code & (OWN | FIXED)
+        name = code >> np.uint64(2)
+        sig = ((name * np.uint64(buckets) + np.uint64(b)) << np.uint64(2)) | bits
+    order = np.argsort(name, kind="stable")
+    same = name[order]
+    near = np.concatenate([same[1:] == same[:-1], [False]])
+    order = order[near | np.concatenate([[False], near[:-1]])]  # only hashes that occur again
+    order = order[np.lexsort((c[order], ~bits[order] & OWN, name[order]))]
+    name, sig, bits, c = name[order], sig[order], bits[order], c[order]
+    if not len(name):
+        return np.zeros(0, HIT)
+    first = np.concatenate([[True], (name[1:] != name[:-1]) | (c[1:] != c[:-1])])
+    name, sig, bits, c = name[first], sig[first], bits[first], c[first]
+    head = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    k = np.diff(np.concatenate([head, [len(name)]]))
+    owned = (bits[head] & OWN) > 0  # those of the own band come first
+    many = np.repeat((k > 1) & owned, k)
+    hits = np.empty(int(many.sum()), HIT)
+    hits["c"], hits["sig"], hits["hub"] = c[many], sig[many], np.repeat(c[head], k)[many]
+    hits["k"] = np.minimum(np.repeat(k, k)[many], 2**32 - 1)
+    return hits
+
+
 def _asked(hits: DataFrame, buckets: int, wide: bool) -> DataFrame:
-    """Rows (sig, c, n, own, rest, h) of the hashes that classes ask for: all but as
-    many of the most crowded as they can spare.  For single shingles, ``rest``
-    names the shared ones from this one on, in the order of asking, and h is
-    their number.  Entries that are short of weight give a row without sig."""
-
-    def rows(sig, c, n, own, rest, h):
-        for i in range(0, len(sig), 100_000):
-            j = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays(
-                [sig[j], pa.array(c[j]), pa.array(n[j]), pa.array(own[j]), pa.array(rest[j]), pa.array(h[j])], names=["sig", "c", "n", "own", "rest", "h"])
+    """What classes ask for: all their shared hashes but as many of the most crowded as
+    they can spare.
+
+    Of segments: rows (c, hub, times), the hubs that a class meets.  Entries
+    that are short of weight give a row without hub.  Of single shingles: rows
+    (c, n, t, rest, h), where ``rest`` names the shared ones from t on, in the
+    order of asking, and h is their number."""
+
+    def rows(**columns):
+        n = len(next(iter(columns.values())))
+        for i in range(0, n, 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i: i + 100_000]) for x in columns.values()], names=list(columns))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, plain, entries in _buckets_of(batches):
             e = np.frombuffer(b"".join(entries), ENTRY)
-            which = (e["c"].astype(np.int64), e["own"].astype(bool))
-            order = np.lexsort((which[1], which[0]))
-            e = e[order]
-            first = np.concatenate([[True], (e["c"][1:] != e["c"][:-1]) | (e["own"][1:] != e["own"][:-1])]) if len(e) else np.zeros(0, bool)
-            e = e[first]
-            bad = e[e["short"] > 0]
-            if len(bad):
-                none = np.zeros(len(bad), np.int64)
-                yield from rows(pa.nulls(len(bad), pa.int64()), bad["c"].astype(np.int64), bad["n"].astype(np.int64), bad["own"].astype(bool), none, none)
+            e = e[np.lexsort((e["own"], e["c"]))]
+            e = e[np.concatenate([[True], (e["c"][1:] != e["c"][:-1]) | (e["own"][1:] != e["own"][:-1])])] if len(e) else e
+            short = np.unique(e["c"][e["short"] > 0].astype(np.int64))
+            if len(short):
+                none = pa.nulls(len(short), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(short), none, none], names=["c", "hub", "times"])
             if not plain:
                 continue
             x = np.frombuffer(b"".join(plain), HIT)
@@ -526,28 +537,27 @@ def _asked(hits: DataFrame, buckets: int, wide: bool) -> DataFrame:
             if not wide:
                 own, fixed, sig = (sig & OWN) > 0, (sig & FIXED) > 0, sig >> np.uint64(2)
             order = np.lexsort((sig, k, ~fixed, own, c))
-            c, sig, own, fixed = c[order], sig[order], own[order], fixed[order]
-            head = np.concatenate([[True], (c[1:] != c[:-1]) | (own[1:] != own[:-1])])
-            group = np.cumsum(head) - 1
-            at = np.flatnonzero(head)
+            c, sig, own, fixed, hub = c[order], sig[order], own[order], fixed[order], x["hub"][order].astype(np.int64)
+            at = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (own[1:] != own[:-1])]))
             size = np.diff(np.concatenate([at, [len(c)]]))
-            place = np.arange(len(c)) - at[group]
-            # the entry of each group
-            names = e["c"].astype(np.int64)
-            i = np.searchsorted(names, c[at])
-            i = i + ((own[at]) & (e["own"][i] == 0) & (i + 1 < len(e)))
+            place = np.arange(len(c)) - np.repeat(at, size)
+            i = np.searchsorted(e["c"].astype(np.int64), c[at])  # the entry of each group
+            i = i + (own[at] & (e["own"][i] == 0))
             spare, n = e["spare"][i].astype(np.int64), e["n"][i].astype(np.int64)
-            ask = fixed | (place < (size - np.maximum(spare, 0))[group])
-            rest = np.zeros(len(c), np.int64)
-            h = np.zeros(len(c), np.int64)
+            ask = fixed | (place < np.repeat(size - np.maximum(spare, 0), size))
             if wide:
                 with np.errstate(over="ignore"):
-                    total = np.concatenate([[0], np.cumsum(mix(sig, 31))]).astype(np.uint64)
-                    rest = (total[np.concatenate([at[1:], [len(c)]])][group] - total[:-1]).view(np.int64)
-                h = size[group] - place
-            yield from rows(pa.array(sig[ask].view(np.int64)), c[ask], n[group][ask], own[ask], rest[ask], h[ask])
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sig, 31))])
+                    rest = (np.repeat(total[at + size], size) - total[:-1]).view(np.int64)
+                yield from rows(c=c[ask], n=np.repeat(n, size)[ask], t=sig.view(np.int64)[ask], rest=rest[ask], h=(np.repeat(size, size) - place)[ask])
+                continue
+            c, hub = c[ask], hub[ask]
+            order = np.lexsort((hub, c))
+            c, hub = c[order], hub[order]
+            at = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (hub[1:] != hub[:-1])])) if len(c) else np.zeros(0, np.int64)
+            yield from rows(c=c[at], hub=hub[at], times=np.diff(np.concatenate([at, [len(c)]])))
 
-    return _by_bucket(hits, buckets).mapInArrow(run, "sig long, c long, n long, own boolean, rest long, h long")
+    return _by_bucket(hits, buckets).mapInArrow(run, "c long, n long, t long, rest long, h long" if wide else "c long, hub long, times long")
 
 
 #: Representatives up to which their ids are sent to every executor.
@@ -583,7 +593,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     shingles come last, so that they are not moved with each."""
     full = (
         pairs.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
-        .join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
+        .join(sets.join(pairs.select(F.col("a").alias("c")).distinct(), "c", "left_semi").select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
         .select("a", "b", "sa", "sb")
     )
 
@@ -672,28 +682,30 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         raise RuntimeError("different sets have one class number under every seed")
     most, total = classes.agg(F.max("n"), F.sum("n")).first()
     layouts = layouts_up_to(most or 1)
-    buckets = max(2 * shuffle_partitions(spark), (total or 0) // BUCKET)
+    buckets = max(shuffle_partitions(spark), (total or 0) // BUCKET)
     pubs = _publications(docs, text, seed, buckets, layouts)
-    asked = materialize(_asked(_shared(pubs, buckets, False), buckets, False))
-    short = asked.filter("sig is null").select("c").distinct()
-    met = _met(asked.filter("sig is not null"))
-    stored = [members, classes, asked, met]
+    ways = materialize(_asked(_shared(pubs, buckets, False), buckets, False))
+    short = ways.filter("hub is null").select("c")
+    ways = ways.filter("hub is not null")
+    stored = [members, classes, ways]
     reps = classes.select("c", F.col("rep").alias(key))
-    sets = materialize(_sets(docs, key, text, seed, met.select("c").distinct().join(reps, "c").select(key)))
+    alone = ways.groupBy("hub").agg(F.count("*").alias("k"), F.min("c").alias("c")).filter("k = 1 and c = hub").select("hub")
+    ways = materialize(ways.join(alone, "hub", "left_anti"))  # a hub that no other class asks for is met by none
+    seen = ways.select("c").unionByName(ways.select(F.col("hub").alias("c"))).distinct()
+    sets = materialize(_sets(docs, key, text, seed, seen.join(reps, "c").select(key)))
     # each class and the hub with which it shares most
-    ways = met.filter((F.col("c") != F.col("hub")) & _alike(F.col("n"), F.col("hub_n"))).groupBy("c", "hub").count()
-    tried = ways.groupBy("c").agg(F.max(F.struct("count", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("c").alias("b"))
+    tried = ways.filter("c <> hub").groupBy("c").agg(F.max(F.struct("times", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("c").alias("b"))
     links = materialize(_verified(tried, sets))
-    stored += [sets, links]
+    stored += [ways, sets, links]
     extra = _block_links(docs, key, text, seed, short.join(classes, "c"))
     if extra is not None:
         links = links.unionByName(extra)
     roots = components(links)
     stored.append(roots)
-    # classes under hashes that still join different components
-    labelled = met.select("sig", "c").join(roots, "c", "left").select("sig", "c", F.coalesce("root", "c").alias("root"))
-    split = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-    rest = materialize(labelled.join(split, "sig", "left_semi").select("c").distinct())
+    # the classes that meet where different components meet
+    r = roots.select(F.col("c").alias("hub"), F.col("root").alias("hub_root"))
+    split = ways.join(roots, "c", "left").join(r, "hub", "left").filter(F.coalesce("root", "c") != F.coalesce("hub_root", "hub")).select("hub").distinct()
+    rest = materialize(ways.join(split, "hub", "left_semi").select("c").distinct())
     stored.append(rest)
     if rest.limit(1).count():
         roots = _settled(sets.join(rest, "c", "left_semi"), links, roots, sets, stored)
@@ -707,20 +719,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return out
 
 
-def _met(asked: DataFrame) -> DataFrame:
-    """Rows (sig, c, n, hub, hub_n): the classes that meet under a hash, and the
-    smallest of them of the hash's own band."""
-    hub = asked.groupBy("sig").agg(F.min(F.when(F.col("own"), F.struct("n", "c"))).alias("h"), F.count("*").alias("k"))
-    hub = hub.filter("k > 1 and h is not null").select("sig", F.col("h.c").alias("hub"), F.col("h.n").alias("hub_n"))
-    return materialize(asked.select("sig", "c", "n").join(hub, "sig"))
-
-
 def _settled(rest: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, stored: list) -> DataFrame:
     """The components with the links among the classes ``rest`` (c, s) that their hubs
     have left open, by the finest partition."""
-    buckets = 2 * shuffle_partitions(rest.sparkSession)
-    asked = _asked(_shared(_shingle_publications(rest, buckets), buckets, True), buckets, True)
-    asked = materialize(asked.withColumnRenamed("sig", "t").drop("own"))
+    buckets = shuffle_partitions(rest.sparkSession)
+    asked = materialize(_asked(_shared(_shingle_publications(rest, buckets), buckets, True), buckets, True))
     stored.append(asked)
     both = F.lit(NUM + DEN)
 
