@@ -26,11 +26,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: ``spark.checkpoint.dir``.
 
-    Only where the session has none (single-machine tests) a temporary folder
-    is set, and removed when the interpreter ends.
+    Only where a single-machine session has none (tests) a temporary folder is
+    set, and removed when the interpreter ends; a cluster must name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = getattr(spark, "_gleaner_shared", None)
         if not path:
             path = tempfile.mkdtemp(prefix="gleaner-")
@@ -80,12 +82,48 @@ def worker_state(key: str, make):
 
     store = pyspark.__dict__.setdefault("_gleaner_worker", {})
     if key not in store:
-        while len(store) > 64:  # the oldest go first
-            del store[next(iter(store))]
         store[key] = make()
     return store[key]
 
 
+def lean(run, *keys: str):
+    """``run`` for mapInArrow on a worker that lives through many jobs: state of other
+    operators goes before it starts, and freed memory goes back when it ends."""
+
+    def tidy(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+        import pyspark
+
+        store = pyspark.__dict__.setdefault("_gleaner_worker", {})
+        for key in [k for k in store if k not in keys]:
+            del store[key]
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return tidy
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like those wanted that the table doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def labelled_sample(df: DataFrame, label: str, key: str, per_label: int, seed: str) -> DataFrame:
     """About ``per_label`` rows of each label (all, where there are fewer), chosen by
     a hash of the key, so that neither the order nor the layout of rows matters."""

@@ -97,12 +97,14 @@ def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     n_hit: words inside occurrences of windows; items: the sorted items with
     occurring windows; n_near: proximity matches that are no occurrence.  Null
     texts have no words; items without a word have no window; repeated rows and
-    keys are judged row by row.
+    keys are judged row by row; very long texts are read whole; other columns are
+    not looked at; empty tables of documents or items give no rows or no hits.
     """
-    spark = docs.sparkSession
     windows, sets = anchored_windows(docs, bench, item, bench_text, text, width)
     anchors = sorted(r[0] for r in windows.select("anchor").distinct().collect())  # words of the benchmark
     rows = docs.select(F.monotonically_increasing_id().alias("_rid"), key, text)
+    if len(anchors) > ANCHORS_A_PASS:  # several passes must see one numbering of the rows
+        rows = materialize(rows)
     passes = [anchors[i: i + ANCHORS_A_PASS] for i in range(0, len(anchors), ANCHORS_A_PASS)] or [[]]
     stored = [materialize(index_anchors(rows, part, text, width, ["_rid", key])) for part in passes]
     posts = None

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import lean, materialize, table
 from .urlfilter import host_of
 
 #: Rows of the table of winning paths up to which it is sent to every executor.
@@ -158,7 +158,7 @@ def page_votes(pages: DataFrame, html: str, host: str) -> DataFrame:
                 [batch.column(0), pa.array([b and b[0] for b in best], pa.string()), pa.array([b and b[1] for b in best], pa.float64())],
                 names=["host", "path", "share"])
 
-    return pages.select(F.col(host).alias("host"), html).mapInArrow(run, "host string, path string, share double").filter("path is not null")
+    return pages.select(F.col(host).alias("host"), html).mapInArrow(lean(run), "host string, path string, share double").filter("path is not null")
 
 
 def host_paths(pages: DataFrame, html: str = "html", host: str = "host") -> DataFrame:
@@ -172,8 +172,10 @@ def host_paths(pages: DataFrame, html: str = "html", host: str = "host") -> Data
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Rows (key, url, text, n_chars, path): one for each row of ``pages``.
 
-    Null html and pages without an article have an empty text.  Pages without a
-    host form a host of their own.  Repeated rows each give their row and vote.
+    Null html and pages without an article have an empty text; very long pages are
+    read whole.  Pages without a host form a host of their own.  Repeated rows each
+    give their row and vote, ties go to the path that sorts first.  Other columns
+    are not looked at; an empty table gives an empty one.
     """
     rows = pages.select(key, url, html).withColumn("_host", host_of(F.col(url)))
     paths = materialize(host_paths(rows, html, "_host")).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
@@ -188,7 +190,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column(3)],
                 names=[key, url, "text", "n_chars", "path"])
 
-    return joined.mapInArrow(run, f"`{key}` {kind}, `{url}` string, text string, n_chars long, path string")
+    return joined.mapInArrow(lean(run), f"`{key}` {kind}, `{url}` string, text string, n_chars long, path string")
 
 
 def op6_hostpaths(spark, sf_dir: str) -> DataFrame:

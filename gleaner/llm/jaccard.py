@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, shuffle_partitions, table
+from .common import discard, lean, materialize, shuffle_partitions, table
 
 SHINGLE = 5
 #: The threshold, as a fraction of whole numbers: intersection * DEN >= union * NUM.
@@ -331,7 +331,7 @@ def _classes(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(check, pa.int64())], names=[key, "n", "c", "chk"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long, c long, chk long")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, n long, c long, chk long")
 
 
 #: A hash (40 bits beside its bucket; what they confuse, verification parts) and a class.
@@ -399,7 +399,7 @@ def _publications(docs: DataFrame, text: str, seed: int, buckets: int, layouts:
         if held[0]:
             yield from flush()
 
-    return docs.select(text).mapInArrow(run, PACKED)
+    return docs.select(text).mapInArrow(lean(run), PACKED)
 
 
 def _shingle_publications(sets: DataFrame, buckets: int) -> DataFrame:
@@ -424,7 +424,7 @@ def _shingle_publications(sets: DataFrame, buckets: int) -> DataFrame:
                 yield _deal(pairs, (mix(np.ascontiguousarray(pairs["sig"]), 21) % np.uint64(buckets)).astype(np.int32), False)
                 at = to
 
-    return sets.select("c", "s").mapInArrow(run, PACKED)
+    return sets.select("c", "s").mapInArrow(lean(run), PACKED)
 
 
 def _by_bucket(packed: DataFrame, buckets: int) -> DataFrame:
@@ -471,7 +471,7 @@ def _shared(pubs: DataFrame, buckets: int, wide: bool) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    return _by_bucket(pubs, buckets).mapInArrow(run, PACKED)
+    return _by_bucket(pubs, buckets).mapInArrow(lean(run), PACKED)
 
 
 def _crowds(pairs: np.ndarray, b: int, buckets: int, wide: bool) -> np.ndarray:
@@ -557,7 +557,7 @@ def _asked(hits: DataFrame, buckets: int, wide: bool) -> DataFrame:
             at = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (hub[1:] != hub[:-1])])) if len(c) else np.zeros(0, np.int64)
             yield from rows(c=c[at], hub=hub[at], times=np.diff(np.concatenate([at, [len(c)]])))
 
-    return _by_bucket(hits, buckets).mapInArrow(run, "c long, n long, t long, rest long, h long" if wide else "c long, hub long, times long")
+    return _by_bucket(hits, buckets).mapInArrow(lean(run), "c long, n long, t long, rest long, h long" if wide else "c long, hub long, times long")
 
 
 #: Representatives up to which their ids are sent to every executor.
@@ -576,7 +576,7 @@ def _sets(docs: DataFrame, key: str, text: str, seed: int, wanted: DataFrame) ->
     ids = materialize(wanted.distinct())
     few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     # rows that repeat a representative's key give its class once
-    return docs.select(key, text).join(few, key, "left_semi").select(text).mapInArrow(run, "c long, s binary").dropDuplicates(["c"])
+    return docs.select(key, text).join(few, key, "left_semi").select(text).mapInArrow(lean(run), "c long, s binary").dropDuplicates(["c"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -602,7 +602,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return full.mapInArrow(run, "a long, b long")
+    return full.mapInArrow(lean(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -655,7 +655,7 @@ def _uneven_links(docs: DataFrame, text: str, seed: int, tokens: np.ndarray, own
                             b.append(mine)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return docs.select(text).mapInArrow(run, "a long, b long").distinct()
+    return docs.select(text).mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _alike(n, m):

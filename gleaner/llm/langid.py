@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import decimal_id, fit_logistic, labelled_sample, table, worker_state
+from .common import decimal_id, fit_logistic, labelled_sample, lean, table, worker_state
 
 ORDER = 5
 #: Training texts a language: the bound of the sample that the models are fitted on.
@@ -248,10 +248,11 @@ class _Scorer(dict):
 
 
 def train_models(df: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "text",
-                 texts_per_lang: int = TEXTS_PER_LANG, order: int = ORDER) -> CharModels:
+                 texts_per_lang: int = TEXTS_PER_LANG, order: int = ORDER) -> CharModels | None:
     """Fits on at most about ``texts_per_lang`` whole texts of each language of ``df``.
 
-    A fifth of them calibrates.  Rows with a null language or text are left out.
+    A fifth of them calibrates.  Rows with a null language or text are left out;
+    None if no text with a letter is left.
     """
     rows = labelled_sample(
         df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, lang, text), lang, key, texts_per_lang, "langid"
@@ -270,7 +271,7 @@ def train_models(df: DataFrame, lang: str = "lang", key: str = "doc_id", text: s
             counts.update(w for t in tune[name] for w in words_of(t))
     fit = {k: v for k, v in fit.items() if v}
     if not fit:
-        raise ValueError("there is no labelled text to learn from")
+        return None
     model = CharModels.train(fit, order)
     model.calibrate(tune)
     return model
@@ -280,9 +281,13 @@ def for_tuning(key) -> bool:
     return zlib.crc32(f"tune:{key}".encode()) % 5 == 0
 
 
-def identify(df: DataFrame, model: CharModels, key: str = "doc_id", text: str = "text") -> DataFrame:
+def identify(df: DataFrame, model: CharModels | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, lang_pred, score, rejected).  Texts without a letter, and null
-    texts, are ``und`` with score 0 and rejected.  Equal texts get equal rows."""
+    texts, are ``und`` with score 0 and rejected, as are all without a model.
+    Repeated rows each give a row, equal texts get equal ones, very long texts are
+    read whole, other columns are not looked at, an empty table gives an empty one."""
+    if model is None:
+        return df.select(key, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     shared = df.sparkSession.sparkContext.broadcast(vars(model))  # bounded by the training sample
     name = uuid.uuid4().hex
     kind = df.schema[key].dataType.simpleString()
@@ -300,7 +305,7 @@ def identify(df: DataFrame, model: CharModels, key: str = "doc_id", text: str =
                  pa.array(und | (score < scorer.model.threshold))],
                 names=[key, "lang_pred", "score", "rejected"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, rejected boolean")
+    return df.select(key, text).mapInArrow(lean(run, name), f"`{key}` {kind}, lang_pred string, score double, rejected boolean")
 
 
 def op1_kneserney(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import decimal_id, fit_logistic, labelled_sample, table, worker_state
+from .common import decimal_id, fit_logistic, labelled_sample, lean, table, worker_state
 
 #: The bounds of the fit: labelled texts of each label, and preference pairs.
 TEXTS_PER_LABEL = 4000
@@ -88,6 +88,12 @@ class Ranker:
         z = self.slope * (self.raw(x) - self.cut) + np.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    @classmethod
+    def blank(cls) -> Ranker:
+        """Knows nothing: every text scores ``CUT``."""
+        n = len(FEATURES)
+        return cls(np.zeros(n), np.ones(n), [np.zeros(0)] * n, np.zeros(n))
+
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, max_pairs: int = MAX_PAIRS, seed: int = 7) -> Ranker:
         """Preference pairs by a seeded draw; every text is in about equally many."""
@@ -125,19 +131,20 @@ class Ranker:
 def train_ranker(df: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text",
                  texts_per_label: int = TEXTS_PER_LABEL) -> Ranker:
     """Fits on at most about ``texts_per_label`` whole texts of each label; rows with
-    a null label or key are left out, null texts are empty.  Only the texts'
-    features come to the driver."""
+    a null label or key are left out, null texts are empty, repeated rows count as
+    often as they occur.  Only the texts' features come to the driver.  Without
+    any labelled row every text scores ``CUT``: nothing tells it from a good one."""
     rows = labelled_sample(df.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label, text), label, key, texts_per_label, "quality")
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = feature_rows(batch.column(1).to_pylist())
+            x = feature_rows(x.as_py() for x in batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
 
-    got = rows.select(label, text).mapInArrow(measure, "label int, x array<double>").toArrow()
+    got = rows.select(label, text).mapInArrow(lean(measure), "label int, x array<double>").toArrow()
     if not got.num_rows:
-        raise ValueError("there is no labelled text to learn from")
+        return Ranker.blank()
     x = np.array(got.column("x").to_pylist())
     y = np.array(got.column("label").to_pylist())
     order = np.lexsort((*x.T, y))  # the outcome doesn't depend on the order of rows
@@ -145,7 +152,9 @@ def train_ranker(df: DataFrame, label: str = "quality", key: str = "doc_id", tex
 
 
 def score_quality(df: DataFrame, model: Ranker, text: str = "text", score: str = "score") -> DataFrame:
-    """Adds ``score`` (0 to 1; empty and null texts too); a column of that name is replaced."""
+    """Adds ``score`` (0 to 1; empty and null texts too).  A column of that name is
+    replaced, all others stay; equal texts score alike, very long ones are read
+    whole, no rows give no rows."""
     df = df.drop(*[c for c in (score,) if c != text])
     shared = df.sparkSession.sparkContext.broadcast(vars(model))  # a few hundred numbers
     name = uuid.uuid4().hex
@@ -154,11 +163,11 @@ def score_quality(df: DataFrame, model: Ranker, text: str = "text", score: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = worker_state(name, lambda: Ranker(**shared.value))
         for batch in batches:
-            s = ranker.score(feature_rows(batch.column(at).to_pylist()))
+            s = ranker.score(feature_rows(x.as_py() for x in batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, score])
 
     schema = T.StructType([*df.schema.fields, T.StructField(score, T.DoubleType())])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run, name), schema)
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, texts_per_label: int = TEXTS_PER_LABEL) -> DataFrame:
