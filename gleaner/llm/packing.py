@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, table, worker_state
+from .common import free_names, lean, materialize, shuffle_partitions, table, worker_state
 
 CAPACITY = 2048
 #: Letter runs and marks whose ids a worker keeps, before it starts anew.
@@ -45,6 +45,7 @@ class PieceIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.by_pieces = parts_by_class(self.tokenizer)
 
     def encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -67,7 +68,7 @@ class PieceIds(dict):
         other than letters send the words that have them to the tokenizer as
         they are; characters that only Python counts as white space, the text.
         """
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if not self.by_pieces or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.encode(text)
         if plain(text):
             return self.pieces(text)
@@ -78,6 +79,19 @@ class PieceIds(dict):
         return b"".join(map(self.__getitem__, found))
 
 
+#: Words on which a tokenizer must agree with its pieces before it is trusted to.
+PROBE = "Ab c9d10 e.f--g  H\n\tñandú ÉTÉ x_y 12,5 (z) #a1b2 straße ... A1B2"
+
+
+def parts_by_class(tokenizer) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and never merges letters,
+    single digits and marks: else whole texts go to it."""
+    same = lambda a, b: tokenizer.encode(a, add_special_tokens=False).ids == [
+        i for x in b for i in tokenizer.encode(x, add_special_tokens=False).ids]
+    low = PROBE.lower()
+    return same(PROBE, [low]) and same(PROBE, LETTER_PIECES.findall(low)) and all(same(w, LETTER_PIECES.findall(w.lower())) for w in PROBE.split())
+
+
 def plain(text: str) -> bool:
     if "'" in text or "<|" in text:
         return False
@@ -94,9 +108,10 @@ def token_pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text:
     """Rows (key, piece, start, length, ids_crc32): each text's ids and ``end_id``,
     cut into pieces of ``capacity``.  A null text has just ``end_id``."""
     kind = df.schema[key].dataType.simpleString()
+    state = f"pieces {tokenizer_path} {cache_pieces}"
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = worker_state(f"pieces {tokenizer_path} {cache_pieces}", lambda: PieceIds(tokenizer_path, cache_pieces))
+        ids = worker_state(state, lambda: PieceIds(tokenizer_path, cache_pieces))
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             keys, piece, start, length, crc = [], [], [], [], []
@@ -116,7 +131,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text:
                 names=[key, "piece", "start", "length", "ids_crc32"])
 
     return df.select(key, text).mapInArrow(
-        cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+        lean(cut, state), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -196,39 +211,41 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, sp
     """Adds ``sequence_id`` and ``offset`` to rows with a token count.
 
     ``pieces`` should be a stored table: it is read twice.  ``spread`` names the
-    columns that tell rows apart (default: all).  Repeated rows each get a place.
+    columns that tell rows apart (default: all).  Repeated rows each get a place,
+    equal lengths are taken in the order of ``spread``, no rows give no rows.
+    Columns named like the outputs are replaced, others stay as they are.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop(*[c for c in ("sequence_id", "offset") if c != length])
     spread = spread or pieces.columns
+    _s, _rank, _n, _base, _runs, _run = free_names(pieces, "_s", "_rank", "_n", "_base", "_runs", "_run")
     n_spread = 8 * shuffle_partitions(spark)
-    dealt = pieces.withColumn("_s", F.pmod(F.xxhash64(*spread), F.lit(n_spread)))
-    sizes = materialize(dealt.groupBy(F.col(length).alias("_n"), "_s").count())
-    counts = {r["_n"]: r["c"] for r in sizes.groupBy("_n").agg(F.sum("count").alias("c")).collect()}  # at most capacity rows
+    dealt = pieces.withColumn(_s, F.pmod(F.xxhash64(*spread), F.lit(n_spread)))
+    sizes = materialize(dealt.groupBy(F.col(length).alias(_n), _s).agg(F.count("*").alias(_base)))
+    counts = {r[0]: r[1] for r in sizes.groupBy(_n).agg(F.sum(_base)).collect()}  # at most capacity rows
     runs = plan_bins(counts, capacity)
-    w = W.partitionBy("_n").orderBy("_s")
-    bases = sizes.select("_n", "_s", (F.sum("count").over(w) - F.col("count")).alias("_base"))
-    ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy(length, "_s").orderBy(*spread)) - 1)
-    placed = ranked.join(bases, (F.col(length) == F.col("_n")) & (ranked["_s"] == bases["_s"])).drop(bases["_s"]).drop("_n").withColumn(
-        "_rank", F.col("_rank") + F.col("_base"))
+    bases = sizes.select(_n, _s, (F.sum(_base).over(W.partitionBy(_n).orderBy(_s)) - F.col(_base)).alias(_base))
+    ranked = dealt.withColumn(_rank, F.row_number().over(W.partitionBy(length, _s).orderBy(*spread)) - 1)
+    placed = ranked.join(bases.withColumnRenamed(_n, length), [length, _s]).withColumn(_rank, F.col(_rank) + F.col(_base))
     by_length: dict[int, list] = {}
     for n, a, b, first, offset in runs:
         by_length.setdefault(n, []).append((a, b, first, offset))
     plan = spark.createDataFrame(
-        [(n, [r[0] for r in x], x) for n, x in ((n, sorted(x)) for n, x in by_length.items())],
-        "_n long, _starts array<bigint>, _runs array<struct<a:bigint,b:bigint,first:bigint,offset:bigint>>")
-    run = F.filter("_runs", lambda r: (r["a"] <= F.col("_rank")) & (F.col("_rank") < r["b"]))[0]
+        [(n, sorted(x)) for n, x in by_length.items()], f"`{length}` long, `{_runs}` array<struct<a:bigint,b:bigint,first:bigint,offset:bigint>>")
+    run = F.filter(_runs, lambda r: (r["a"] <= F.col(_rank)) & (F.col(_rank) < r["b"]))[0]
     return (
-        placed.join(F.broadcast(plan), F.col(length) == F.col("_n"))  # a row a length: at most capacity
-        .withColumn("_run", run)
-        .select(*pieces.columns, (F.col("_run.first") + F.col("_rank") - F.col("_run.a")).alias("sequence_id"),
-                F.col("_run.offset").alias("offset"))
+        placed.join(F.broadcast(plan), length)  # a row a length: at most capacity
+        .withColumn(_run, run)
+        .select(*pieces.columns, (F.col(_run)["first"] + F.col(_rank) - F.col(_run)["a"]).alias("sequence_id"), F.col(_run)["offset"].alias("offset"))
     )
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
                    cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Tokenizes and packs; see :func:`token_pieces` and :func:`pack`.  Null keys
-    and repeated rows keep their own pieces; no rows give no rows."""
+    and repeated rows keep their own pieces; very long texts are cut, null and
+    empty ones are the end token alone; other columns are not looked at; no rows
+    give no rows."""
     pieces = materialize(token_pieces(docs, tokenizer_path, key, text, capacity, cache_pieces=cache_pieces))
     return pack(pieces, "length", capacity, [key, "piece", "ids_crc32"])
 
