@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import free_names, shuffle_partitions
 
 LAW = "rows"
 
@@ -104,7 +104,7 @@ def bounded_ring_shards(df: DataFrame, key: str = "doc_id", n_shards: int = 24,
     shard takes at most ceil((1 + slack) * rows / shards).  Null keys and
     repeated keys hash like any other value (repeated rows are ranked by the
     remaining columns, and are alike where those tie too).  An empty table
-    gives an empty one.  Columns named like the outputs are replaced.
+    gives an empty one.  Columns named like the outputs are replaced, others stay.
     """
     spark = df.sparkSession
     out_names = ("shard", "slot", "home_shard")
@@ -112,10 +112,9 @@ def bounded_ring_shards(df: DataFrame, key: str = "doc_id", n_shards: int = 24,
     parts = shuffle_partitions(spark)
     vnodes = vnodes or max(128, -(-16 * parts // n_shards))
     points = ring_points(n_shards, vnodes, spark)
-    hashed = df.withColumn("_h", F.xxhash64(F.lit("row"), F.col(key))).withColumn(
-        "_arc", arc_of(F.col("_h"), [p[0] for p in points])
-    )
-    counts = {r["_arc"]: r["count"] for r in hashed.groupBy("_arc").count().collect()}  # at most one row a virtual node
+    _h, _arc, _rank, _runs, _run = free_names(df.withColumns({c: F.lit(0) for c in out_names}), "_h", "_arc", "_rank", "_runs", "_run")
+    hashed = df.withColumn(_h, F.xxhash64(F.lit("row"), F.col(key))).withColumn(_arc, arc_of(F.col(_h), [p[0] for p in points]))
+    counts = {r[0]: r[1] for r in hashed.groupBy(_arc).count().collect()}  # at most one row a virtual node
     total = sum(counts.values())
     if slack is None:
         capacity = {s: total // n_shards + (s < total % n_shards) for s in range(n_shards)}
@@ -128,16 +127,16 @@ def bounded_ring_shards(df: DataFrame, key: str = "doc_id", n_shards: int = 24,
         by_arc.setdefault(arc, []).append((a, b, shard, slot))
     plan = spark.createDataFrame(
         [(arc, points[arc][1], x) for arc, x in by_arc.items()],
-        "_arc int, home_shard int, _runs array<struct<a:bigint,b:bigint,shard:int,slot:bigint>>",
+        f"`{_arc}` int, home_shard int, `{_runs}` array<struct<a:bigint,b:bigint,shard:int,slot:bigint>>",
     )
     rest = [F.col(c) for c in df.columns if c != key and dict(df.dtypes)[c] in ("bigint", "int", "string", "double")]
-    ranked = hashed.withColumn("_rank", F.row_number().over(W.partitionBy("_arc").orderBy("_h", key, *rest)) - 1)
-    run = F.filter(F.col("_runs"), lambda r: (r["a"] <= F.col("_rank")) & (F.col("_rank") < r["b"]))[0]
+    ranked = hashed.withColumn(_rank, F.row_number().over(W.partitionBy(_arc).orderBy(_h, key, *rest)) - 1)
+    run = F.filter(F.col(_runs), lambda r: (r["a"] <= F.col(_rank)) & (F.col(_rank) < r["b"]))[0]
     return (
-        ranked.join(F.broadcast(plan), "_arc")  # a row a virtual node: its size is that of the ring
-        .withColumn("_run", run)
-        .select(*df.columns, F.col("_run.shard").alias("shard"),
-                (F.col("_run.slot") + F.col("_rank") - F.col("_run.a")).alias("slot"), "home_shard")
+        ranked.join(F.broadcast(plan), _arc)  # a row a virtual node: its size is that of the ring
+        .withColumn(_run, run)
+        .select(*df.columns, F.col(_run)["shard"].alias("shard"),
+                (F.col(_run)["slot"] + F.col(_rank) - F.col(_run)["a"]).alias("slot"), "home_shard")
     )
 
 
