@@ -560,7 +560,7 @@ def _asked(hits: DataFrame, buckets: int, wide: bool) -> DataFrame:
     return _by_bucket(hits, buckets).mapInArrow(lean(run), "c long, n long, t long, rest long, h long" if wide else "c long, hub long, times long")
 
 
-#: Representatives up to which their ids are sent to every executor.
+#: Ids (or pairs of them) up to which they are sent to every executor.
 BROADCAST_ROWS = 200_000
 
 
@@ -574,9 +574,13 @@ def _sets(docs: DataFrame, key: str, text: str, seed: int, wanted: DataFrame) ->
                     [pa.array([class_of(s, seed)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "s"])
 
     ids = materialize(wanted.distinct())
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    # rows that repeat a representative's key give its class once
-    return docs.select(key, text).join(few, key, "left_semi").select(text).mapInArrow(lean(run), "c long, s binary").dropDuplicates(["c"])
+    # rows that repeat a representative's key give its class again; what is made of them is made distinct
+    return docs.select(key, text).join(_small(ids), key, "left_semi").select(text).mapInArrow(lean(run), "c long, s binary")
+
+
+def _small(stored: DataFrame) -> DataFrame:
+    """A stored table of ids, to be sent to every executor if it is small."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -588,12 +592,15 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * DEN >= (len(a) + len(b) - both) * NUM
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, stored: list) -> DataFrame:
     """Those of the pairs (a, b) that are similar.  ``a`` may be in many pairs: its
     shingles come last, so that they are not moved with each."""
+    pairs = materialize(pairs)
+    hubs = materialize(pairs.select(F.col("a").alias("c")).distinct())
+    stored += [pairs, hubs]
     full = (
-        pairs.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
-        .join(sets.join(pairs.select(F.col("a").alias("c")).distinct(), "c", "left_semi").select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
+        sets.select(F.col("c").alias("b"), F.col("s").alias("sb")).join(_small(pairs), "b")
+        .join(sets.join(_small(hubs), "c", "left_semi").select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
         .select("a", "b", "sa", "sb")
     )
 
@@ -684,10 +691,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     layouts = layouts_up_to(most or 1)
     buckets = max(shuffle_partitions(spark), (total or 0) // BUCKET)
     pubs = _publications(docs, text, seed, buckets, layouts)
-    ways = materialize(_asked(_shared(pubs, buckets, False), buckets, False))
-    short = ways.filter("hub is null").select("c")
-    ways = ways.filter("hub is not null")
-    stored = [members, classes, ways]
+    told = materialize(_asked(_shared(pubs, buckets, False), buckets, False))
+    short = told.filter("hub is null").select("c")
+    ways = told.filter("hub is not null")
+    stored = [members, classes, told]
     reps = classes.select("c", F.col("rep").alias(key))
     alone = ways.groupBy("hub").agg(F.count("*").alias("k"), F.min("c").alias("c")).filter("k = 1 and c = hub").select("hub")
     ways = materialize(ways.join(alone, "hub", "left_anti"))  # a hub that no other class asks for is met by none
@@ -695,7 +702,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     sets = materialize(_sets(docs, key, text, seed, seen.join(reps, "c").select(key)))
     # each class and the hub with which it shares most
     tried = ways.filter("c <> hub").groupBy("c").agg(F.max(F.struct("times", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("c").alias("b"))
-    links = materialize(_verified(tried, sets))
+    links = materialize(_verified(tried, sets, stored))
     stored += [ways, sets, links]
     extra = _block_links(docs, key, text, seed, short.join(classes, "c"))
     if extra is not None:
@@ -708,7 +715,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rest = materialize(ways.join(split, "hub", "left_semi").select("c").distinct())
     stored.append(rest)
     if rest.limit(1).count():
-        roots = _settled(sets.join(rest, "c", "left_semi"), links, roots, sets, stored)
+        roots = _settled(sets.join(_small(rest), "c", "left_semi"), links, roots, sets, stored)
     labels = classes.join(roots, "c", "left").select("c", "n", "rep", F.coalesce("root", "c").alias("root"))
     best = labels.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialize(labels.join(best, "root").select("c", "component_id"))
@@ -743,7 +750,7 @@ def _settled(rest: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFram
     likely = here.join(hub, "t").filter(
         (F.col("root") != F.col("x.root")) & ((F.col("n") + F.col("x.n")) * NUM <= both * F.least("h", "x.h"))
     ).select(F.col("x.c").alias("a"), F.col("c").alias("b")).distinct()
-    more = materialize(_verified(likely, sets).unionByName(sure))
+    more = materialize(_verified(likely, sets, stored).unionByName(sure))
     stored.append(more)
     links = links.select("a", "b").unionByName(more)
     if more.limit(1).count():
@@ -761,7 +768,7 @@ def _settled(rest: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFram
     pairs = x.join(ends, "t").filter(
         (F.col("root") != F.col("root_x")) & (F.col("n") <= F.col("most_x")) & (F.col("n_x") <= F.col("most")) & _alike(F.col("n"), F.col("n_x"))
     ).select(F.least("c", "c_x").alias("a"), F.greatest("c", "c_x").alias("b")).distinct()
-    last = materialize(_verified(pairs, sets))
+    last = materialize(_verified(pairs, sets, stored))
     stored.append(last)
     if last.limit(1).count():
         roots = components(links.unionByName(last))
