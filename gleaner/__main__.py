@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 
 from pyspark.sql import SparkSession
 
@@ -25,7 +24,6 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("gleaner").getOrCreate()
     engine = Engine(spark, a.store)
-    engine.segments = sorted(f"{a.store}/{d}" for d in os.listdir(a.store) if d.startswith("seg_")) if os.path.isdir(a.store) else []
     if a.what == "index":
         print(engine.index_directory(a.folder).count(), "documents indexed")
     elif a.what == "search":

@@ -45,18 +45,22 @@ def normalize(text: Column) -> Column:
     return F.lower(F.when(F.octet_length(text) == F.char_length(text), text).otherwise(nfkc))
 
 
+def _windows(text: Column, n: int) -> Column:
+    """Every n characters in order, in one pass over the text: each match takes one
+    character and looks at those behind it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+
+
 def ngrams(text: Column, n: int = 3) -> Column:
     """All n-grams in order; a shorter text is its own only one, an empty text has none."""
     k = F.char_length(text)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(k - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(k == 0, F.array().cast("array<string>")).when(k < n, F.array(text)).otherwise(many)
+    return F.when(k == 0, F.array().cast("array<string>")).when(k < n, F.array(text)).otherwise(_windows(text, n))
 
 
 def ngrams_with_positions(text: Column, n: int = 3) -> Column:
     k = F.char_length(text)
-    span = lambda i: F.struct(F.substring(text, i, F.lit(n)).alias("ngram"), (i - 1).alias("start"), (i - 1 + n).alias("end"))
     one = F.array(F.struct(text.alias("ngram"), F.lit(0).alias("start"), k.alias("end")))
-    many = F.transform(F.sequence(F.lit(1), F.greatest(k - n + 1, F.lit(1))), span)
+    many = F.transform(_windows(text, n), lambda g, i: F.struct(g.alias("ngram"), i.alias("start"), (i + n).alias("end")))
     return F.when(k == 0, F.filter(one, lambda _: F.lit(False))).when(k < n, one).otherwise(many)
 
 

@@ -163,8 +163,9 @@ def halstead(files: DataFrame) -> DataFrame:
 
 
 def maintainability(volume: Column, complexity: Column, lines: Column) -> Column:
-    raw = 171 - 5.2 * F.ln(F.greatest(volume, F.lit(1.0))) - 0.23 * complexity - 16.2 * F.ln(F.greatest(lines, F.lit(1)))
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw * 100 / 171))
+    """0 to 100; code without volume or lines has 100."""
+    raw = 171 - 5.2 * F.ln(volume) - 0.23 * complexity - 16.2 * F.ln(lines)
+    return F.when((volume <= 0) | (lines <= 0), 100.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw * 100 / 171)))
 
 
 def churn(log: DataFrame, threshold: float = 50.0) -> DataFrame:

@@ -33,9 +33,38 @@ def js_imports(files: DataFrame) -> DataFrame:
         "file_path", (F.col("i") + 1).alias("line"), "module", F.lit("").alias("names"), F.rlike("module", F.lit(r"^\.\.?(/|$)")).alias("is_relative"))
 
 
+#: What a resolved path may lack, in the order in which it is tried.
+SUFFIXES = [".py", ".js", ".ts", "/index.py", "/index.js", "/index.ts"]
+
+
+def _relative(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows (src, dst, module) of relative imports: up a folder for each dot but the
+    first (or each ``../``), then down the module's path; the first suffix that
+    names a file wins.  Paths with slashes may also name the file itself."""
+    m = F.col("module")
+    slashed = m.contains("/") | m.isin(".", "..")
+    climbs = F.regexp_extract(m, r"^((?:\.\.?(?:/|$))*)", 1)
+    dots = F.length(F.regexp_extract(m, r"^(\.*)", 1))
+    up = F.when(slashed, F.regexp_count(climbs, F.lit(r"\.\.(?:/|$)"))).otherwise(dots - 1)
+    down = F.when(slashed, F.expr("substring(module, length(climbs) + 1)")).otherwise(F.translate(F.expr("substring(module, dots + 1)"), ".", "/"))
+    folder = F.split("src", "/")
+    base = F.array_join(F.concat(
+        F.slice(folder, F.lit(1), F.greatest(F.size(folder) - 1 - F.col("up"), F.lit(0))), F.filter(F.split("down", "/"), lambda x: x != "")), "/")
+    tried = F.array(*[F.concat("base", F.lit(x)) for x in SUFFIXES], F.when(slashed, F.col("base")))
+    rel = imports.filter("is_relative").select(F.col("file_path").alias("src"), "module").distinct()
+    rel = rel.withColumns({"climbs": climbs, "dots": dots}).withColumns({"up": up, "down": down}).withColumn("base", base)
+    w = W.partitionBy("src", "module").orderBy("cut")
+    return (
+        rel.select("src", "module", F.posexplode(tried).alias("cut", "dst")).filter("dst is not null")
+        .join(files.select(F.col("file_path").alias("dst")).distinct(), "dst", "left_semi")
+        .withColumn("_r", F.row_number().over(w)).filter("_r = 1 and src <> dst").select("src", "dst", "module")
+    )
+
+
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Rows (src, dst, module): an import to the file with that module name, or else to
-    the first whose name ends with it.  All files are known before any import is."""
+    """Rows (src, dst, module): a relative import to the file that its path names, any
+    other to the file with that module name, or else to the first whose name ends
+    with it.  All files are known before any import is."""
     mods = files.select(F.col("file_path").alias("dst"), module_name(F.col("file_path")).alias("name"))
     parts = F.split("name", r"\.")
     k = F.size(parts)
@@ -43,7 +72,13 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     index = mods.select("dst", F.posexplode(ends).alias("cut", "module"))
     w = W.partitionBy("src", "module").orderBy("cut", "dst")
     wanted = imports.filter("not is_relative").select(F.col("file_path").alias("src"), "module").distinct()
-    return wanted.join(index, "module").filter("src <> dst").withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("src", "dst", "module")
+    named = wanted.join(index, "module").filter("src <> dst").withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("src", "dst", "module")
+    return named.unionByName(_relative(imports, files))
+
+
+def dependents(edges: DataFrame, path: str) -> DataFrame:
+    """Files that import a file."""
+    return edges.filter(F.col("dst") == path).select(F.col("src").alias("file_path")).distinct()
 
 
 def import_chains(edges: DataFrame, start: str) -> DataFrame:

@@ -12,18 +12,21 @@ _TYPED = {"identifier": r"[a-zA-Z_]\w*", "string": r"""(?:"[^"]*"|'[^']*')""", "
 _HOLE = re.compile(r":\[~((?:[^\[\]\\]|\\.|\[[^\]]*\])*)\]|:\[([^\]:~]*)(?::(identifier|string|number))?\]|\.\.\.")
 KEYWORDS = ("False None True and as assert async await break class continue def del elif else except finally for from global if import in is "
             "lambda nonlocal not or pass raise return try while with yield function var let const new this typeof export default").split()
-#: Patterns of symbols by language, one capture group each.
+#: Patterns of symbols by language, one capture group each.
 SYMBOLS = {
     "python": {"function": r"^\s*(?:async\s+)?def\s+(\w+)\s*\(", "class": r"^\s*class\s+(\w+)\s*[:\(]", "variable": r"^\s*(\w+)\s*=(?:[^=]|$)"},
     "javascript": {"function": r"function\s+(\w+)", "class": r"class\s+(\w+)", "variable": r"(?:const|let|var)\s+(\w+)\s*="},
     "go": {"function": r"func\s+(?:\([^)]+\)\s+)?(\w+)\s*\(", "struct": r"type\s+(\w+)\s+struct\s*\{", "interface": r"type\s+(\w+)\s+interface\s*\{"},
 }
+#: Structural patterns that come with each language.
 BUILTIN = {
-    "python": {"function_def": "def :[name](:[args]):", "class_def": "class :[name]:", "try_except": "try::[body]except :[error]:",
-               "with_open": "with open(:[args]) as :[name]:", "list_comprehension": "[:[item] for :[var] in :[iter]]"},
-    "javascript": {"function_def": "function :[name](:[args]) {", "arrow": "(:[args]) => :[body]", "import_from": "import :[names] from :[module:string]",
-                   "promise_then": ".then(:[handler])", "console_log": "console.log(:[args])"},
-    "go": {"function_def": "func :[name](:[args])", "error_check": "if err != nil {", "goroutine": "go func(:[args]) {", "defer_call": "defer :[call]()"},
+    "python": {"function_def": "def :[name](:[args]):", "class_def": "class :[name](:[base]):", "try_except": "try:\n...\nexcept :[exc]:",
+               "with_statement": "with :[context] as :[var]:", "list_comprehension": "[:[expr] for :[var] in :[iterable]]"},
+    "javascript": {"function_def": "function :[name](:[args]) {", "arrow_function": "const :[name] = (:[args]) =>",
+                   "try_catch": "try {\n...\n} catch (:[err]) {", "async_function": "async function :[name](:[args]) {",
+                   "import_statement": "import :[imports] from :[module]"},
+    "go": {"function_def": "func :[name](:[args]) :[return] {", "error_check": "if err != nil {\nreturn :[_]\n}", "defer": "defer :[expr]",
+           "goroutine": "go :[func](:[args])"},
 }
 
 

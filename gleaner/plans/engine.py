@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass, field
 from functools import reduce
@@ -33,8 +34,11 @@ class Config:
 class Engine:
     """Tables under ``path``: documents, and one folder of postings a segment.
 
-    Segments are only added or swapped; readers of the list at hand are never
-    disturbed.  Results are DataFrames.
+    A manifest names the segments with their generations and the tombstones; a
+    new one is written beside the old and appears by a rename, so a store opened
+    anew is always whole.  A tombstone holds for segments up to the generation at
+    which it was written: a document that is indexed again lives in a younger
+    segment.  Results are DataFrames.
     """
 
     spark: SparkSession
@@ -43,29 +47,71 @@ class Engine:
 
     def __post_init__(self):
         self.cache = LruCache(self.config.cache_size, self.config.cache_seconds)
-        self.segments: list[str] = []
-        self.dead: DataFrame | None = None
+        self.generations: dict[str, int] = {}  # segment folder -> generation
+        self.graves: list[str] = []  # folders of (doc_id, generation)
         self.version = 0
         self.bulk = False
+        self._path = self.spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self._open()
+
+    @property
+    def segments(self) -> list[str]:
+        return list(self.generations)
+
+    # -- the manifest --------------------------------------------------------------
+
+    def _manifests(self) -> list[int]:
+        folder = self._path(f"{self.path}/manifests")
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _open(self) -> None:
+        found = self._manifests()
+        if found:
+            text = self.spark.read.option("wholetext", True).text(f"{self.path}/manifests/{found[-1]:08d}").first()[0]
+            state = json.loads(text)
+            self.generations, self.graves, self.version = state["generations"], state["graves"], found[-1]
+
+    def _commit(self, generations: dict[str, int], graves: list[str]) -> None:
+        """Makes the new state the current one; what it no longer names is removed."""
+        old = {*self.generations, *self.graves} - {*generations, *graves}
+        version = self.version + 1
+        draft = self._path(f"{self.path}/manifests/{version:08d}.draft")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps({"generations": generations, "graves": graves}).encode()))
+        out.close()
+        if not self._fs.rename(draft, self._path(f"{self.path}/manifests/{version:08d}")):
+            raise RuntimeError("another writer has changed the store")
+        self.generations, self.graves, self.version = generations, graves, version
+        self.cache.clear()
+        for name in old:
+            self._fs.delete(self._path(name), True)
+        for v in self._manifests()[:-2]:
+            self._fs.delete(self._path(f"{self.path}/manifests/{v:08d}"), False)
+
+    def _next(self) -> int:
+        return max(self.generations.values(), default=0) + 1
 
     # -- writing -------------------------------------------------------------------
 
     def index(self, files: DataFrame) -> DataFrame:
         """Adds documents of (repo, path, content); the last version of a path wins."""
         docs = corpus.documents(files)
+        graves = []
         if self.segments:
             old = self.documents().join(docs.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi").select("doc_id")
-            self._bury(old.join(docs.select("doc_id"), "doc_id", "left_anti"))
+            graves = [self._grave(old.join(docs.select("doc_id"), "doc_id", "left_anti"))]
             docs = docs.join(self.documents().select("doc_id"), "doc_id", "left_anti")
-        name = f"{self.path}/seg_{int(time.time() * 1000)}_{len(self.segments)}"
+        name = f"{self.path}/seg_{int(time.time() * 1000)}_{self.version}"
         docs.write.parquet(f"{name}/documents")
         docs = self.spark.read.parquet(f"{name}/documents")
         if docs.isEmpty():
+            self._commit(self.generations, self.graves + graves)
             return docs
         names = intel.symbols(docs.select(F.col("doc_id").alias("file_path"), "language", "content")).select(F.col("file_path").alias("doc_id"), "name")
         index.write_index(index.build_postings(docs, names, n=self.config.ngram), f"{name}/postings", self.config.shards)
-        self.segments.append(name)
-        self._changed()
+        self._commit(self.generations | {name: self._next()}, self.graves + graves)
         if not self.bulk and len(self.segments) >= self.config.compaction_threshold:
             self.compact()
         return docs
@@ -74,38 +120,46 @@ class Engine:
         return self.index(corpus.read_directory(self.spark, root, repo).select("repo", "path", "content"))
 
     def delete(self, docs: DataFrame) -> None:
-        self._bury(docs.select("doc_id"))
+        self._commit(self.generations, [*self.graves, self._grave(docs.select("doc_id"))])
 
     def delete_repo(self, repo_id: str) -> None:
-        self._bury(self.documents().filter(F.col("repo_id") == repo_id).select("doc_id"))
+        self.delete(self.documents().filter(F.col("repo_id") == repo_id))
 
-    def _bury(self, ids: DataFrame) -> None:
+    def _grave(self, ids: DataFrame) -> str:
         out = f"{self.path}/dead_{int(time.time() * 1000)}_{self.version}"
-        (ids if self.dead is None else ids.unionByName(self.dead)).distinct().write.parquet(out)
-        self.dead = self.spark.read.parquet(out)
-        self._changed()
+        ids.distinct().withColumn("generation", F.lit(self._next() - 1)).write.parquet(out)
+        return out
 
     def compact(self) -> None:
-        """All segments become one, without the dead."""
-        if len(self.segments) < 2 and self.dead is None:
+        """All segments become one of a new generation, without the dead."""
+        if len(self.segments) < 2 and not self.graves:
             return
         name = f"{self.path}/seg_{int(time.time() * 1000)}_c{self.version}"
         self.documents().write.parquet(f"{name}/documents")
         index.write_index(self.postings(), f"{name}/postings", self.config.shards)
-        self.segments, self.dead = [name], None
-        self._changed()
+        self._commit({name: self._next()}, [])
 
-    def _changed(self) -> None:
-        self.version += 1
-        self.cache.clear()
+    def compaction_stats(self) -> dict[str, int]:
+        """Segments, tombstones, the current generation, and how many segments are missing to a compaction."""
+        dead = self._dead().count() if self.graves else 0
+        return {"segments": len(self.segments), "tombstones": dead, "generation": self._next() - 1,
+                "to_compaction": max(0, self.config.compaction_threshold - len(self.segments))}
 
     # -- reading --------------------------------------------------------------------
 
     def _all(self, what: str) -> DataFrame:
         if not self.segments:
             raise ValueError("nothing is indexed yet")
-        out = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{s}/{what}") for s in self.segments])
-        return out.join(self.dead, "doc_id", "left_anti") if self.dead is not None else out
+        out = reduce(DataFrame.unionByName, [
+            self.spark.read.parquet(f"{s}/{what}").withColumn("_generation", F.lit(g)) for s, g in self.generations.items()])
+        if self.graves:
+            dead = self._dead()
+            out = out.join(dead, (out["doc_id"] == dead["doc_id"]) & (out["_generation"] <= dead["generation"]), "left_anti")
+        return out.drop("_generation")
+
+    def _dead(self) -> DataFrame:
+        rows = reduce(DataFrame.unionByName, [self.spark.read.parquet(g) for g in self.graves])
+        return rows.groupBy("doc_id").agg(F.max("generation").alias("generation"))
 
     def documents(self) -> DataFrame:
         return self._all("documents")

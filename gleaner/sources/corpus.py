@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 
-EXCLUDED_DIRS = ["node_modules", "venv", ".venv", "__pycache__", ".git", ".svn", ".hg", "vendor", "dist", "build", "target"]
+#: Folders that are never indexed.
+EXCLUDED_DIRS = ["node_modules", "venv", ".venv", "__pycache__", ".git", ".svn", ".hg", ".idea", ".vscode", "vendor", "dist", "build", "target"]
 MAX_FILE_BYTES = 10 * 1024 * 1024
 
 
@@ -20,9 +23,12 @@ def keep_file(path: F.Column) -> F.Column:
 
 def read_directory(spark: SparkSession, root: str, repo: str | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Documents of a folder: the binary reader skips large files before reading them;
-    bytes that aren't UTF-8 are read as Latin-1."""
+    bytes that aren't UTF-8 are read as Latin-1.  Folders are excluded below the
+    root only, wherever the root itself stands."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    small = files.filter((F.col("length") <= max_bytes) & keep_file(F.col("path")))
+    top = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+    below = F.element_at(F.split("path", re.escape(top) + "/", 2), -1)
+    small = files.filter((F.col("length") <= max_bytes) & keep_file(below))
     utf8 = F.expr("try_validate_utf8(cast(content as string))")
     return documents(small.select(
         F.lit(repo or root).alias("repo"), F.col("path"), F.coalesce(utf8, F.decode("content", "ISO-8859-1")).alias("content"),

@@ -26,10 +26,14 @@ def parse(stream: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def new_matches(files: DataFrame, rules=DEFAULT_RULES, time_column: str | None = None, delay: str = "1 day") -> DataFrame:
-    """A stream of (file_path, content) scanned by the rules; each match once."""
-    found = F.filter(F.array(*[
-        F.when(F.rlike("content", F.lit("(?i)" + p)), F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), F.regexp_extract("content", "(?i)(" + p + ")", 1).alias("text")))
-        for r, p, s in rules]), lambda x: x.isNotNull())
+    """A stream of (file_path, content) scanned by the rules: every match of a rule,
+    each different one of a file once."""
+
+    def of(rule: str, pattern: str, severity: str):
+        texts = F.regexp_extract_all("content", F.lit("(?i)" + pattern), F.lit(0))
+        return F.transform(F.array_distinct(texts), lambda t: F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), t.alias("text")))
+
+    found = F.concat(*[of(*rule) for rule in rules])
     if time_column:
         files = files.withWatermark(time_column, delay)
     hits = files.select("file_path", *([time_column] if time_column else []), F.explode(found).alias("m")).select("file_path", *([time_column] if time_column else []), "m.*")
@@ -43,21 +47,35 @@ def click_counters(events: DataFrame, time_column: str = "ts", window: str = "1
 
 
 def upsert_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: applies events to a parquet table, a new version a batch, so that
-    a batch run twice gives the same version."""
-    state = {"version": None}
+    """foreachBatch: applies events to a parquet table, a new version a batch.  A batch
+    starts from the last whole version before it that the folder holds, so a batch
+    run twice gives the same version, and a restarted query goes on where it was."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         columns = [c for c in batch.columns if c not in ("action", "offset")]
-        now = spark.read.parquet(state["version"]) if state["version"] else batch.select(*columns).filter("false")
-        out = f"{path}/v{batch_id:08d}"
-        apply_events(now, batch).select(*columns).write.mode("overwrite").parquet(out)
-        state["version"] = out
+        last = last_version(spark, path, batch_id)
+        now = spark.read.parquet(last) if last else batch.select(*columns).filter("false")
+        apply_events(now, batch).select(*columns).write.mode("overwrite").parquet(f"{path}/v{batch_id:08d}")
 
     return apply
 
 
+def last_version(spark: SparkSession, path: str, before: int | None = None) -> str | None:
+    """The last version in the folder that was written whole, below batch ``before``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    whole = []
+    for f in fs.listStatus(folder):
+        name = f.getPath().getName()
+        if name.startswith("v") and name[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")):
+            whole.append(int(name[1:]))
+    whole = [v for v in whole if before is None or v < before]
+    return f"{path}/v{max(whole):08d}" if whole else None
+
+
 def lag(ends: DataFrame, committed: DataFrame) -> DataFrame:
     """Rows (partition, lag) from the ends of a log and the offsets that were read."""
     return ends.join(committed, "partition", "left").select("partition", (F.col("end_offset") - F.coalesce("offset", F.lit(0))).alias("lag"))

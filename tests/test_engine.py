@@ -3,7 +3,7 @@
 import subprocess
 
 from gleaner.functions import text as T
-from gleaner.operators import intel, monitors, ranking
+from gleaner.operators import analysis, dependencies, intel, monitors, ranking
 from gleaner.plans.engine import Config, Engine
 from gleaner.sources import corpus
 from gleaner.streaming import jobs
@@ -33,7 +33,58 @@ def test_engine_round(spark, tmp_path):
     assert e.symbols().count() == 2 and e.quality().count() == 2 and e.alerts().count() == 0
 
 
+def test_engine_state(spark, tmp_path):
+    """Versions that come back, deletion and a second life, compaction, and a store opened anew."""
+    e = Engine(spark, str(tmp_path))
+    put = lambda text: e.index(spark.createDataFrame([("r", "a.py", text)], "repo string, path string, content string"))
+    contents = lambda x: sorted(r.content for r in x.documents().collect())
+    for text in ("alpha = 1", "beta = 2", "alpha = 1"):
+        put(text)
+        assert contents(e) == [text]
+    e.delete(e.documents())
+    assert contents(e) == []
+    put("alpha = 1")
+    again = Engine(spark, str(tmp_path))
+    assert contents(again) == ["alpha = 1"] and again.generations == e.generations and again.compaction_stats()["tombstones"] >= 1
+    again.compact()
+    third = Engine(spark, str(tmp_path))
+    assert contents(third) == ["alpha = 1"] and len(third.segments) == 1 and not third.graves
+    assert len([d for d in tmp_path.iterdir() if d.name.startswith(("seg_", "dead_"))]) <= 3
+    assert third.search("alpha").count() == 1
+
+
+def test_relative_imports(spark):
+    files = spark.createDataFrame([(f, "") for f in (
+        "pkg/a.py", "pkg/b.py", "pkg/sub/c.py", "top.py", "pkg/sub/index.py", "web/app.js", "web/lib/util.js", "web/x.ts")], "file_path string, content string")
+    imports = spark.createDataFrame([
+        ("pkg/a.py", ".b", True), ("pkg/sub/c.py", "..a", True), ("pkg/sub/c.py", "...top", True), ("pkg/a.py", ".sub", True), ("pkg/a.py", ".gone", True),
+        ("web/app.js", "./lib/util", True), ("web/lib/util.js", "../x", True), ("web/lib/util.js", "../app.js", True), ("top.py", "pkg.b", False),
+    ], "file_path string, module string, is_relative boolean")
+    got = {(r.src, r.module): r.dst for r in dependencies.resolve(imports, files).collect()}
+    assert got == {("pkg/a.py", ".b"): "pkg/b.py", ("pkg/sub/c.py", "..a"): "pkg/a.py", ("pkg/sub/c.py", "...top"): "top.py", ("pkg/a.py", ".sub"): "pkg/sub/index.py",
+                   ("web/app.js", "./lib/util"): "web/lib/util.js", ("web/lib/util.js", "../x"): "web/x.ts", ("web/lib/util.js", "../app.js"): "web/app.js",
+                   ("top.py", "pkg.b"): "pkg/b.py"}
+    assert [r.file_path for r in dependencies.dependents(dependencies.resolve(imports, files), "pkg/b.py").orderBy("file_path").collect()] == ["pkg/a.py", "top.py"]
+
+
+def test_ngrams_of_long_and_wide_texts(spark):
+    text = "a\U0001f600b\né" * 40_000  # 200,000 characters, some of two UTF-16 units
+    row = spark.createDataFrame([(text,)], "t string").select(T.ngrams(F.col("t")).alias("g"), T.ngrams_with_positions(F.col("t")).alias("p")).first()
+    assert row.g == [text[i: i + 3] for i in range(len(text) - 2)]
+    assert [tuple(x) for x in row.p[:3]] == [(text[i: i + 3], i, i + 3) for i in range(3)] and len(row.p) == len(row.g)
+
+
+def test_maintainability_without_code(spark):
+    d = spark.createDataFrame([(0.0, 1, 5), (100.0, 2, 10), (5000.0, 50, 500)], "v double, c int, l int")
+    got = [r[0] for r in d.select(analysis.maintainability(F.col("v"), F.col("c"), F.col("l"))).collect()]
+    assert got[0] == 100.0 and got[1] > 50 > got[2]
+
+
 def test_sources(spark, tmp_path):
+    (tmp_path / "build" / "src" / ".idea").mkdir(parents=True)
+    (tmp_path / "build" / "src" / "kept.py").write_text("x")
+    (tmp_path / "build" / "src" / ".idea" / "out.py").write_text("x")
+    assert [r.path.rsplit("/", 1)[1] for r in corpus.read_directory(spark, str(tmp_path / "build")).collect()] == ["kept.py"]
     (tmp_path / "src" / "node_modules").mkdir(parents=True)
     (tmp_path / "src" / "a.py").write_text("x = 1\n")
     (tmp_path / "src" / "b.bin").write_text("no")
@@ -94,8 +145,11 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.file_path, r.rule_id) for r in spark.sql("select * from matches").collect()] == [("a.py", "sec-002")]
+    many = jobs.new_matches(spark.createDataFrame([("c.py", "TODO: a\nFIXME: b\neval (x)")], schema)).collect()
+    assert sorted((r.rule_id, r.text) for r in many) == [("qual-001", "FIXME:"), ("qual-001", "TODO:"), ("sec-002", "eval (")]
     sink = jobs.upsert_sink(str(tmp_path / "state"))
     ev = "doc_id string, content string, action string, offset long"
     sink(spark.createDataFrame([("d1", "a", "index", 1), ("d2", "b", "index", 2)], ev), 0)
+    sink = jobs.upsert_sink(str(tmp_path / "state"))  # a restarted query
     sink(spark.createDataFrame([("d1", "", "delete", 3), ("d2", "c", "index", 4), ("d2", "x", "index", 3)], ev), 1)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "state" / "v00000001")).collect()] == [("d2", "c")]
