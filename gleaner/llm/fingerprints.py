@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from .common import discard, free_names, is_ascii, materialize, shuffle_partitions, table
 
 
+#: Keys of repeated documents up to which they are sent to every executor.
+BROADCAST_KEYS = 1_000_000
+
+
 def canonical(text: Column) -> Column:
     """NFKC with full case folding (``ß`` is ``ss``), white space folded and trimmed;
     null counts as empty."""
@@ -48,7 +52,9 @@ def exact_groups(prints: DataFrame, df: DataFrame, key: str = "doc_id", text: st
     with ``group_id``, the least key of the documents with the same canonical
     bytes, and ``n_copies``, their number.
 
-    Only documents whose fingerprint occurs more than once are read again; each
+    Only documents whose fingerprint occurs more than once are compared (their keys
+    are sent to every executor up to ``BROADCAST_KEYS`` of them; beyond, texts are
+    moved once to meet them); each
     bucket's least and greatest bytes are compared, pre-aggregated before the
     shuffle, so a bucket of any size costs a row a task.  Buckets with different
     bytes (none, nearly always) are parted by a hash of the bytes.  Null keys
@@ -59,11 +65,12 @@ def exact_groups(prints: DataFrame, df: DataFrame, key: str = "doc_id", text: st
     _t, _b, _n, _lo, _hi, _sha = free_names(prints, "_t", "_b", "_n", "_lo", "_hi", "_sha")
     sums = [F.min(key).alias("group_id"), F.count("*").alias("n_copies")]
     groups = prints.groupBy(group).agg(*sums).filter("n_copies > 1")
-    repeated = materialize(prints.join(groups, group, "left_semi").select(F.col(key).alias(_n), group).distinct())
+    repeated = materialize(prints.join(groups, group, "left_semi").select(F.col(key).alias(_n)).distinct())
     texts = df.select(F.col(key).alias(_n), F.col(text).alias(_t))
+    few = F.broadcast(repeated) if repeated.count() <= BROADCAST_KEYS else repeated
     bytes_ = (
-        texts.join(repeated, texts[_n].eqNullSafe(repeated[_n])).select(texts[_n], group, canonical(F.col(_t)).alias(_b))
-        .filter(wide_hash(F.col(_b)) == F.col(group))  # a key may stand on several texts
+        texts.join(few, texts[_n].eqNullSafe(repeated[_n]), "left_semi").select(_n, canonical(F.col(_t)).alias(_b))
+        .withColumn(group, wide_hash(F.col(_b)))
     )
     bounds = materialize(bytes_.groupBy(group).agg(F.min(_b).alias(_lo), F.max(_b).alias(_hi)).select(group, (F.col(_lo) != F.col(_hi)).alias(_hi)).filter(_hi))
     if bounds.limit(1).count():
