@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against what brute force keeps."""
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 from gleaner.llm.common import materialize
 from test_operators import brute_base, brute_components, brute_hits, placed_ok
 
@@ -31,3 +32,25 @@ def test_stages(spark):
 
 def test_run(spark):
     assert P.run(spark, SF).count() > 0
+
+
+def test_stages_on_awkward_tables(spark):
+    """Nulls, empty and very long texts, repeated rows, clashing columns, no rows."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "", None, None, 0), (2, None, "en", "s", None), (3, "one two three four five six", "en", None, 27),
+            (3, "one two three four five six", "en", None, 27), (4, "Fine words stand here. " * 6000, "en", "s", 138_000), (5, "mail a@b.org now", None, "s", 16)]
+    docs = spark.createDataFrame(rows, kind).withColumns({c: F.lit(7) for c in ("_score", "_h", "score", "n_hit", "component_id", "spans")})
+    want = {
+        "n-gram Jaccard join": sorted(rows, key=repr), "benchmark decontamination": sorted(rows, key=repr),
+        "PII": sorted([*rows[:5], (5, "mail [EMAIL] now", None, "s", 16)], key=repr),
+    }
+    for name, stage in P.STAGES:
+        got = [tuple(r) for r in stage(spark, docs, SF).collect()]
+        if name in want:
+            near = lambda t: [(a, b, c, d) for a, b, c, d, _ in t]  # noqa: E731  n_chars follows the text
+            assert sorted(near(got), key=repr) == sorted(near(want[name]), key=repr), name
+        elif name == "quality classifier":
+            assert set(got) <= set(rows) and len({r[0] for r in got}) >= 1
+        else:
+            assert {r[0] for r in got} == {1, 2, 3, 4, 5}
+        assert stage(spark, docs.filter("false"), SF).count() == 0
