@@ -5,6 +5,12 @@ Each stage is ``(spark, docs, sf_dir) -> DataFrame`` over all that its
 predecessor kept; :func:`run` writes each stage's rows to the shared folder and
 reads them back for the next.  All but the last return the columns of
 ``documents``.
+
+What holds for every stage: null and empty texts count as empty and stay, unless
+the stage's own rule drops them; very long texts are read whole; repeated rows
+are judged alike; rows with a null ``doc_id`` stay unless their text is rejected
+or a near copy can't be told by it; columns beside those of ``documents`` are
+dropped, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +33,8 @@ CONTAMINATED = 0.0
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents scored below ``CUT`` by the ranking learnt from the labels."""
+    """Drops documents scored below ``CUT`` by the ranking learnt from the labels; without
+    any label all stay.  Ties are impossible: equal texts score alike."""
     model = train_ranker(labelled_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
     return score_quality(docs.select(*COLUMNS), model, score="_score").filter(F.col("_score") >= CUT).drop("_score")
 
@@ -35,14 +42,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near duplicates.
 
-    Only identifiers are joined back; documents without words stay."""
+    Only identifiers are joined back; documents without words stay, as do rows that
+    repeat the identifier that is kept."""
     found = jaccard_components(docs, "doc_id", "text")
     copies = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct())
     return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with any window of a benchmark item."""
+    """Drops documents with any window of a benchmark item; without items all stay."""
     judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     hit = materialize(judged.filter(F.col("n_hit") > CONTAMINATED * F.col("n_words")).select("doc_id").distinct())
     return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti")
