@@ -24,7 +24,8 @@ OPERATORS = ["+", "-", "*", "/", "%", "**", "//", "==", "!=", "<", ">", "<=", ">
              "in", "is", ".", "(", ")", "[", "]", "{", "}", ",", ":", ";"]
 KEYWORDS = ["def", "class", "if", "elif", "else", "for", "while", "try", "except", "finally", "with", "as", "import", "from", "return",
             "yield", "raise", "pass", "break", "continue", "lambda", "async", "await"]
-HALSTEAD_TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\.[0-9]+)?|\*\*|//|==|!=|<=|>=|\+=|-=|\*=|/=|[-+*/%<>=.()\[\]{},:;]"
+#: Fixed value: names, runs of operator characters, single marks; numbers are no tokens.
+HALSTEAD_TOKEN = r"[a-zA-Z_]\w*|[+\-*/%=<>!&|^~]+|[.,;:()\[\]{}]"
 
 
 def lines_of(content: Column) -> Column:

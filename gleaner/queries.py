@@ -534,7 +534,7 @@ def a11_duplicates(spark, d):
 _OPS = ", ".join(f"'{x}'" for x in A.OPERATORS + A.KEYWORDS)
 
 
-@query(r"""WITH t AS (SELECT file_path, regexp_extract_all(content, '""" + A.HALSTEAD_TOKEN + r"""') AS t FROM @code),
+@query(r"""WITH t AS (SELECT file_path, regexp_extract_all(content, '[a-zA-Z_]\w*|[+\-*/%=<>!&|^~]+|[.,;:()\[\]{}]') AS t FROM @code),
 n AS (SELECT file_path, [x for x in t if list_contains([""" + _OPS + r"""], x)] AS o, [x for x in t if NOT list_contains([""" + _OPS + r"""], x)] AS r FROM t),
 c AS (SELECT file_path, len(list_distinct(o)) AS n1, len(list_distinct(r)) AS n2, len(o) AS b1, len(r) AS b2 FROM n),
 h AS (SELECT file_path, (n1 + n2)::INT AS vocabulary, (b1 + b2)::INT AS length, (b1 + b2) * log2(n1 + n2) AS v, n1 / 2.0 * b2 / n2 AS f FROM c)
