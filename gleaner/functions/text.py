@@ -122,6 +122,50 @@ def highlights(text: Column, query: str, n: int = 3) -> Column:
     return F.aggregate(spans, F.array().cast(kind), merge)
 
 
+# -- matches -------------------------------------------------------------------
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def spans(text: Column, regex: str | Column, groups: int = 0, block: int = 256) -> Column:
+    """Every match of a regex that matches no empty text, in order: an array of
+    (start, end, line, match, gap, c1, c2, ...) with 0-based offsets, 1-based lines, the
+    text behind a match up to the next, and the groups.
+
+    Offsets are sums over the texts between matches.  They are kept for each block
+    of matches, so a row costs little more than its length, and nothing leaves it."""
+    regex = F.lit(regex)
+    every = [F.regexp_extract_all(text, regex, F.lit(i)) for i in range(groups + 1)]
+    found = F.struct(F.split(text, regex).alias("gaps"), *[c.alias(f"c{i}") for i, c in enumerate(every)])
+    breaks = lambda x: F.regexp_count(x, F.lit("\n"))
+    add = lambda a, b: F.struct((a["chars"] + b["chars"]).alias("chars"), (a["lines"] + b["lines"]).alias("lines"))
+    zero = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("lines"))
+
+    def size(gap, match):
+        return F.struct((F.length(gap) + F.length(match)).alias("chars"), (breaks(gap) + breaks(match)).alias("lines"))
+
+    def total(sizes, first, n):
+        return F.aggregate(F.slice(sizes, first + 1, n), zero, add)
+
+    def starts(f, sizes):
+        blocks = F.sequence(F.lit(0), F.floor(F.size(sizes) / block).cast("int"))
+        grow = lambda acc, b: F.array_append(acc, add(F.element_at(acc, -1), total(sizes, b * block, F.lit(block))))
+        return let(F.aggregate(blocks, F.array(zero), grow), lambda sums: F.transform(f["c0"], lambda m, i: let(
+            add(F.get(sums, F.floor(i / block).cast("int")), total(sizes, F.floor(i / block).cast("int") * block, i % block)), lambda at: one(f, m, i, at))))
+
+    def one(f, m, i, at):
+        gap = F.get(f["gaps"], i)
+        start = at["chars"] + F.length(gap)
+        return F.struct(
+            start.alias("start"), (start + F.length(m)).alias("end"), (at["lines"] + breaks(gap) + 1).alias("line"), m.alias("match"),
+            F.get(f["gaps"], i + 1).alias("gap"), *[F.get(f[f"c{g}"], i).alias(f"c{g}") for g in range(1, groups + 1)])
+
+    return let(found, lambda f: let(F.transform(f["c0"], lambda m, i: size(F.get(f["gaps"], i), m)), lambda sizes: starts(f, sizes)))
+
+
 # -- documents -----------------------------------------------------------------
 
 

@@ -120,6 +120,19 @@ def quality_scores(files: DataFrame) -> DataFrame:
     return out.withColumn("grade", grade(F.col("overall")))
 
 
+def file_reports(files: DataFrame) -> DataFrame:
+    """One nested row a file: (file_path, complexity, issues in order of lines, score)."""
+    m = metrics(files)
+    parts = [c for c in m.columns if c not in files.columns]
+    style = style_issues(files).select("file_path", "line", F.when(F.col("rule_id") == "long_line", "STYLE001").otherwise("STYLE002").alias("rule_id"), F.lit("info").alias("severity"))
+    issues = security_issues(files).withColumn("type", F.lit("security")).unionByName(style.withColumn("type", F.lit("style")))
+    listed = issues.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("line", "rule_id", "severity", "type"))).alias("issues"))
+    score = quality_scores(files).select("file_path", F.struct("overall", "maintainability", "reliability", "security", "grade").alias("score"))
+    none = F.array().cast("array<struct<line:int,rule_id:string,severity:string,type:string>>")
+    return m.select("file_path", F.struct(*parts).alias("complexity")).join(listed, "file_path", "left").join(score, "file_path").select(
+        "file_path", "complexity", F.coalesce("issues", none).alias("issues"), "score")
+
+
 def duplicate_pairs(files: DataFrame, threshold: float = 0.8, n: int = 3) -> DataFrame:
     """Pairs of files whose sets of ``n``-line shingles, words made alike, overlap.
 

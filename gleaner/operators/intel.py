@@ -4,21 +4,104 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import let, spans
+
 _TYPED = {"identifier": r"[a-zA-Z_]\w*", "string": r"""(?:"[^"]*"|'[^']*')""", "number": r"\d+(?:\.\d+)?"}
 _HOLE = re.compile(r":\[~((?:[^\[\]\\]|\\.|\[[^\]]*\])*)\]|:\[([^\]:~]*)(?::(identifier|string|number))?\]|\.\.\.")
-KEYWORDS = ("False None True and as assert async await break class continue def del elif else except finally for from global if import in is "
-            "lambda nonlocal not or pass raise return try while with yield function var let const new this typeof export default").split()
-#: Patterns of symbols by language, one capture group each.
-SYMBOLS = {
-    "python": {"function": r"^\s*(?:async\s+)?def\s+(\w+)\s*\(", "class": r"^\s*class\s+(\w+)\s*[:\(]", "variable": r"^\s*(\w+)\s*=(?:[^=]|$)"},
-    "javascript": {"function": r"function\s+(\w+)", "class": r"class\s+(\w+)", "variable": r"(?:const|let|var)\s+(\w+)\s*="},
-    "go": {"function": r"func\s+(?:\([^)]+\)\s+)?(\w+)\s*\(", "struct": r"type\s+(\w+)\s+struct\s*\{", "interface": r"type\s+(\w+)\s+interface\s*\{"},
+
+# -- fixed values ------------------------------------------------------------------
+#: Keywords that are no references; other languages have Python's.
+REFERENCE_KEYWORDS = {
+    "python": ["def", "class", "if", "else", "elif", "for", "while", "try", "except", "finally", "with", "as", "import", "from", "return", "yield", "raise",
+               "pass", "break", "continue", "and", "or", "not", "in", "is", "lambda", "True", "False", "None", "async", "await"],
+    "javascript": ["function", "class", "if", "else", "for", "while", "do", "switch", "case", "break", "continue", "return", "try", "catch", "finally", "throw",
+                   "new", "delete", "typeof", "instanceof", "void", "this", "super", "const", "let", "var", "true", "false", "null", "undefined", "async",
+                   "await", "import", "export"],
+}
+#: Keywords that are no symbols; languages that aren't named have none.
+SYMBOL_KEYWORDS = {
+    "python": ["if", "else", "elif", "for", "while", "try", "except", "finally", "with", "return", "yield", "import", "from", "class", "def", "async", "await",
+               "pass", "break", "continue", "raise", "and", "or", "not", "in", "is", "None", "True", "False", "lambda", "global", "nonlocal"],
+    "javascript": ["if", "else", "for", "while", "do", "switch", "case", "break", "continue", "return", "function", "class", "const", "let", "var", "new",
+                   "this", "super", "typeof", "instanceof", "null", "undefined", "true", "false", "try", "catch", "finally", "throw", "async", "await"],
+    "java": ["if", "else", "for", "while", "do", "switch", "case", "break", "continue", "return", "class", "interface", "public", "private", "protected",
+             "static", "final", "abstract", "new", "this", "super", "null", "true", "false", "try", "catch", "finally", "throw", "throws", "void"],
 }
-#: Structural patterns that come with each language.
+#: Patterns of whole texts, by language and kind; group 1 is the name.
+SYMBOL_PATTERNS = {
+    "python": {
+        "function": [r"^(?:async\s+)?def\s+(\w+)\s*\([^)]*\)"],
+        "class": [r"^class\s+(\w+)\s*(?:\([^)]*\))?:"],
+        "variable": [r"^(\w+)\s*(?::\s*\w+)?\s*="],
+        "import": [r"^(?:from\s+[\w.]+\s+)?import\s+([\w,\s]+)"],
+    },
+    "javascript": {
+        "function": [r"(?:async\s+)?function\s+(\w+)\s*\([^)]*\)", r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\([^)]*\)\s*=>",
+                     r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?function"],
+        "class": [r"class\s+(\w+)\s*(?:extends\s+\w+\s*)?\{"],
+        "variable": [r"(?:const|let|var)\s+(\w+)\s*="],
+        "import": [r"""import\s+(?:\{[^}]+\}|\w+)\s+from\s+['"]([^'"]+)['"]""", r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)"""],
+    },
+    "typescript": {
+        "function": [r"(?:async\s+)?function\s+(\w+)\s*(?:<[^>]*>)?\s*\([^)]*\)",
+                     r"(?:const|let|var)\s+(\w+)\s*(?::\s*[^=]+)?\s*=\s*(?:async\s+)?\([^)]*\)\s*=>"],
+        "class": [r"class\s+(\w+)\s*(?:<[^>]*>)?\s*(?:extends\s+\w+\s*)?(?:implements\s+[\w,\s]+\s*)?\{"],
+        "interface": [r"interface\s+(\w+)\s*(?:<[^>]*>)?\s*(?:extends\s+[\w,\s]+\s*)?\{"],
+        "type": [r"type\s+(\w+)\s*(?:<[^>]*>)?\s*="],
+        "variable": [r"(?:const|let|var)\s+(\w+)\s*(?::\s*[^=]+)?\s*="],
+    },
+    "java": {
+        "function": [r"(?:public|private|protected)?\s*(?:static\s+)?(?:final\s+)?(?:\w+(?:<[^>]*>)?)\s+(\w+)\s*\([^)]*\)"],
+        "class": [r"(?:public\s+)?(?:abstract\s+)?(?:final\s+)?class\s+(\w+)"],
+        "interface": [r"(?:public\s+)?interface\s+(\w+)"],
+        "variable": [r"(?:public|private|protected)?\s*(?:static\s+)?(?:final\s+)?(?:\w+(?:<[^>]*>)?)\s+(\w+)\s*[;=]"],
+    },
+    "go": {
+        "function": [r"func\s+(?:\([^)]+\)\s+)?(\w+)\s*\([^)]*\)"],
+        "type": [r"type\s+(\w+)\s+(?:struct|interface)"],
+        "variable": [r"(?:var|const)\s+(\w+)\s*(?:\w+)?\s*="],
+    },
+    "rust": {
+        "function": [r"(?:pub\s+)?(?:async\s+)?fn\s+(\w+)\s*(?:<[^>]*>)?\s*\([^)]*\)"],
+        "class": [r"(?:pub\s+)?struct\s+(\w+)"],
+        "interface": [r"(?:pub\s+)?trait\s+(\w+)"],
+        "enum": [r"(?:pub\s+)?enum\s+(\w+)"],
+        "variable": [r"(?:let|const|static)\s+(?:mut\s+)?(\w+)\s*(?::\s*[^=]+)?\s*="],
+    },
+    "ruby": {"function": [r"def\s+(?:self\.)?(\w+[?!]?)"], "class": [r"class\s+(\w+)"], "module": [r"module\s+(\w+)"]},
+    "cpp": {
+        "function": [r"(?:\w+(?:<[^>]*>)?(?:\s*[*&])?\s+)+(\w+)\s*\([^)]*\)\s*(?:const\s*)?(?:override\s*)?(?:final\s*)?[{;]"],
+        "class": [r"(?:class|struct)\s+(\w+)\s*(?::\s*(?:public|private|protected)\s+\w+\s*)?[{;]"],
+        "variable": [r"(?:\w+(?:<[^>]*>)?(?:\s*[*&])?\s+)(\w+)\s*[;=]"],
+    },
+    "csharp": {
+        "function": [r"(?:public|private|protected|internal)?\s*(?:static\s+)?(?:async\s+)?(?:virtual\s+)?(?:override\s+)?(?:\w+(?:<[^>]*>)?)\s+(\w+)\s*\([^)]*\)"],
+        "class": [r"(?:public|private|protected|internal)?\s*(?:abstract\s+)?(?:sealed\s+)?(?:partial\s+)?class\s+(\w+)"],
+        "interface": [r"(?:public|private|protected|internal)?\s*interface\s+(\w+)"],
+        "property": [r"(?:public|private|protected|internal)?\s*(?:static\s+)?(?:\w+(?:<[^>]*>)?)\s+(\w+)\s*\{\s*(?:get|set)"],
+    },
+}
+LANGUAGE_ALIASES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "c": "cpp", "h": "cpp", "hpp": "cpp",
+                    "cs": "csharp", "rs": "rust", "rb": "ruby"}
+#: Patterns of single lines, by language and kind; the first group that is found is
+#: the name.  Other languages have Python's.
+LINE_PATTERNS = {
+    "python": {"function": r"^\s*(?:async\s+)?def\s+(\w+)\s*\(", "class": r"^\s*class\s+(\w+)\s*[:\(]", "variable": r"^\s*(\w+)\s*=\s*"},
+    "javascript": {"function": r"(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function|\([^)]*\)\s*=>))",
+                   "class": r"class\s+(\w+)", "variable": r"(?:const|let|var)\s+(\w+)\s*="},
+    "typescript": {"function": r"(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*(?::\s*[^=]+)?\s*=\s*(?:async\s+)?(?:function|\([^)]*\)\s*=>))",
+                   "class": r"class\s+(\w+)", "interface": r"interface\s+(\w+)", "type": r"type\s+(\w+)\s*=",
+                   "variable": r"(?:const|let|var)\s+(\w+)\s*(?::\s*[^=]+)?\s*="},
+    "java": {"class": r"(?:public|private|protected)?\s*(?:static\s+)?class\s+(\w+)", "interface": r"(?:public|private|protected)?\s*interface\s+(\w+)",
+             "method": r"(?:public|private|protected)?\s*(?:static\s+)?(?:\w+(?:<[^>]+>)?)\s+(\w+)\s*\(",
+             "variable": r"(?:public|private|protected)?\s*(?:static\s+)?(?:final\s+)?(?:\w+(?:<[^>]+>)?)\s+(\w+)\s*[=;]"},
+    "go": {"function": r"func\s+(?:\([^)]+\)\s+)?(\w+)\s*\(", "struct": r"type\s+(\w+)\s+struct\s*\{", "interface": r"type\s+(\w+)\s+interface\s*\{",
+           "variable": r"(?:var|const)\s+(\w+)\s*(?:=|[^=])"},
+}
+#: Structural patterns that come with each language.
 BUILTIN = {
     "python": {"function_def": "def :[name](:[args]):", "class_def": "class :[name](:[base]):", "try_except": "try:\n...\nexcept :[exc]:",
                "with_statement": "with :[context] as :[var]:", "list_comprehension": "[:[expr] for :[var] in :[iterable]]"},
@@ -28,6 +111,7 @@ BUILTIN = {
     "go": {"function_def": "func :[name](:[args]) :[return] {", "error_check": "if err != nil {\nreturn :[_]\n}", "defer": "defer :[expr]",
            "goroutine": "go :[func](:[args])"},
 }
+# -- end of fixed values ---------------------------------------------------------------
 
 
 def compile_pattern(pattern: str) -> tuple[str, list[str]]:
@@ -49,22 +133,25 @@ def compile_pattern(pattern: str) -> tuple[str, list[str]]:
     return "".join(out), names
 
 
-def structural_search(files: DataFrame, pattern: str) -> DataFrame:
-    """Rows (file_path, start, end, line, match, captures) of every match.
+def explain_pattern(pattern: str) -> list[str]:
+    """A line for each hole: what it takes."""
+    out = []
+    for m in _HOLE.finditer(pattern):
+        if m.group() == "...":
+            out.append("...: any code between")
+        elif m.group(1) is not None:
+            out.append(f"{m.group()}: what the regex {m.group(1)} matches")
+        else:
+            out.append(f"{m.group()}: {m.group(3) or 'any expression'} as '{m.group(2)}'")
+    return out
+
 
-    Texts between matches give the offsets, so nothing leaves the row."""
+def structural_search(files: DataFrame, pattern: str) -> DataFrame:
+    """Rows (file_path, start, end, line, match, captures) of every match."""
     rx, names = compile_pattern(pattern)
-    full = F.regexp_extract_all("content", F.lit(rx), F.lit(0))
-    groups = [F.regexp_extract_all("content", F.lit(rx), F.lit(i + 1)) for i in range(len(names))]
-    gaps = F.split("content", rx)
-    base = files.filter(F.rlike("content", F.lit(rx))).select("file_path", "content", full.alias("m"), gaps.alias("g"), *[g.alias(f"c{i}") for i, g in enumerate(groups)])
-    hits = base.select("file_path", "content", "g", "m", *[f"c{i}" for i in range(len(names))], F.posexplode("m").alias("i", "match"))
-    before = lambda arr, n: F.aggregate(F.slice(F.col(arr), F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    start = before("g", F.col("i") + 1) + before("m", F.col("i"))
-    caps = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.get(F.col(f"c{i}"), F.col("i")))]) if names else F.create_map().cast("map<string,string>")
-    return hits.withColumn("start", start).select(
-        "file_path", "start", (F.col("start") + F.length("match")).alias("end"),
-        (F.regexp_count(F.substring(F.col("content"), F.lit(1), F.col("start")), F.lit("\n")) + 1).alias("line"), "match", caps.alias("captures"))
+    hits = files.filter(F.rlike("content", F.lit(rx))).select("file_path", F.explode(spans(F.col("content"), rx, len(names))).alias("m"))
+    caps = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.col(f"m.c{i + 1}"))]) if names else F.create_map().cast("map<string,string>")
+    return hits.select("file_path", "m.start", "m.end", "m.line", "m.match", caps.alias("captures"))
 
 
 def code_lines(files: DataFrame) -> DataFrame:
@@ -72,24 +159,118 @@ def code_lines(files: DataFrame) -> DataFrame:
         "file_path", "language", (F.col("i") + 1).alias("line"), "text")
 
 
+def by_language(language: Column, cases: dict, other: Column) -> Column:
+    out = F
+    for name, value in cases.items():
+        out = out.when(language == name, value)
+    return out.otherwise(other)
+
+
+def full_language(language: Column) -> Column:
+    """The language's name, from a name or an alias in any case."""
+    low = F.lower(language)
+    return by_language(low, {a: F.lit(b) for a, b in LANGUAGE_ALIASES.items()}, low)
+
+
+# -- symbols -------------------------------------------------------------------
+
+
+def extract_symbols(files: DataFrame) -> DataFrame:
+    """Rows (file_path, name, kind, line, end_line, signature, documentation) of nine
+    languages, found by patterns of whole texts; one row a name, kind and line.
+    Names of one letter and keywords are none, nor have other languages any."""
+    def of(lang, kinds):
+        flat = [(kind, p) for kind, ps in kinds.items() for p in ps]
+        return F.array(*[F.struct(F.lit(nth).alias("nth"), F.lit(kind).alias("kind"), F.lit("(?m)" + p).alias("regex")) for nth, (kind, p) in enumerate(flat)])
+
+    def words(ks):
+        return F.array(*[F.lit(k) for k in ks])
+
+    named = files.select("file_path", full_language(F.col("language")).alias("language"), "content")
+    lang, none = F.col("language"), F.array().cast("array<string>")
+    keywords = by_language(lang, {x: words(ks) for x, ks in SYMBOL_KEYWORDS.items()}, none)
+    patterns = by_language(lang, {x: of(x, kinds) for x, kinds in SYMBOL_PATTERNS.items()}, F.array().cast("array<struct<nth:int,kind:string,regex:string>>"))
+    found = named.withColumn("s", F.filter(F.flatten(F.transform(patterns, _found)), lambda s: (F.length(s["name"]) >= 2) & ~F.array_contains(keywords, s["name"])))
+    size = F.length("content")
+    last = lambda mark: size - F.instr(F.reverse("content"), mark) * F.when(F.contains("content", F.lit(mark)), 1)
+    marks = F.struct(F.split("content", "\n").alias("lines"), last("{").alias("brace"), last(":").alias("colon"))
+    full = let(marks, lambda k: F.transform("s", lambda x: F.struct(
+        x["name"].alias("name"), x["kind"].alias("kind"), x["line"].alias("line"), x["end_line"].alias("end_line"), x["nth"].alias("nth"), x["start"].alias("start"),
+        F.when(x["kind"] == "function", _signature(x, k)).alias("signature"), _documentation(k["lines"], x["line"], F.col("language")).alias("documentation"))))
+    whole = found.select("file_path", F.explode(full).alias("x"))
+    first = whole.groupBy("file_path", "x.name", "x.kind", "x.line").agg(
+        F.min_by(F.struct("x.end_line", "x.signature", "x.documentation"), F.struct("x.nth", "x.start")).alias("y"))
+    return first.select("file_path", "name", "kind", "line", "y.end_line", "y.signature", "y.documentation")
+
+
+def _found(pattern: Column) -> Column:
+    """Matches of one pattern, each with the 200 characters from its start on."""
+    def windows(m):
+        pairs = F.transform(m, lambda x: F.substring(F.concat(x["match"], x["gap"]), 1, 200))
+        return let(pairs, lambda w: F.transform(m, lambda x, i: F.struct(
+            pattern["kind"].alias("kind"), x["c1"].alias("name"), x["start"].alias("start"), x["end"].alias("end"), x["line"].alias("line"),
+            (x["line"] + F.regexp_count(x["match"], F.lit("\n"))).cast("int").alias("end_line"),
+            F.substring(F.array_join(F.slice(w, i + 1, 100), ""), 1, 200).alias("window"), pattern["nth"].alias("nth"), F.length(x["match"]).alias("length"))))
+
+    return let(spans(F.col("content"), pattern["regex"], 1), windows)
+
+
+def _signature(x: Column, marks: Column) -> Column:
+    """From the match to the next ``{``, or else ``:``, or else 100 characters behind
+    it; at most 200, white space squeezed."""
+    def until(mark, last):
+        near = F.call_function("locate", F.lit(mark), x["window"], x["length"] + 1)
+        return F.when(near > 0, near - 1).when(last >= x["end"], 200)
+
+    cut = F.coalesce(until("{", marks["brace"]), until(":", marks["colon"]), x["length"] + 100)
+    return F.trim(F.regexp_replace(F.substring(x["window"], F.lit(1), F.least(cut, F.lit(200))), r"\s+", " "))
+
+
+def _documentation(lines: Column, line: Column, language: Column, most: int = 10) -> Column:
+    """The comment right above a line, without its marks; null if there is none."""
+    first = F.greatest(line - most, F.lit(1))
+    above = F.when(line > 1, F.reverse(F.slice(lines, first, F.least(line - 1, F.lit(most))))).otherwise(F.array().cast("array<string>"))
+    start = F.struct(F.array().cast("array<string>").alias("got"), F.lit(False).alias("stop"))
+    blank = r"^[\s]+|[\s]+$"
+    hash_, slashes = language.isin("python", "ruby"), ~language.isin("python", "ruby")
+
+    def step(s, raw):
+        x = F.regexp_replace(raw, blank, "")
+        quoted = (language == "python") & F.rlike(x, F.lit(r"^(\"\"\"|\'\'\')"))
+        text = (
+            F.when(quoted, F.regexp_replace(x, r"^[\"\']+|[\"\']+$", ""))
+            .when(hash_ & x.startswith("#"), F.substring(x, 2, 2147483647))
+            .when(slashes & x.startswith("//"), F.substring(x, 3, 2147483647))
+            .when(slashes & x.startswith("*"), F.substring(x, 2, 2147483647)))
+        text = F.when(quoted, text).otherwise(F.regexp_replace(text, blank, ""))
+        takes = ~s["stop"] & text.isNotNull()
+        return F.struct(F.when(takes, F.array_append(s["got"], text)).otherwise(s["got"]).alias("got"), (s["stop"] | text.isNull() | quoted).alias("stop"))
+
+    return F.aggregate(above, start, step, lambda s: F.when(F.size(s["got"]) > 0, F.array_join(F.reverse(s["got"]), "\n")))
+
+
 def symbols(files: DataFrame) -> DataFrame:
-    """Rows (file_path, line, name, kind): at most one a line and kind."""
+    """Rows (file_path, line, column, end_column, name, kind, signature) of five languages
+    (others are read as Python): at most one a line and kind."""
     def of(lang):
-        found = [F.struct(F.regexp_extract("text", p, 1).alias("name"), F.lit(k).alias("kind")) for k, p in SYMBOLS[lang].items()]
-        return F.filter(F.array(*found), lambda s: (F.length(s["name"]) >= 2) & ~s["name"].isin(KEYWORDS))
+        def one(kind, p):
+            groups = [F.nullif(F.regexp_extract("text", p, i), F.lit("")) for i in range(1, re.compile(p).groups + 1)]
+            at = F.regexp_instr("text", F.lit(p))
+            return F.struct(F.coalesce(*groups).alias("name"), F.lit(kind).alias("kind"), at.alias("column"), (at + F.length(F.regexp_extract("text", p, 0))).alias("end_column"))
 
-    lang = F.col("language")
-    all_ = F.when(lang.isin("javascript", "typescript"), of("javascript")).when(lang == "go", of("go")).otherwise(of("python"))
-    return code_lines(files).select("file_path", "line", F.explode(all_).alias("s")).select("file_path", "line", "s.name", "s.kind")
+        return F.filter(F.array(*[one(k, p) for k, p in LINE_PATTERNS[lang].items()]), lambda s: s["name"].isNotNull())
+
+    found = by_language(F.col("language"), {x: of(x) for x in LINE_PATTERNS if x != "python"}, of("python"))
+    return code_lines(files).select("file_path", "line", "text", F.explode(found).alias("s")).select(
+        "file_path", "line", "s.column", "s.end_column", "s.name", "s.kind", F.trim("text").alias("signature"))
 
 
 def references(files: DataFrame) -> DataFrame:
-    """Rows (file_path, line, column, name) of every identifier that is no keyword."""
-    rx = r"\b[a-zA-Z_]\w*\b"
-    line = code_lines(files).select("file_path", "line", F.regexp_extract_all("text", F.lit(rx), F.lit(0)).alias("m"), F.split("text", rx).alias("g"))
-    hits = line.select("file_path", "line", "m", "g", F.posexplode("m").alias("i", "name"))
-    before = lambda arr, n: F.aggregate(F.slice(F.col(arr), F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    return hits.filter(~F.col("name").isin(KEYWORDS)).select("file_path", "line", (before("g", F.col("i") + 1) + before("m", F.col("i"))).alias("column"), "name")
+    """Rows (file_path, line, column, name) of every identifier that is no keyword of its language."""
+    hits = code_lines(files).select("file_path", "language", "line", F.explode(spans(F.col("text"), r"\b[a-zA-Z_]\w*\b")).alias("m"))
+    word = F.col("m.match")
+    keyword = F.when(F.col("language") == "javascript", word.isin(REFERENCE_KEYWORDS["javascript"])).otherwise(word.isin(REFERENCE_KEYWORDS["python"]))
+    return hits.filter(~keyword).select("file_path", "line", (F.col("m.start") + 1).alias("column"), word.alias("name"))
 
 
 def go_to_definition(refs: DataFrame, defs: DataFrame) -> DataFrame:
@@ -150,40 +331,45 @@ def assignments(files: DataFrame) -> DataFrame:
 
 
 def deduplicate(defs: DataFrame) -> DataFrame:
-    w = W.partitionBy("file_path", "name", "kind", "line").orderBy("line")
-    return defs.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-
-
-def signatures(files: DataFrame, width: int = 200) -> DataFrame:
-    """Rows (file_path, line, name, signature) of functions: up to the next ``{``, or
-    else ``:``, or else 100 characters; white space squeezed, cut to ``width``."""
-    defs = symbols(files).filter("kind = 'function'")
-    line = code_lines(files).select("file_path", "line", F.trim("text").alias("t"))
-    brace, colon = F.instr("t", "{"), F.instr("t", ":")
-    cut = F.when(brace > 0, brace - 1).when(colon > 0, colon - 1).otherwise(100)
-    return defs.join(line, ["file_path", "line"]).select(
-        "file_path", "line", "name", F.substring(F.trim(F.regexp_replace(F.substring(F.col("t"), F.lit(1), cut), r"\s+", " ")), 1, width).alias("signature"))
-
-
-def doc_comments(files: DataFrame, most: int = 10) -> DataFrame:
-    """Rows (file_path, line, name, comment): the comment lines right above a symbol."""
-    marks = r"^\s*(#|//|/\*|\*)"
-    ls = F.split("content", "\n")
-    above = F.reverse(F.slice(F.col("ls"), F.greatest(F.col("line") - most, F.lit(1)), F.least(F.col("line") - 1, F.lit(most))))
-    start = F.struct(F.array().cast("array<string>").alias("got"), F.lit(False).alias("stop"))
+    return defs.dropDuplicates(["file_path", "name", "kind", "line"])
+
+
+def visible_symbols(points: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows (file_path, at_line, variable, scope, scope_line, line): what is assigned in any
+    block around each (file_path, at_line), or in the file itself."""
+    blocks = scopes(files).select("file_path", F.col("line").alias("scope_line"), "end_line")
+    a = assignments(files).join(blocks, ["file_path", "scope_line"], "left")
+    p = points.select("file_path", "at_line").distinct()
+    inside = (F.col("scope_line") == 0) | F.col("at_line").between(F.col("scope_line"), F.col("end_line"))
+    return p.join(a, "file_path").filter(inside).select("file_path", "at_line", "variable", "scope", "scope_line", "line")
+
+
+def find_symbol(points: DataFrame, files: DataFrame, name: str) -> DataFrame:
+    """The innermost assignment of a name that each (file_path, at_line) sees."""
+    seen = visible_symbols(points, files).filter(F.col("variable") == name)
+    return seen.groupBy("file_path", "at_line").agg(F.max_by(F.struct("scope", "line"), "scope_line").alias("x")).select("file_path", "at_line", "x.*")
+
+
+def signatures(files: DataFrame) -> DataFrame:
+    """Rows (file_path, line, name, signature) of functions."""
+    return extract_symbols(files).filter("kind = 'function'").select("file_path", "line", "name", "signature")
+
+
+def doc_comments(files: DataFrame) -> DataFrame:
+    """Rows (file_path, line, name, kind, comment): the comments right above symbols."""
+    return extract_symbols(files).filter("documentation is not null").select("file_path", "line", "name", "kind", F.col("documentation").alias("comment"))
 
-    def step(s, x):
-        comment = F.rlike(x, F.lit(marks)) & ~s["stop"]
-        return F.struct(F.when(comment, F.array_append(s["got"], F.trim(x))).otherwise(s["got"]).alias("got"), (~comment).alias("stop"))
 
-    got = F.aggregate(F.when(F.col("line") > 1, above).otherwise(F.array().cast("array<string>")), start, step, lambda s: F.array_join(F.reverse(s["got"]), "\n"))
-    return symbols(files).join(files.select("file_path", ls.alias("ls")), "file_path").select("file_path", "line", "name", got.alias("comment")).filter("comment <> ''")
+#: Of symbols at one place the first of these kinds is shown.
+KIND_ORDER = ["function", "class", "struct", "interface", "type", "method", "variable"]
 
 
-def hover(points: DataFrame, blocks: DataFrame, files: DataFrame) -> DataFrame:
-    """The innermost block at each (file_path, at_line), with its signature."""
-    sig = signatures(files).select("file_path", "line", "signature")
-    return enclosing(points, blocks).join(sig, ["file_path", "line"], "left")
+def hover(points: DataFrame, defs: DataFrame) -> DataFrame:
+    """The symbol at each (file_path, line, at_column), with what is shown there."""
+    met = points.join(defs, ["file_path", "line"]).filter(F.col("at_column").between(F.col("column"), F.col("end_column")))
+    order = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind"))
+    first = met.groupBy("file_path", "line", "at_column").agg(F.min_by(F.struct("name", "kind", "signature"), order).alias("x")).select("file_path", "line", "at_column", "x.*")
+    return first.withColumn("contents", F.concat(F.lit("**"), "kind", F.lit("** `"), "name", F.lit("`\n\n"), "signature"))
 
 
 def combined_search(files: DataFrame, query: str, search=None) -> DataFrame:

@@ -109,7 +109,7 @@ class Engine:
         if docs.isEmpty():
             self._commit(self.generations, self.graves + graves)
             return docs
-        names = intel.symbols(docs.select(F.col("doc_id").alias("file_path"), "language", "content")).select(F.col("file_path").alias("doc_id"), "name")
+        names = intel.extract_symbols(docs.select(F.col("doc_id").alias("file_path"), "language", "content")).select(F.col("file_path").alias("doc_id"), "name")
         index.write_index(index.build_postings(docs, names, n=self.config.ngram), f"{name}/postings", self.config.shards)
         self._commit(self.generations | {name: self._next()}, self.graves + graves)
         if not self.bulk and len(self.segments) >= self.config.compaction_threshold:
@@ -216,7 +216,7 @@ class Engine:
         return self.documents().select(F.col("path").alias("file_path"), "language", "content")
 
     def symbols(self) -> DataFrame:
-        return intel.symbols(self.files())
+        return intel.extract_symbols(self.files())
 
     def quality(self) -> DataFrame:
         return analysis.quality_scores(self.files())

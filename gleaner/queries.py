@@ -393,42 +393,39 @@ def x3_match_lines(spark, d):
 
 
 LINES_SQL = "lines AS (SELECT file_path, language, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line FROM @code)"
-KEYWORD_LIST = ", ".join(f"'{k}'" for k in X.KEYWORDS)
+PY_KEYWORDS = ("'def', 'class', 'if', 'else', 'elif', 'for', 'while', 'try', 'except', 'finally', 'with', 'as', 'import', 'from', 'return', 'yield', 'raise', 'pass', "
+               "'break', 'continue', 'and', 'or', 'not', 'in', 'is', 'lambda', 'True', 'False', 'None', 'async', 'await'")
+JS_KEYWORDS = ("'function', 'class', 'if', 'else', 'for', 'while', 'do', 'switch', 'case', 'break', 'continue', 'return', 'try', 'catch', 'finally', 'throw', 'new', "
+               "'delete', 'typeof', 'instanceof', 'void', 'this', 'super', 'const', 'let', 'var', 'true', 'false', 'null', 'undefined', 'async', 'await', 'import', 'export'")
+JS_FUNCTION = r"(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function|\([^)]*\)\s*=>))"
 SYMBOLS_SQL = LINES_SQL + r""", raw AS (
-  SELECT file_path, line, regexp_extract(t, '^\s*(?:async\s+)?def\s+(\w+)\s*\(', 1) AS name, 'function' AS kind FROM lines WHERE language = 'python'
-  UNION ALL SELECT file_path, line, regexp_extract(t, '^\s*class\s+(\w+)\s*[:\(]', 1), 'class' FROM lines WHERE language = 'python'
-  UNION ALL SELECT file_path, line, regexp_extract(t, '^\s*(\w+)\s*=(?:[^=]|$)', 1), 'variable' FROM lines WHERE language = 'python'
-  UNION ALL SELECT file_path, line, regexp_extract(t, 'function\s+(\w+)', 1), 'function' FROM lines WHERE language = 'javascript'
-  UNION ALL SELECT file_path, line, regexp_extract(t, 'class\s+(\w+)', 1), 'class' FROM lines WHERE language = 'javascript'
-  UNION ALL SELECT file_path, line, regexp_extract(t, '(?:const|let|var)\s+(\w+)\s*=', 1), 'variable' FROM lines WHERE language = 'javascript'),
-symbols AS (SELECT * FROM raw WHERE length(name) >= 2 AND name NOT IN (""" + KEYWORD_LIST + "))"
-REFS_SQL = r"refs AS (SELECT file_path, line, name FROM (SELECT file_path, line, unnest(regexp_extract_all(t, '\b[a-zA-Z_]\w*\b')) AS name FROM lines) WHERE name NOT IN (" + KEYWORD_LIST + "))"
-
-
-@query(f"WITH {SYMBOLS_SQL} SELECT file_path, line, name, kind FROM symbols")
+  SELECT file_path, line, t, regexp_extract(t, '^\s*(?:async\s+)?def\s+(\w+)\s*\(', 1) AS name, 'function' AS kind, regexp_extract(t, '^\s*(?:async\s+)?def\s+(\w+)\s*\(') AS m FROM lines WHERE language = 'python'
+  UNION ALL SELECT file_path, line, t, regexp_extract(t, '^\s*class\s+(\w+)\s*[:\(]', 1), 'class', regexp_extract(t, '^\s*class\s+(\w+)\s*[:\(]') FROM lines WHERE language = 'python'
+  UNION ALL SELECT file_path, line, t, regexp_extract(t, '^\s*(\w+)\s*=\s*', 1), 'variable', regexp_extract(t, '^\s*(\w+)\s*=\s*') FROM lines WHERE language = 'python'
+  UNION ALL SELECT file_path, line, t, concat(regexp_extract(t, '@js', 1), regexp_extract(t, '@js', 2)), 'function', regexp_extract(t, '@js') FROM lines WHERE language = 'javascript'
+  UNION ALL SELECT file_path, line, t, regexp_extract(t, 'class\s+(\w+)', 1), 'class', regexp_extract(t, 'class\s+(\w+)') FROM lines WHERE language = 'javascript'
+  UNION ALL SELECT file_path, line, t, regexp_extract(t, '(?:const|let|var)\s+(\w+)\s*=', 1), 'variable', regexp_extract(t, '(?:const|let|var)\s+(\w+)\s*=') FROM lines WHERE language = 'javascript'),
+symbols AS (SELECT file_path, line, instr(t, m)::INT AS "column", (instr(t, m) + length(m))::INT AS end_column, name, kind, trim(t) AS signature FROM raw WHERE name <> '')""".replace("@js", JS_FUNCTION)
+REFS_SQL = r"""found AS (SELECT file_path, language, line, regexp_extract_all(t, '\b[a-zA-Z_]\w*\b') AS m, string_split_regex(t, '\b[a-zA-Z_]\w*\b') AS g FROM lines),
+words AS (SELECT file_path, language, line, m, g, unnest(m) AS name, generate_subscripts(m, 1) AS i FROM found),
+refs AS (SELECT file_path, line, (length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i - 1], '')) + 1)::INT AS "column", name FROM words
+  WHERE CASE WHEN language = 'javascript' THEN name NOT IN (@js) ELSE name NOT IN (@py) END)""".replace("@js", JS_KEYWORDS).replace("@py", PY_KEYWORDS)
+
+
+@query(f"WITH {SYMBOLS_SQL} SELECT * FROM symbols")
 def t6_symbols(spark, d):
     return X.symbols(code(spark, d))
 
 
-@query(f"WITH {LINES_SQL}, {REFS_SQL} SELECT name, count(*) AS n, count(DISTINCT file_path) AS files FROM refs GROUP BY 1")
+@query(f"WITH {LINES_SQL}, {REFS_SQL} SELECT name, count(*) AS n, count(DISTINCT file_path) AS files, sum(\"column\")::BIGINT AS columns FROM refs GROUP BY 1")
 def t7_references(spark, d):
-    return X.references(code(spark, d)).groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("file_path").alias("files"))
+    return X.references(code(spark, d)).groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("file_path").alias("files"), F.sum("column").alias("columns"))
 
 
-@query(f"""WITH {SYMBOLS_SQL}, {REFS_SQL}, j AS (SELECT r.file_path, r.line, r.name, s.file_path AS def_file, s.line AS def_line, s.kind,
-  bool_or(s.file_path = r.file_path) OVER (PARTITION BY r.file_path, r.line, r.name) AS own FROM (SELECT DISTINCT * FROM refs WHERE name LIKE 'Item%' OR name LIKE 'func%') r JOIN symbols s USING (name))
-SELECT file_path, line, name, def_file, def_line, kind FROM j WHERE NOT own OR def_file = file_path""")
-def t9_definitions(spark, d):
-    files = code(spark, d)
-    refs = X.references(files).filter("name like 'Item%' or name like 'func%'").select("file_path", "line", "name").distinct()
-    return X.go_to_definition(refs, X.symbols(files)).select("file_path", "line", "name", "def_file", "def_line", "kind")
-
-
-@query(f"""WITH {SYMBOLS_SQL}, {REFS_SQL}, r AS (SELECT DISTINCT * FROM refs), o AS (SELECT DISTINCT file_path, name FROM symbols)
+@query(f"""WITH {SYMBOLS_SQL}, {REFS_SQL}, r AS (SELECT DISTINCT file_path, line, name FROM refs), o AS (SELECT DISTINCT file_path, name FROM symbols)
 SELECT r.file_path, r.line, r.name, s.file_path AS def_file, s.line AS def_line, s.kind FROM r JOIN symbols s ON s.name = r.name AND s.file_path = r.file_path
 UNION ALL SELECT r.file_path, r.line, r.name, s.file_path, s.line, s.kind FROM r ANTI JOIN o USING (file_path, name) JOIN symbols s USING (name)""")
-def t9_all_definitions(spark, d):
-    """``t9_definitions`` over references to all names."""
+def t9_definitions(spark, d):
     files = code(spark, d)
     refs = X.references(files).select("file_path", "line", "name").distinct()
     return X.go_to_definition(refs, X.symbols(files)).select("file_path", "line", "name", "def_file", "def_line", "kind")
@@ -516,11 +513,33 @@ def a9_severities(spark, d):
     return A.security_issues(code(spark, d)).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query()
+SCORES_SQL = ISSUES_SQL + r""", sec AS (SELECT file_path, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning FROM issues GROUP BY 1),
+sty AS (SELECT file_path, sum((length(t) > 120)::INT + regexp_matches(t, '[ \t\r]+$')::INT)::BIGINT AS style FROM lines GROUP BY 1),
+m AS (SELECT file_path, 1 + CASE WHEN language = 'javascript' THEN len(regexp_extract_all(content, '\b(?:if|else|for|while|do|try|catch|switch|case)\b|&&|\|\||\?'))
+    ELSE len(regexp_extract_all(content, '\b(?:if|elif|else|for|while|and|or|try|except|with)\b')) END AS cyclomatic,
+  coalesce(list_max([(length(x) - length(ltrim(x))) // 4 for x in string_split(content, chr(10)) if trim(x) <> '']), 0) AS nesting FROM @code),
+j AS (SELECT m.*, coalesce(critical, 0)::BIGINT AS critical, coalesce(error, 0)::BIGINT AS error, coalesce(warning, 0)::BIGINT AS warning, coalesce(style, 0)::BIGINT AS style FROM m LEFT JOIN sec USING (file_path) LEFT JOIN sty USING (file_path)),
+k AS (SELECT *, greatest(0, 100 - greatest(0, least(30, (cyclomatic - 10) * 3)) - greatest(0, least(20, (nesting - 4) * 5)) - 2 * style)::DOUBLE AS maintainability, 100::DOUBLE AS reliability,
+  greatest(0, 100 - 25 * critical - 15 * error - 5 * warning)::DOUBLE AS security FROM j),
+scores AS (SELECT *, round((maintainability + reliability + security) / 3, 6) AS overall FROM k),
+graded AS (SELECT file_path, critical, error, warning, style, maintainability, reliability, security, overall,
+  CASE WHEN overall >= 90 THEN 'A' WHEN overall >= 80 THEN 'B' WHEN overall >= 70 THEN 'C' WHEN overall >= 60 THEN 'D' ELSE 'F' END AS grade FROM scores)"""
+
+
+@query(f"WITH {SCORES_SQL} SELECT * FROM graded")
 def a8_quality(spark, d):
     return A.quality_scores(code(spark, d))
 
 
+@query(f"""WITH {SCORES_SQL}, every AS (SELECT file_path, line, rule_id FROM issues UNION ALL SELECT file_path, line, 'STYLE001' FROM lines WHERE length(t) > 120
+  UNION ALL SELECT file_path, line, 'STYLE002' FROM lines WHERE regexp_matches(t, '[ \t\r]+$')),
+listed AS (SELECT file_path, string_agg(concat(line, ':', rule_id), ',' ORDER BY line, rule_id) AS issues FROM every GROUP BY 1)
+SELECT file_path, coalesce(issues, '') AS issues, cyclomatic::INT AS cyclomatic, overall, grade FROM graded JOIN m USING (file_path) LEFT JOIN listed USING (file_path)""")
+def a10_file_reports(spark, d):
+    issues = F.array_join(F.transform("issues", lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["rule_id"])), ",")
+    return A.file_reports(code(spark, d)).select("file_path", issues.alias("issues"), "complexity.cyclomatic", "score.overall", "score.grade")
+
+
 @query(r"""WITH l AS (SELECT file_path, [regexp_replace(trim(x), '\b\w+\b', 'VAR', 'g') for x in string_split(content, chr(10)) if trim(x) <> '' AND NOT starts_with(trim(x), '#') AND NOT starts_with(trim(x), '//')] AS v FROM @code),
 s AS (SELECT file_path, list_sort(list_distinct([array_to_string(v[i:i+2], chr(10)) for i in range(1, len(v) - 1)])) AS s FROM l),
 g AS (SELECT s, min(file_path) AS rep FROM s WHERE len(s) > 0 GROUP BY 1),
@@ -675,21 +694,64 @@ def s10_spanning_tree(spark, d):
 # -- monitors and logs ----------------------------------------------------------------------------------
 
 
-def _monitor_sql():
-    return " UNION ALL ".join("SELECT '{}' AS rule_id, '{}' AS severity, file_path, unnest(regexp_extract_all(content, '(?i){}')) AS text FROM @code".format(r, s, p.replace("'", "''")) for r, p, s in K.DEFAULT_RULES)
+MONITOR_SQL = r"""SELECT rule_id, severity, file_path, unnest(regexp_extract_all(content, p)) AS text FROM (
+  SELECT 'sec-001' AS rule_id, 'critical' AS severity, file_path, content, '(?i)(?:password|api_key|secret|token)\s*=\s*[''"][^''"]+[''"]' AS p FROM @code
+  UNION ALL SELECT 'sec-002', 'error', file_path, content, '(?i)\beval\s*\(' FROM @code
+  UNION ALL SELECT 'sec-003', 'error', file_path, content, '(?i)execute\([^)]*%s|execute\([^)]*\+|cursor\.execute\([^)]*f[''"]' FROM @code
+  UNION ALL SELECT 'dep-001', 'warning', file_path, content, '(?i)@deprecated|# deprecated|DEPRECATED' FROM @code
+  UNION ALL SELECT 'qual-001', 'info', file_path, content, '(?i)(?:TODO|FIXME|HACK|XXX):' FROM @code)"""
 
 
-@query(f"SELECT rule_id, severity, file_path, substr(text, 1, 100) AS text FROM ({_monitor_sql()})")
+@query(f"SELECT rule_id, severity, file_path, substr(text, 1, 100) AS text FROM ({MONITOR_SQL})")
 def k2_scan(spark, d):
     return K.scan(code(spark, d)).select("rule_id", "severity", "file_path", "text")
 
 
-@query(f"SELECT rule_id, file_path, count(*) AS matches FROM ({_monitor_sql()}) GROUP BY 1, 2 HAVING count(*) > 1")
+@query(f"SELECT rule_id, file_path, count(*) AS matches FROM ({MONITOR_SQL}) GROUP BY 1, 2 HAVING count(*) > 1")
 def k3_threshold(spark, d):
     return K.threshold_alerts(K.scan(code(spark, d)), 1)
 
 
-@query(f"WITH m AS ({_monitor_sql()}) SELECT s AS severity, (SELECT count(*) FROM m WHERE severity = s) AS alerts FROM (VALUES ('info'), ('warning'), ('error'), ('critical')) v(s)")
+#: Rules that are off, of one language, of some paths, and with a threshold.
+RULES = [K.Rule("returns", r"return \w+", "info", language="python"), K.Rule("first", r"class\s+\w+", "warning", file_pattern=r"src/pkg/mod1"),
+         K.Rule("off", r"def", "error", enabled=False), K.Rule("many", r"\bself\b", "error", trigger="threshold", threshold=1)]
+
+
+@query(r"""SELECT 'returns' AS rule_id, 'info' AS severity, file_path, unnest(regexp_extract_all(content, '(?i)return \w+')) AS text FROM @code WHERE language = 'python'
+UNION ALL SELECT 'first', 'warning', file_path, unnest(regexp_extract_all(content, '(?i)class\s+\w+')) FROM @code WHERE starts_with(file_path, 'src/pkg/mod1')""")
+def k2_filtered_rules(spark, d):
+    return K.scan(code(spark, d), RULES).select("rule_id", "severity", "file_path", "text")
+
+
+@query(r"""SELECT 'many' AS rule_id, 'error' AS severity, file_path, 0 AS line, concat(n, ' matches found') AS text
+FROM (SELECT file_path, len(regexp_extract_all(content, '(?i)\bself\b')) AS n FROM @code) WHERE n > 1""")
+def k3_threshold_rules(spark, d):
+    return K.threshold_scan(code(spark, d), RULES)
+
+
+@query(r"""WITH l AS (SELECT file_path, doc_id, regexp_extract_all(content, '(?i)class\s+\w+') AS a FROM @code WHERE starts_with(file_path, 'src/pkg/mod1')),
+m AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN [] WHEN doc_id % 3 = 1 THEN [concat(a[1], '_v2')] ELSE a END AS b FROM l),
+i AS (SELECT *, unnest(range(1, greatest(len(a), len(b)) + 1)) AS n FROM m)
+SELECT 'first' AS rule_id, 'warning' AS severity, file_path, n::INT AS nth, CASE WHEN b[n] IS NULL THEN 'removed' ELSE 'modified' END AS change, a[n] AS old_text, b[n] AS new_text
+FROM i WHERE a[n] IS DISTINCT FROM b[n]""")
+def k4_changed_matches(spark, d):
+    old = code(spark, d)
+    new = old.withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("content", "class", "klass")).when(
+        F.col("doc_id") % 3 == 1, F.regexp_replace("content", r"(class\s+\w+)", "$1_v2")).otherwise(F.col("content")))
+    return K.changed_matches(old, new, RULES[1:2])
+
+
+@query(f"""WITH m AS (SELECT file_path, rule_id, severity FROM ({MONITOR_SQL}))
+SELECT severity, count(*) AS alerts, count(*) FILTER (severity = 'critical') AS acknowledged, count(*) FILTER (rule_id = 'sec-002') AS resolved FROM m GROUP BY 1""")
+def k6_marks(spark, d):
+    alerts = K.scan(code(spark, d))
+    marks = alerts.select("rule_id", "match_hash", F.explode(F.array(
+        F.when(F.col("severity") == "critical", "acknowledge"), F.when(F.col("rule_id") == "sec-002", "resolve"))).alias("mark")).filter("mark is not null")
+    return K.with_state(alerts, marks).groupBy("severity").agg(
+        F.count("*").alias("alerts"), F.count_if("acknowledged").alias("acknowledged"), F.count_if("resolved").alias("resolved"))
+
+
+@query(f"WITH m AS ({MONITOR_SQL}) SELECT s AS severity, (SELECT count(*) FROM m WHERE severity = s) AS alerts FROM (VALUES ('info'), ('warning'), ('error'), ('critical')) v(s)")
 def k6_severities(spark, d):
     return K.severity_counts(K.scan(code(spark, d)))
 
@@ -727,29 +789,116 @@ def k22_shard_stats(spark, d):
 # -- more of each group ------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {SYMBOLS_SQL} SELECT s.file_path, s.line, s.name, substr(trim(regexp_replace(substr(trim(t), 1, CASE WHEN instr(trim(t), '{{') > 0 THEN instr(trim(t), '{{') - 1 WHEN instr(trim(t), ':') > 0 THEN instr(trim(t), ':') - 1 ELSE 100 END), '\\s+', ' ', 'g')), 1, 200) AS signature
-  FROM symbols s JOIN lines l USING (file_path, line) WHERE s.kind = 'function'""")
+#: Files of nine languages (under their names and aliases); ``@`` is a number.
+SNIPPETS = [
+    ("python", """# adds\n# two\ndef add@(a, b):\n    return a\n\nclass Box@(Base):\n    pass\n\nlimit@: int = 3\nimport os@\nasync def go@(z): pass\ndef z(): pass\n"""),
+    ("js", """import { a, b } from './m@';\n/**\n * Says hi\n */\nasync function hello@(x) { return x; }\nconst arrow@ = async (y) => y;\nclass Foo@ extends Bar { }\n"""),
+    ("TS", """interface Shape@<T> extends A, B {\n}\ntype Id@ = string;\nfunction idOf@<T>(x: T) { }\nclass Kind@ implements Shape {\n}\nconst num@: number = 3;\n"""),
+    ("java", """// a class\npublic class Main@ {\n  private static int count@ = 0;\n  public static void run@(String[] args) { return; }\n}\ninterface Run@ { }\n"""),
+    ("go", """package m\n// Gets it\nfunc (s *S) Get@(k int) error {\n}\ntype S@ struct {\n}\nvar total@ int = 3\n"""),
+    ("rs", """pub async fn run@<T>(x: T) {}\npub struct Pt@ { }\ntrait Shape@ { }\nenum Color@ { }\nlet mut n@: i32 = 3;\n"""),
+    ("rb", """# greets\ndef self.greet@!\nend\nclass Dog@\nmodule Zoo@\n"""),
+    ("hpp", """int add@(int a, int b) const {\n return a;}\nstruct P@ : public Q {\n};\nint total@ = 0;\n"""),
+    ("cs", """public class Task@ {\n public int Size@ { get; set; }\n public static async Task Run@(int x) { }\n internal interface IRun@ { }\n}\n"""),
+    ("cobol", """def none@(x):\n"""),
+]
+
+
+def polyglot(spark: SparkSession, d: str) -> DataFrame:
+    number = (F.col("p_size") + 10).cast("string")
+    text = F.element_at(F.array(*[F.lit(x) for _, x in SNIPPETS]), (F.col("p_partkey") % len(SNIPPETS) + 1).cast("int"))
+    lang = F.element_at(F.array(*[F.lit(x) for x, _ in SNIPPETS]), (F.col("p_partkey") % len(SNIPPETS) + 1).cast("int"))
+    return table(spark, d, "part").select(F.concat(F.lit("f"), "p_partkey").alias("file_path"), lang.alias("language"), F.replace(text, F.lit("@"), number).alias("content"))
+
+
+#: What the snippets declare: place in the list, name, kind, line, last line, signature, comment.
+DECLARED_SQL = """(VALUES
+  (0, 'add@', 'function', 3, 3, 'def add@(a, b)', concat('adds', chr(10), 'two')),
+  (0, 'go@', 'function', 11, 11, 'async def go@(z)', NULL),
+  (0, 'Box@', 'class', 6, 6, NULL, NULL),
+  (0, 'limit@', 'variable', 9, 9, NULL, NULL),
+  (0, concat('os@', chr(10), 'async def go@'), 'import', 10, 11, NULL, NULL),
+  (1, 'hello@', 'function', 5, 5, 'async function hello@(x)', concat('Says hi', chr(10), '/')),
+  (1, 'arrow@', 'function', 6, 6, 'const arrow@ = async (y) => y; class Foo@ extends Bar', NULL),
+  (1, 'Foo@', 'class', 7, 7, NULL, NULL),
+  (1, 'arrow@', 'variable', 6, 6, NULL, NULL),
+  (1, './m@', 'import', 1, 1, NULL, NULL),
+  (2, 'idOf@', 'function', 4, 4, 'function idOf@<T>(x: T)', NULL),
+  (2, 'Kind@', 'class', 5, 5, NULL, NULL),
+  (2, 'Shape@', 'interface', 1, 1, NULL, NULL),
+  (2, 'Id@', 'type', 3, 3, NULL, NULL),
+  (2, 'num@', 'variable', 7, 7, NULL, NULL),
+  (3, 'run@', 'function', 4, 4, 'public static void run@(String[] args)', NULL),
+  (3, 'Main@', 'class', 2, 2, NULL, 'a class'),
+  (3, 'Run@', 'interface', 6, 6, NULL, NULL),
+  (3, 'count@', 'variable', 3, 3, NULL, NULL),
+  (4, 'Get@', 'function', 3, 3, 'func (s *S) Get@(k int) error', 'Gets it'),
+  (4, 'S@', 'type', 5, 5, NULL, NULL),
+  (4, 'total@', 'variable', 7, 7, NULL, NULL),
+  (5, 'run@', 'function', 1, 1, 'pub async fn run@<T>(x: T)', NULL),
+  (5, 'Pt@', 'class', 2, 2, NULL, NULL),
+  (5, 'Shape@', 'interface', 3, 3, NULL, NULL),
+  (5, 'Color@', 'enum', 4, 4, NULL, NULL),
+  (5, 'n@', 'variable', 5, 5, NULL, NULL),
+  (6, 'greet@!', 'function', 2, 2, 'def self.greet@! end class Dog@ module Zoo@', 'greets'),
+  (6, 'Dog@', 'class', 4, 4, NULL, NULL),
+  (6, 'Zoo@', 'module', 5, 5, NULL, NULL),
+  (7, 'add@', 'function', 1, 1, 'int add@(int a, int b) const { return a;} struct P@ : public Q', NULL),
+  (7, 'P@', 'class', 3, 3, NULL, NULL),
+  (7, 'total@', 'variable', 5, 5, NULL, NULL),
+  (8, 'Run@', 'function', 3, 3, 'public static async Task Run@(int x)', NULL),
+  (8, 'Task@', 'class', 1, 1, NULL, NULL),
+  (8, 'IRun@', 'interface', 4, 4, NULL, NULL),
+  (8, 'Size@', 'property', 2, 2, NULL, NULL)) v(i, name, kind, line, end_line, signature, documentation)"""
+POLYGLOT_SQL = DECLARED_SQL + " JOIN part ON p_partkey % 10 = i"
+
+
+@query(f"""SELECT concat('f', p_partkey) AS file_path, replace(name, '@', (p_size + 10)::VARCHAR) AS name, kind, line, end_line, replace(signature, '@', (p_size + 10)::VARCHAR) AS signature,
+  documentation FROM {POLYGLOT_SQL}""")
+def t1_extract_symbols(spark, d):
+    return X.extract_symbols(polyglot(spark, d))
+
+
+@query(r"""WITH l AS (SELECT file_path, language, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line FROM @code)
+SELECT file_path, line, regexp_extract(t, '^def (\w+)\(', 1) AS name, regexp_extract(t, '^def \w+\([^)]*\)') AS signature FROM l WHERE language = 'python' AND regexp_matches(t, '^def (\w+)\([^)]*\):')
+UNION ALL SELECT file_path, line, regexp_extract(t, 'function (\w+)\(', 1), regexp_extract(t, 'function \w+\([^)]*\)') FROM l WHERE language = 'javascript' AND regexp_matches(t, 'function (\w+)\([^)]*\)')""")
 def t2_signatures(spark, d):
     return X.signatures(code(spark, d))
 
 
-@query()
+@query(f"SELECT concat('f', p_partkey) AS file_path, line, replace(name, '@', (p_size + 10)::VARCHAR) AS name, kind, documentation AS comment FROM {POLYGLOT_SQL} WHERE documentation IS NOT NULL")
 def t3_doc_comments(spark, d):
-    return X.doc_comments(code(spark, d))
+    return X.doc_comments(polyglot(spark, d))
 
 
-@query()
+@query(f"""WITH {SYMBOLS_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY file_path, line ORDER BY CASE kind WHEN 'function' THEN 1 WHEN 'class' THEN 2 ELSE 3 END) AS n FROM symbols WHERE 9 BETWEEN "column" AND end_column)
+SELECT file_path, line, 9 AS at_column, name, kind, signature, concat('**', kind, '** `', name, '`', chr(10), chr(10), signature) AS contents FROM h WHERE n = 1""")
 def t12_hover(spark, d):
     files = code(spark, d)
-    points = X.code_lines(files).filter(F.contains("text", F.lit("return"))).select("file_path", F.col("line").alias("at_line"))
-    return X.hover(points, X.scopes(files), files)
+    points = X.code_lines(files).select("file_path", "line", F.lit(9).alias("at_column"))
+    return X.hover(points, X.symbols(files))
 
 
-@query()
+ASSIGNED_SQL = SCOPES_SQL + r""", vars AS (SELECT file_path, line, regexp_extract(t, '^\s*(\w+)\s*=\s*', 1) AS variable FROM lines WHERE language = 'python' AND regexp_matches(t, '^\s*(\w+)\s*=\s*')),
+placed AS (SELECT v.file_path, v.line, v.variable, s.name, s.line AS scope_line, row_number() OVER (PARTITION BY v.file_path, v.line ORDER BY s.line DESC) AS n
+  FROM vars v LEFT JOIN scopes s ON s.file_path = v.file_path AND v.line BETWEEN s.line AND s.end_line),
+assigned AS (SELECT file_path, coalesce(name, '') AS scope, coalesce(scope_line, 0)::INT AS scope_line, variable, max(line)::INT AS line FROM placed WHERE n = 1 GROUP BY ALL)"""
+
+
+@query(f"WITH {ASSIGNED_SQL} SELECT * FROM assigned")
 def t15_assignments(spark, d):
     return X.assignments(code(spark, d))
 
 
+@query(f"""WITH {ASSIGNED_SQL}, p AS (SELECT file_path, line AS at_line FROM lines WHERE contains(t, 'return'))
+SELECT a.file_path, p.at_line, a.variable, a.scope, a.scope_line, a.line FROM p JOIN assigned a USING (file_path) LEFT JOIN scopes s ON s.file_path = a.file_path AND s.line = a.scope_line
+WHERE a.scope_line = 0 OR p.at_line BETWEEN s.line AND s.end_line""")
+def t16_visible(spark, d):
+    files = code(spark, d)
+    points = X.code_lines(files).filter(F.contains("text", F.lit("return"))).select("file_path", F.col("line").alias("at_line"))
+    return X.visible_symbols(points, files)
+
+
 @query(r"""SELECT file_path, unnest(regexp_extract_all(content, '(?s)for (.+?) in range\((\d+(?:\.\d+)?)\)')) AS match FROM @code WHERE language = 'python' AND contains(lower(content), 'todo')""")
 def q11_combined_search(spark, d):
     return X.combined_search(code(spark, d), 'struct:"for :[x] in range(:[n:number])" lang:python file:src/*.py todo').select("file_path", "match")

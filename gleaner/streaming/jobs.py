@@ -29,11 +29,16 @@ def new_matches(files: DataFrame, rules=DEFAULT_RULES, time_column: str | None =
     """A stream of (file_path, content) scanned by the rules: every match of a rule,
     each different one of a file once."""
 
-    def of(rule: str, pattern: str, severity: str):
-        texts = F.regexp_extract_all("content", F.lit("(?i)" + pattern), F.lit(0))
-        return F.transform(F.array_distinct(texts), lambda t: F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), t.alias("text")))
-
-    found = F.concat(*[of(*rule) for rule in rules])
+    def of(rule):
+        fits = F.lit(True)
+        if rule.language:
+            fits = fits & (F.col("language") == rule.language)
+        if rule.file_pattern:
+            fits = fits & F.rlike("file_path", F.lit(f"^(?:{rule.file_pattern})"))
+        texts = F.when(fits, F.regexp_extract_all("content", F.lit("(?i)" + rule.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        return F.transform(F.array_distinct(texts), lambda t: F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), t.alias("text")))
+
+    found = F.concat(*[of(rule) for rule in rules if rule.enabled])
     if time_column:
         files = files.withWatermark(time_column, delay)
     hits = files.select("file_path", *([time_column] if time_column else []), F.explode(found).alias("m")).select("file_path", *([time_column] if time_column else []), "m.*")
@@ -76,6 +81,23 @@ def last_version(spark: SparkSession, path: str, before: int | None = None) -> s
     return f"{path}/v{max(whole):08d}" if whole else None
 
 
+def alert_sink(*handlers: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: gives each batch of alerts to every handler, a table writer or a
+    notifier; one that fails doesn't keep the others from their turn, but fails the batch."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        failed = []
+        for handle in handlers:
+            try:
+                handle(batch)
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+        if failed:
+            raise ExceptionGroup(f"handlers failed in batch {batch_id}", failed)
+
+    return apply
+
+
 def lag(ends: DataFrame, committed: DataFrame) -> DataFrame:
     """Rows (partition, lag) from the ends of a log and the offsets that were read."""
     return ends.join(committed, "partition", "left").select("partition", (F.col("end_offset") - F.coalesce("offset", F.lit(0))).alias("lag"))

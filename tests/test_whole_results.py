@@ -52,5 +52,5 @@ def test_chains_of_any_length(spark):
 
 
 def test_definitions_of_all_names(spark):
-    got = {r.name for r in Q.queries()["t9_all_definitions"](spark, "/root/testdata/sf0.001").select("name").distinct().collect()}
+    got = {r.name for r in Q.queries()["t9_definitions"](spark, "/root/testdata/sf0.001").select("name").distinct().collect()}
     assert {"getName", "y_value", "onClick"} <= got and any(n.startswith("Widget") for n in got)
