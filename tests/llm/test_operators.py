@@ -1,8 +1,10 @@
 """The training-data operators against brute force, and on awkward tables."""
 
 import hashlib
+import math
 import random
 import re
+import string
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -58,6 +60,49 @@ def test_kneser_ney_is_a_distribution():
     assert all(0.3 < x <= 1 + 1e-9 for x in mass)
 
 
+def plain_costs(counts, order, n_letters, words):
+    """Interpolated Kneser-Ney by its definition, in dictionaries."""
+    base = 1 / (n_letters + 3)
+    marked = {f"|{w}|": n for w, n in counts.items()}
+    totals = [None, *[Counter() for _ in range(order)]]
+    for w, c in marked.items():
+        for n in range(1, order + 1):
+            for i in range(len(w) - n + 1):
+                if n > 1 or i > 0:
+                    totals[n][w[i: i + n]] += c
+    probability, back = [None], [None]
+    for n in range(1, order + 1):
+        before = Counter(g[1:] for g in totals[n + 1]) if n < order else {}
+        adjusted = {g: c if g not in before or (n > 1 and g[0] == "|") else before[g] for g, c in totals[n].items()}
+        ones, twos = (sum(v == k for v in adjusted.values()) for k in (1, 2))
+        d = ones / (ones + 2 * twos) if ones else 0.5
+        sums, kinds = Counter(), Counter()
+        for g, v in adjusted.items():
+            sums[g[:-1]] += v
+            kinds[g[:-1]] += 1
+        back.append({c: d * kinds[c] / sums[c] for c in sums})
+        lower = (lambda g: base) if n == 1 else (lambda g, n=n: probability[n - 1].get(g[1:], base))
+        probability.append({g: max(v - d, 0) / sums[g[:-1]] + back[n][g[:-1]] * lower(g) for g, v in adjusted.items()})
+
+    def p(g):
+        if not g:
+            return base
+        return probability[len(g)][g] if g in probability[len(g)] else back[len(g)].get(g[:-1], 1.0) * p(g[1:])
+
+    return [-sum(math.log(p(f"|{w}|"[max(0, i + 1 - order): i + 1])) for i in range(1, len(w) + 2)) for w in words]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_kneser_ney_matches_its_definition(order):
+    rng = random.Random(order)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 7)))
+    counts = {x: Counter(word(letters) for _ in range(60)) for x, letters in (("x", "aab"), ("y", "bcé"), ("z", "a"))}
+    words = [word("abcé?") for _ in range(80)] + ["a" * 40]
+    got = langid.CharModels.train(counts, order).word_costs(words)
+    for j, x in enumerate(sorted(counts)):
+        assert got[:, j] == pytest.approx(plain_costs(counts[x], order, 4, words), rel=1e-9)
+
+
 def test_language_awkward(spark, awkward, empty):
     m = langid.CharModels.train({"en": Counter(["word", "one"]), "de": Counter(["wort", "eins"])})
     got = langid.identify(awkward, m).collect()
@@ -242,6 +287,41 @@ def test_quality(spark):
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def plain_features(text):
+    text = text or ""
+    data, words, lines = text.encode(), text.split(), text.split("\n")
+    share = lambda ok: sum(map(ok, data)) / max(1, len(data))
+    n = max(1, len(words))
+    out = [math.log1p(len(text)), math.log1p(len(words)), math.log1p(len(text) / n), share(lambda c: 97 <= c <= 122), share(lambda c: 65 <= c <= 90),
+           share(lambda c: 48 <= c <= 57), share(lambda c: c in b" \t\n\v\f\r"), share(lambda c: c > 127), len(set(words)) / n,
+           sum(words[i] == words[i + 1] for i in range(len(words) - 1)) / n, max([words.count(w) for w in words], default=0) / n,
+           sum(text.count(c) for c in ".!?") / n, sum(len(w) > 20 for w in words) / n, sum(not w[-1].isalnum() for w in words) / n,
+           math.log1p(len(text) / len(lines)), 1 - len(set(lines)) / len(lines)]
+    return out + [math.log1p(200 * text.count(m) / max(1, len(data))) for m in string.punctuation]
+
+
+def test_features_match_a_plain_reading(documents):
+    texts = [None, "", "a", "A b\nA b\n", "é!! 12 " + "x" * 30, *(t for _, t in documents if len(t) < 3000)]
+    for t in texts:
+        assert quality.features(t) == pytest.approx(plain_features(t), abs=1e-12)
+
+
+def test_preferences_are_fitted_to_the_least_loss():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, len(quality.FEATURES)))
+    y = (x[:, 0] - 2 * x[:, 5] + rng.normal(size=200) > 0).astype(int)
+    diff = x[rng.choice(np.flatnonzero(y == 1), 900)] - x[rng.choice(np.flatnonzero(y == 0), 900)]
+    flip = np.where(rng.random(900) < 0.5, 1.0, -1.0)
+    d, won = diff * flip[:, None], (flip > 0).astype(float)
+    loss = lambda w: np.logaddexp(0, -d @ w * (2 * won - 1)).sum() + 1.5 * w @ w
+    w = quality.fit_logistic(d, won, 3.0)
+    assert all(loss(w) <= loss(w + rng.normal(size=len(w)) * s) for s in (1e-3, 1e-2, 0.1, 1.0) for _ in range(20))
+    scores = quality.Ranker.fit(x, y).raw(x)
+    assert np.mean(scores[y == 1][:, None] > scores[y == 0][None, :]) > 0.9
+
+
 def test_quality_awkward(spark, awkward, empty):
     lab = spark.createDataFrame([(1, "Good text here."), (0, "bad*** bad*** bad***"), (1, "Fine words."), (0, "x!! X!!"), (None, "y")], "quality int, text string").withColumn("doc_id", F.monotonically_increasing_id())
     m = quality.train_ranker(lab)
@@ -495,3 +575,34 @@ def test_shards_move_little(spark):
     at = lambda n: {r.doc_id: r.shard for r in sharding.bounded_ring_shards(df, n_shards=n, slack=0.1).collect()}
     a, b = at(10), at(11)
     assert max(Counter(a.values()).values()) <= 660 and sum(a[k] != b[k] for k in a) < 0.45 * len(a)
+
+
+@pytest.mark.parametrize("slack", [None, 0.0, 0.3])
+def test_shards_match_a_plain_walk(spark, slack):
+    """Each row, in ring order, goes to the first point at or after its hash whose shard has room."""
+    ids, shards, vnodes = [*range(400), *[7] * 300, None, None], 7, 16
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    points = sorted((r.h, r.s) for r in spark.range(shards).selectExpr("id as s", f"explode(sequence(0, {vnodes - 1})) as v").selectExpr("xxhash64('vnode', s, v) as h", "s").collect())
+    rows = [(r.h, r.doc_id) for r in df.selectExpr("xxhash64('row', doc_id) as h", "doc_id").collect()]
+    room = [len(ids) // shards + (s < len(ids) % shards) for s in range(shards)] if slack is None else [math.ceil(len(ids) * (1 + slack) / shards)] * shards
+    arc = lambda h: next((i for i, (p, _) in enumerate(points) if p >= h), 0)
+    want, used = [], [0] * shards
+    for at, h, i in sorted(((arc(h), h, i) for h, i in rows), key=lambda x: (x[0], x[1], x[2] is not None, x[2] or 0)):
+        home = points[at][1]
+        while used[points[at][1]] == room[points[at][1]]:
+            at = (at + 1) % len(points)
+        s = points[at][1]
+        want.append((i, s, used[s], home))
+        used[s] += 1
+    got = sharding.bounded_ring_shards(df, n_shards=shards, slack=slack, vnodes=vnodes).collect()
+    assert sorted(((r.doc_id, r.shard, r.slot, r.home_shard) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_equal_shards_move_little(spark):
+    """The registered law: shards within one row of each other; a shard more moves far
+    fewer rows than dealing them anew, which moves 24 of 25."""
+    df = spark.range(24_000).withColumnRenamed("id", "doc_id")
+    at = lambda n: {r.doc_id: r.shard for r in sharding.bounded_ring_shards(df, n_shards=n).collect()}
+    a, b = at(24), at(25)
+    moved = sum(a[k] != b[k] for k in a) / len(a)
+    assert moved < 0.15
