@@ -70,6 +70,67 @@ def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: st
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def put_vectors(store: DataFrame, new: DataFrame, key: str = "vec_id") -> DataFrame:
+    """The store with vectors added, or replaced where their key is known."""
+    return store.join(new.select(key), key, "left_anti").unionByName(new.select(*store.columns))
+
+
+def remove_vectors(store: DataFrame, gone: DataFrame, key: str = "vec_id") -> DataFrame:
+    return store.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def save_vectors(store: DataFrame, path: str) -> None:
+    store.write.mode("overwrite").parquet(path)
+
+
+def load_vectors(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def cell_index(vectors: DataFrame, cells: int = 100, key: str = "vec_id", vector: str = "embedding", sample: int = 20_000, seed: int = 42):
+    """An index by cells: (centres, rows (key, vector, cell)).  Centres are fitted on about
+    ``sample`` vectors; every vector is in the cell of its nearest centre."""
+    import numpy as np
+
+    n = vectors.count()
+    x = np.array([r[0] for r in vectors.select(F.transform(unit(F.col(vector)), lambda v: v).alias("v")).sample(min(1.0, 1.2 * sample / max(n, 1)), seed).limit(sample).collect()], float)
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)] if len(x) else np.zeros((0, 0))
+    for _ in range(10 if len(x) else 0):
+        near = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-300), centres)
+    return centres, vectors.select(key, vector, nearest_cells(F.col(vector), centres, 1)[0].alias("cell"))
+
+
+def nearest_cells(vector: Column, centres, n: int) -> Column:
+    """The ``n`` cells whose centres are nearest; one cell, 0, where there are no centres."""
+    if not len(centres):
+        return F.array(F.lit(0))
+    table = F.from_json(F.lit(str(centres.tolist())), "array<array<double>>")
+    near = F.transform(table, lambda c, i: F.struct((-dot(c, vector)).alias("far"), i.alias("cell")))
+    return F.transform(F.slice(F.array_sort(near), 1, n), lambda x: x["cell"])
+
+
+def search_cells(centres, index: DataFrame, query: list[float], k: int = 10, probes: int = 8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Nearest vectors among those of the ``probes`` cells nearest to the query: approximate."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    cells = index.sparkSession.range(1).select(nearest_cells(q, centres, probes)).first()[0]
+    return nearest(index.filter(F.col("cell").isin(cells)), query, k, key=key, vector=vector)
+
+
+def embed_missing(docs: DataFrame, known: DataFrame, embed=None, now: Column | None = None, hours: int = 24) -> DataFrame:
+    """Rows (text_key, embedding, made_at) for all texts of ``docs``: those that are known
+    and no older than ``hours``, and the others embedded anew, each text once."""
+    now = F.current_timestamp() if now is None else now
+    texts = docs.select(F.substring(F.sha2(F.col("content").cast("binary"), 256), 1, 16).alias("text_key"), "content")
+    fresh = known.filter(F.col("made_at") >= now - F.expr(f"interval {hours} hours")).join(texts.select("text_key"), "text_key", "left_semi")
+    todo = texts.join(fresh.select("text_key"), "text_key", "left_anti").groupBy("text_key").agg(F.min("content").alias("content"))
+    return fresh.select("text_key", "embedding", "made_at").unionByName(todo.select("text_key", (embed or hashed_embedding)(F.col("content")).alias("embedding"), now.alias("made_at")))
+
+
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Unit vector of hashed trigram counts: an embedder that needs no model."""
     from gleaner.functions.text import ngrams
@@ -92,6 +153,15 @@ def fuse(lexical: DataFrame, semantic: DataFrame, limit: int = 20, k: int = 60,
         F.col("combined_score") >= rrf_min_score).orderBy(F.desc("combined_score"), "doc_id").limit(limit)
 
 
+def explain(found: DataFrame, lexical_weight: float = 0.6, semantic_weight: float = 0.4) -> DataFrame:
+    """Fused rows with ``explanation``: their scores, ranks and weights."""
+    scores = F.struct(F.col("lexical_score").alias("ngram"), F.col("semantic_score").alias("semantic"), F.col("combined_score").alias("combined"))
+    ranks = F.struct(F.col("lexical_rank").alias("ngram"), F.col("semantic_rank").alias("semantic"))
+    weights = F.struct(F.lit(lexical_weight).alias("ngram"), F.lit(semantic_weight).alias("semantic"))
+    signals = [F.col(c) for c in ("matched_ngrams", "has_symbol_match") if c in found.columns]
+    return found.withColumn("explanation", F.struct(scores.alias("scores"), ranks.alias("ranks"), weights.alias("weights"), *signals))
+
+
 # -- clicks -------------------------------------------------------------------------
 
 
@@ -165,3 +235,13 @@ def rank(df: DataFrame, model=None, key: str = "doc_id") -> DataFrame:
 
 def feature_importance(model) -> dict[str, float]:
     return dict(zip(FEATURES, model.stages[-1].featureImportances.toArray().tolist()))
+
+
+def save_ranker(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_ranker(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)

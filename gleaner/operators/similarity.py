@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -34,6 +35,20 @@ def ring_shard(df: DataFrame, key: str, shards: int, vnodes: int = 150) -> DataF
     return df.withColumn("shard", F.get(owners, at).cast("int"))
 
 
+def rebalanced(df: DataFrame, key: str, shards: int, new_shards: int) -> DataFrame:
+    """Rows (key, shard, new_shard) that move when the ring's number of shards changes."""
+    was = ring_shard(df.select(key), key, shards).withColumnRenamed("shard", "_was")
+    return ring_shard(was, key, new_shards).filter("_was <> shard").select(key, F.col("_was").alias("shard"), F.col("shard").alias("new_shard"))
+
+
+def neighbours(edges: DataFrame, least: float = 0.0) -> DataFrame:
+    """Rows (node, neighbour, similarity, rank): each node's neighbours, most alike first."""
+    near = edges.filter(F.col("similarity") > least)
+    both = near.select(F.col("a").alias("node"), F.col("b").alias("neighbour"), "similarity").unionByName(
+        near.select(F.col("b").alias("node"), F.col("a").alias("neighbour"), "similarity"))
+    return both.withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy(F.desc("similarity"), "neighbour")))
+
+
 def seeded_hash(value: Column, seed: Column) -> Column:
     """The first four bytes, little-endian, of SHA-256 of ``seed:value``."""
     hexa = F.sha2(F.concat_ws(":", seed.cast("string"), value).cast("binary"), 256)

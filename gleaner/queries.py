@@ -13,6 +13,7 @@ from gleaner.operators import analysis as A
 from gleaner.operators import dependencies as D
 from gleaner.operators import index as I
 from gleaner.operators import intel as X
+from gleaner.operators import logs as L
 from gleaner.operators import monitors as K
 from gleaner.operators import ranking as R
 from gleaner.operators import similarity as S
@@ -945,6 +946,73 @@ def s11_ingest_order(spark, d):
     return S.ingest_order(s10_spanning_tree(spark, d))
 
 
+# -- vectors, logs and neighbours ------------------------------------------------------------------
+
+
+@query("""SELECT vec_id, embedding[1]::DOUBLE AS first FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id % 7 <> 1
+UNION ALL SELECT vec_id, 0.5::DOUBLE FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id % 7 = 1 UNION ALL SELECT -1, 0.5::DOUBLE""")
+def v5_vector_updates(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    half = F.array_repeat(F.lit(0.5), 64)
+    new = v.filter("vec_id % 7 = 1 and vec_id % 3 <> 0").select("vec_id", half.alias("embedding")).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("vec_id"), half.alias("embedding")))
+    return R.put_vectors(R.remove_vectors(v, v.filter("vec_id % 3 = 0")), new).select("vec_id", F.col("embedding")[0].alias("first"))
+
+
+@query()
+def v4_cells(spark, d):
+    """Neighbours of a vector by the cell index: approximate, so without SQL."""
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    centres, index = R.cell_index(v, cells=16)
+    return R.search_cells(centres, index, list(v.orderBy("vec_id").first()["embedding"]), 10)
+
+
+@query("""WITH l AS (SELECT p_partkey AS doc_id, p_retailprice AS score FROM part ORDER BY 2 DESC, 1 LIMIT 40), s AS (SELECT p_partkey AS doc_id, p_size::DOUBLE AS score FROM part ORDER BY 2 DESC, 1 LIMIT 40),
+a AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM l), b AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM s)
+SELECT doc_id, a.r::INT AS ngram_rank, b.score AS semantic_score, 0.4::DOUBLE AS semantic_weight FROM a FULL JOIN b USING (doc_id) ORDER BY round(coalesce(0.6 / (60 + a.r), 0) + coalesce(0.4 / (60 + b.r), 0), 9) DESC, doc_id LIMIT 20""")
+def v10_explain(spark, d):
+    return R.explain(v9_fusion(spark, d)).select(
+        "doc_id", F.col("explanation.ranks.ngram").alias("ngram_rank"), F.col("explanation.scores.semantic").alias("semantic_score"), F.col("explanation.weights.semantic").alias("semantic_weight"))
+
+
+@query("""WITH a AS (SELECT md5(concat('shard-', s, '-', v)) AS node, s AS shard FROM range(8) t(s), range(150) u(v)), b AS (SELECT md5(concat('shard-', s, '-', v)) AS node, s AS shard FROM range(9) t(s), range(150) u(v)),
+k AS (SELECT doc_id, md5(doc_id::VARCHAR) AS h FROM documents), x AS (SELECT doc_id, h, coalesce(shard, (SELECT arg_min(shard, node) FROM a))::INT AS shard FROM k ASOF LEFT JOIN a ON node >= h),
+y AS (SELECT doc_id, x.shard, coalesce(b.shard, (SELECT arg_min(shard, node) FROM b))::INT AS new_shard FROM x ASOF LEFT JOIN b ON node >= h)
+SELECT doc_id, shard, new_shard FROM y WHERE shard <> new_shard""")
+def s1_rebalance(spark, d):
+    return S.rebalanced(table(spark, d, "documents"), "doc_id", 8, 9)
+
+
+@query("WITH e AS (" + _SQL["s8_similarity_graph"] + """), n AS (SELECT a AS node, b AS neighbour, similarity FROM e UNION ALL SELECT b, a, similarity FROM e)
+SELECT *, (row_number() OVER (PARTITION BY node ORDER BY similarity DESC, neighbour))::INT AS rank FROM n""")
+def s12_neighbours(spark, d):
+    return S.neighbours(s8_similarity_graph(spark, d))
+
+
+LOG_SQL = """log AS (SELECT p, user_id, event_type, (row_number() OVER (PARTITION BY p ORDER BY event_id) - 1)::BIGINT AS o
+  FROM (SELECT *, (concat('0x', substr(md5(user_id::VARCHAR), 1, 8))::BIGINT % 8)::INT AS p FROM events))"""
+
+
+def _topic(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("key"), "event_type")
+    return L.numbered(e, ["event_id"], 8)
+
+
+@query(f"WITH {LOG_SQL} SELECT user_id::VARCHAR AS key, event_type, p AS partition, o AS \"offset\" FROM log WHERE p = 3 AND o >= 50 AND o < 150")
+def k8_log_range(spark, d):
+    return L.read_range(_topic(spark, d), 3, 50).select("key", "event_type", "partition", "offset")
+
+
+@query(f"WITH {LOG_SQL} SELECT p AS partition, count(*) AS messages, max(o) + 1 AS end_offset FROM log GROUP BY 1")
+def k10_log_ends(spark, d):
+    return L.log_ends(_topic(spark, d))
+
+
+@query(f"WITH {LOG_SQL} SELECT user_id::VARCHAR AS key, p AS partition, o AS \"offset\" FROM log WHERE o >= CASE WHEN p < 4 THEN p * 10 ELSE 0 END AND o < CASE WHEN p < 4 THEN p * 10 ELSE 0 END + 100")
+def k12_poll(spark, d):
+    committed = spark.range(4).select(F.col("id").cast("int").alias("partition"), (F.col("id") * 10).alias("offset"))
+    return L.poll(_topic(spark, d), committed).select("key", "partition", "offset")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -124,6 +124,43 @@ def test_vectors(spark):
     assert [r.vec_id for r in ranking.nearest(d, [1.0, 0.0], 2).collect()] == ["d1", "d3"]
 
 
+def test_vector_store(spark, tmp_path):
+    rows = [(i, [float(i % 7), float(i % 5) + 1, float(i % 3)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ranking.save_vectors(v, str(tmp_path / "v"))
+    v = ranking.load_vectors(spark, str(tmp_path / "v"))
+    centres, index = ranking.cell_index(v, cells=4)
+    assert index.count() == 60 and index.filter("cell is null").count() == 0
+    exact = ranking.nearest(v, [3.0, 2.0, 1.0], 5).collect()
+    assert ranking.search_cells(centres, index, [3.0, 2.0, 1.0], 5, probes=4).collect() == exact  # all cells: exact
+    docs = spark.createDataFrame([("a b",), ("a b",), ("c",)], "content string")
+    none = spark.createDataFrame([], "text_key string, embedding array<double>, made_at timestamp")
+    first = ranking.embed_missing(docs, none, now=F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    assert first.count() == 2
+    later = lambda h: ranking.embed_missing(docs, first, now=F.lit(f"2024-01-0{1 + h // 24} {h % 24:02d}:00:00").cast("timestamp"))
+    assert later(23).filter("made_at = '2024-01-01 00:00:00'").count() == 2 and later(30).filter("made_at = '2024-01-01 00:00:00'").count() == 0
+
+
+def test_monitor_rules(spark):
+    store = monitors.RuleStore()
+    store.add(monitors.Rule("mine", "x", language="go", file_pattern=r".*\.go"))
+    assert store.stats() == {"total_rules": 6, "active_rules": 6} and store.remove("mine") and not store.remove("mine")
+    files = spark.createDataFrame([("a.py", "python", "TODO: a\né = eval(b)\nTODO: c")], "file_path string, language string, content string")
+    got = monitors.scan(files, store)
+    assert sorted((r.rule_id, r.line, r.text) for r in got.collect()) == [("qual-001", 1, "TODO:"), ("qual-001", 3, "TODO:"), ("sec-002", 2, "eval(")]
+    assert monitors.scan(files, store, history=got).count() == 0
+    assert '"color":"#ff6600"' in monitors.webhook_payloads(got).filter("rule_id = 'sec-002'").first().payload
+
+
+def test_symbols_of_long_files(spark):
+    text = "\n".join(f"function f{i}a(x, é) {{ return {i} }}" for i in range(3000))
+    f = spark.createDataFrame([("a.js", "JS", text)], "file_path string, language string, content string")
+    got = {r.name: (r.line, r.signature) for r in intel.extract_symbols(f).collect()}
+    assert got == {f"f{i}a": (i + 1, f"function f{i}a(x, é)") for i in range(3000)}
+    m = intel.structural_search(f, "function :[n](:[a])").filter("line = 2900").first()
+    assert text[m.start: m.end] == m.match == "function f2899a(x, é)"
+
+
 def test_cache():
     now = [0.0]
     c = monitors.LruCache(3, 10, lambda: now[0])
