@@ -440,7 +440,7 @@ def t10_references_of(spark, d):
 
 @query(f"WITH {SYMBOLS_SQL} SELECT file_path, line, name, kind FROM symbols WHERE contains(lower(name), 'name') ORDER BY file_path, line, name, kind LIMIT 20")
 def t11_symbol_search(spark, d):
-    return X.search_symbols(X.symbols(code(spark, d)), "Name")
+    return X.search_symbols(X.symbols(code(spark, d)), "Name").select("file_path", "line", "name", "kind")
 
 
 @query(f"WITH {SYMBOLS_SQL}, c AS (SELECT DISTINCT name, kind FROM symbols WHERE contains(lower(name), 'it')) SELECT name, kind FROM c ORDER BY NOT starts_with(lower(name), 'it'), length(name), name, kind LIMIT 20")
