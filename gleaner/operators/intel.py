@@ -256,7 +256,8 @@ def symbols(files: DataFrame) -> DataFrame:
         def one(kind, p):
             groups = [F.nullif(F.regexp_extract("text", p, i), F.lit("")) for i in range(1, re.compile(p).groups + 1)]
             at = F.regexp_instr("text", F.lit(p))
-            return F.struct(F.coalesce(*groups).alias("name"), F.lit(kind).alias("kind"), at.alias("column"), (at + F.length(F.regexp_extract("text", p, 0))).alias("end_column"))
+            found = F.struct(F.coalesce(*groups).alias("name"), F.lit(kind).alias("kind"), at.alias("column"), (at + F.length(F.regexp_extract("text", p, 0))).alias("end_column"))
+            return F.when(F.rlike("text", F.lit(p)), found)  # most lines have none and are searched once
 
         return F.filter(F.array(*[one(k, p) for k, p in LINE_PATTERNS[lang].items()]), lambda s: s["name"].isNotNull())
 
@@ -365,8 +366,11 @@ KIND_ORDER = ["function", "class", "struct", "interface", "type", "method", "var
 
 
 def hover(points: DataFrame, defs: DataFrame) -> DataFrame:
-    """The symbol at each (file_path, line, at_column), with what is shown there."""
-    met = points.join(defs, ["file_path", "line"]).filter(F.col("at_column").between(F.col("column"), F.col("end_column")))
+    """The symbol at each (file_path, line, at_column), with what is shown there.
+
+    The join is merged: what Spark takes for the size of ``defs`` is that of the files
+    before they are parted into lines, and such a table would go through the driver."""
+    met = points.join(defs.hint("merge"), ["file_path", "line"]).filter(F.col("at_column").between(F.col("column"), F.col("end_column")))
     order = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind"))
     first = met.groupBy("file_path", "line", "at_column").agg(F.min_by(F.struct("name", "kind", "signature"), order).alias("x")).select("file_path", "line", "at_column", "x.*")
     return first.withColumn("contents", F.concat(F.lit("**"), "kind", F.lit("** `"), "name", F.lit("`\n\n"), "signature"))
