@@ -1,14 +1,26 @@
 """Plans that hold for tables that are much larger than Spark takes them for."""
 
+import hashlib
+import re
+
 import pytest
 
+from gleaner import queries as Q
 from gleaner.operators import intel as X
+from gleaner.operators import similarity as S
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def hashed_once(df):
+    """Whether rows are grouped by key and shingle below each aggregate of hashes."""
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    hashes = len(re.findall(r"Aggregate \[repo#\d+\], \[[^\n]*min\(", text))
+    return hashes > 0 and len(re.findall(r"Aggregate \[repo#\d+, shingle#\d+\], \[repo#\d+, shingle#\d+, count", text)) == hashes
+
+
 @pytest.fixture()
 def files(spark, tmp_path):
     rows = [(f"f{i}.py", "python", "class A:\n    x = 1\n    def f(self):\n        y = A") for i in range(3)] + [("g.js", "javascript", "let zz = A;\nfunction x(y) {}")]
@@ -23,3 +35,21 @@ def test_hover_sends_no_table_through_the_driver(files):
     assert sorted((r.file_path, r.line, r.name, r.kind) for r in got.collect()) == sorted(
         [(f"f{i}.py", line, name, kind) for i in range(3) for line, name, kind in ((1, "A", "class"), (2, "x", "variable"), (3, "f", "function"), (4, "y", "variable"))]
         + [("g.js", 1, "zz", "variable"), ("g.js", 2, "x", "function")])
+
+
+def least(shingles, i):
+    return min(int.from_bytes(hashlib.sha256(f"{i}:{s}".encode()).digest()[:4], "little") for s in shingles)
+
+
+def test_minhash_hashes_a_shingle_of_a_key_once(spark):
+    rows = [("a", w) for w in ["x", "y", "x", "x", "z"]] + [("b", "y"), ("b", "y")]
+    sh = spark.createDataFrame(rows, "repo string, shingle string")
+    for given in (sh, sh.distinct()):
+        got = S.minhash(given, "repo", 4)
+        assert hashed_once(got)
+        assert {r.repo: r.signature for r in got.collect()} == {k: [least({w for x, w in rows if x == k}, i) for i in range(4)] for k in "ab"}
+
+
+@pytest.mark.parametrize("name", ["s6_minhash"])
+def test_queries_hash_a_shingle_of_a_repository_once(spark, name):
+    assert hashed_once(Q.queries()[name](spark, "/root/testdata/sf0.001"))
