@@ -50,6 +50,6 @@ def test_minhash_hashes_a_shingle_of_a_key_once(spark):
         assert {r.repo: r.signature for r in got.collect()} == {k: [least({w for x, w in rows if x == k}, i) for i in range(4)] for k in "ab"}
 
 
-@pytest.mark.parametrize("name", ["s6_minhash", "s7_estimate"])
+@pytest.mark.parametrize("name", ["s6_minhash", "s7_estimate", "s9_lsh"])
 def test_queries_hash_a_shingle_of_a_repository_once(spark, name):
     assert hashed_once(Q.queries()[name](spark, "/root/testdata/sf0.001"))
