@@ -53,3 +53,24 @@ def test_minhash_hashes_a_shingle_of_a_key_once(spark):
 @pytest.mark.parametrize("name", ["s6_minhash", "s7_estimate", "s9_lsh"])
 def test_queries_hash_a_shingle_of_a_repository_once(spark, name):
     assert hashed_once(Q.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_definitions_send_no_table_through_the_driver(files):
+    got = X.go_to_definition(X.references(files).select("file_path", "line", "name").distinct(), X.symbols(files))
+    assert "Broadcast" not in plan(got)
+    want = [(f"f{i}.py", line, name, f"f{i}.py", at, kind) for i in range(3) for line, name, at, kind in (
+        (1, "A", 1, "class"), (2, "x", 2, "variable"), (3, "f", 3, "function"), (4, "A", 1, "class"), (4, "y", 4, "variable"))]
+    want += [("g.js", 1, "zz", "g.js", 1, "variable"), ("g.js", 2, "x", "g.js", 2, "function")]
+    want += [("g.js", line, name, f"f{i}.py", at, kind) for i in range(3) for line, name, at, kind in ((1, "A", 1, "class"), (2, "y", 4, "variable"))]
+    assert sorted(tuple(r) for r in got.select("file_path", "line", "name", "def_file", "def_line", "kind").collect()) == sorted(want)
+
+
+def test_a_common_name_is_dealt_over_tasks(spark):
+    refs = spark.range(300).selectExpr("concat('r', id) AS file_path", "id AS line", "CASE WHEN id < 290 THEN 'x' WHEN id < 295 THEN 'rare' ELSE 'none' END AS name")
+    defs = spark.range(200).selectExpr("CASE WHEN id < 195 THEN 'x' ELSE 'rare' END AS name", "concat('d', id) AS def_file", "id AS def_line")
+    got = X._by_name(refs, defs, 30, 20)
+    assert got.filter("name = 'x'").select("_x", "_y").distinct().count() == 10 * 10
+    assert got.groupBy("_x", "_y").count().agg({"count": "max"}).first()[0] < 3 * 30 * 20
+    pairs = {(r.line, r.def_line) for r in got.collect()}
+    assert pairs == {(a, b) for a in range(290) for b in range(195)} | {(a, b) for a in range(290, 295) for b in range(195, 200)}
+    assert got.count() == len(pairs)
