@@ -5,7 +5,10 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from gleaner import queries as Q
+from gleaner.functions import text as T
 from gleaner.operators import intel as X
 from gleaner.operators import similarity as S
 
@@ -74,3 +77,37 @@ def test_a_common_name_is_dealt_over_tasks(spark):
     pairs = {(r.line, r.def_line) for r in got.collect()}
     assert pairs == {(a, b) for a in range(290) for b in range(195)} | {(a, b) for a in range(290, 295) for b in range(195, 200)}
     assert got.count() == len(pairs)
+
+
+def hash_plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_hash_is_compiled_once_and_not_once_a_seed(spark):
+    sh = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), (None, "z"), ("c", None)], "repo string, shingle string")
+    got = S.minhash(sh, "repo", 24)
+    assert hash_plan(got).count("sha2(") <= 4  # one, which the four swapped bytes share; never one a seed
+    want = {"a": "xy", "b": "y", None: "z"}
+    rows = {r.repo: r.signature for r in got.collect()}
+    assert {k: rows[k] for k in want} == {k: [least(x, i) for i in range(24)] for k, x in want.items()} and set(rows) == {*want, "c"}
+
+
+def test_a_line_of_a_repository_is_parted_once(spark, monkeypatch):
+    texts = [("a", "fooBar_baz\nimport os\n"), ("a", "import os\nx = 1"), ("b", "import os\n\nfoo\nBar_\n_Baz\r\n= é ok\u0085y, 日本"), ("b", None), ("b", ""), ("c", "\n")]
+    files = spark.createDataFrame(texts, "repo string, content string")
+    monkeypatch.setattr(Q, "code", lambda *_, **__: files)
+    got = Q._repo_shingles(spark, "")
+    whole = files.select("repo", F.explode(T.code_words(F.col("content"))).alias("shingle")).distinct()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+    assert re.search(r"Generate explode\(regexp_extract_all[^\n]*\n[^\n]*Aggregate \[repo#\d+, line#\d+\]", hash_plan(got))
+
+
+def test_pairs_of_signatures_need_few_branches(spark):
+    assert hash_plan(Q.queries()["s7_estimate"](spark, "/root/testdata/sf0.001")).count("Relation [") <= 6
+    rows = [("a", [1, 2, 3, 4]), ("b", [1, 2, 3, 4]), ("c", [1, 2, 9, 9]), ("d", [7, 7, 7, 7]), ("e", [1, 2, 9, 9]), ("f", [None, 2, 3, None]), ("g", [None, 2, 3, None])]
+    sigs = spark.createDataFrame(rows, "repo string, signature array<bigint>")
+    alike = lambda x, y: 1.0 if x == y else sum(p == q is not None for p, q in zip(x, y)) / 4
+    want = {(p, q, alike(x, y)) for p, x in rows for q, y in rows if p < q and alike(x, y) >= 0.5}
+    assert {tuple(r) for r in S.similarity_edges(sigs, "repo", 0.5).collect()} == want
+    assert {tuple(r) for r in S.similarity_edges(sigs, "repo", 0.5, copies=False).collect()} == {x for x in want if x[2] < 1}
+    assert {tuple(r) for r in S.similarity_edges(sigs, "repo", 1.5).collect()} == set()
