@@ -111,3 +111,9 @@ def test_pairs_of_signatures_need_few_branches(spark):
     assert {tuple(r) for r in S.similarity_edges(sigs, "repo", 0.5).collect()} == want
     assert {tuple(r) for r in S.similarity_edges(sigs, "repo", 0.5, copies=False).collect()} == {x for x in want if x[2] < 1}
     assert {tuple(r) for r in S.similarity_edges(sigs, "repo", 1.5).collect()} == set()
+
+
+def test_candidates_hash_rows_of_seeds_of_lines_parted_once(spark):
+    text = hash_plan(Q.queries()["s9_lsh"](spark, "/root/testdata/sf0.001"))
+    assert text.count("sha2(") <= 2 * 4  # two sides of the join
+    assert len(re.findall(r"Generate explode\(regexp_extract_all[^\n]*\n[^\n]*Aggregate \[repo#\d+, line#\d+\]", text)) == 2
