@@ -36,6 +36,10 @@ CACHE_PIECES = 800_000
 #: How the tokenizer parts text before it merges: letters, single digits, other marks.
 ASCII_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9\s]+")
 LETTER_PIECES = re.compile(r"[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
+#: The same for texts whose characters beyond ASCII are all letters, by ranges.
+PLAIN_PIECES = re.compile(r"[a-zA-Z\x80-\U0010ffff]+|[0-9]|[^a-zA-Z0-9\x80-\U0010ffff\s]+")
+#: Characters that are not lower-cased one by one in the same way everywhere.
+WIDE = re.compile("[^\x00-\u017f]")
 
 
 class PieceIds(dict):
@@ -46,6 +50,8 @@ class PieceIds(dict):
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.by_pieces = parts_by_class(self.tokenizer)
+        self.merge = self.tokenizer.model.tokenize
+        self.by_merges = self.by_pieces and merges_bytes(self)
 
     def encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -54,11 +60,19 @@ class PieceIds(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        out = self.encode(piece)
+        out = self.merged(piece) if self.by_merges and simple(piece) else self.encode(piece)
         if len(piece) <= 64:
             self[piece] = out
         return out
 
+    def merged(self, piece: str) -> bytes:
+        """The ids of one simple piece by the model alone: the tokenizer would only
+        lower-case it and write its bytes as characters."""
+        low = piece.lower()
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(BYTE_CHARS)
+        return b"".join([x.id.to_bytes(4, "little") for x in self.merge(low)])
+
     def text(self, text: str) -> bytes:
         """As the tokenizer encodes the whole text.
 
@@ -75,7 +89,10 @@ class PieceIds(dict):
         return b"".join([self.pieces(w) if plain(w) else self[w] for w in text.split()])
 
     def pieces(self, text: str) -> bytes:
-        found = ASCII_PIECES.findall(text.lower()) if text.isascii() else LETTER_PIECES.findall(text)
+        if text.isascii():
+            found = ASCII_PIECES.findall(text.lower())
+        else:
+            found = PLAIN_PIECES.findall(text if WIDE.search(text) else text.lower())
         return b"".join(map(self.__getitem__, found))
 
 
@@ -92,10 +109,13 @@ def parts_by_class(tokenizer) -> bool:
     return same(PROBE, [low]) and same(PROBE, LETTER_PIECES.findall(low)) and all(same(w, LETTER_PIECES.findall(w.lower())) for w in PROBE.split())
 
 
-def plain(text: str) -> bool:
-    if "'" in text or "<|" in text:
-        return False
-    return text.isascii() or all(c < "\x80" or only_letters(c) for c in set(text))
+def byte_chars() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: b for b in kept} | {b: 0x100 + n for n, b in enumerate(b for b in range(0x100) if b not in kept)}
+
+
+BYTE_CHARS = byte_chars()
 
 
 def only_letters(c: str) -> bool:
@@ -103,6 +123,32 @@ def only_letters(c: str) -> bool:
     return c.isalpha() and unicodedata.normalize("NFC", c.lower()).isalpha()
 
 
+#: Printable ASCII and composed Latin letters, which all versions of Unicode class and
+#: lower-case alike; what needs more goes to the tokenizer.
+SIMPLE_PIECE = re.compile(r"[!-&(-~]+|[A-Za-z%s]+" % "".join(c for c in map(chr, range(0x80, 0x180)) if only_letters(c)))
+
+
+def simple(piece: str) -> bool:
+    return SIMPLE_PIECE.fullmatch(piece) is not None and "<|" not in piece
+
+
+def merges_bytes(ids: PieceIds) -> bool:
+    """Whether the model alone gives the tokenizer's ids for every simple character,
+    alone and between its like, and for the probe's pieces."""
+    chars = [c for c in map(chr, range(0x21, 0x180)) if simple(c)]
+    pieces = [w for c in chars for w in (c, f"x{c}y" if c.isalpha() else f"%{c}-") if simple(w) and LETTER_PIECES.fullmatch(w)]
+    try:
+        return all(ids.merged(w) == ids.encode(w) for w in pieces + [w for w in LETTER_PIECES.findall(PROBE) if simple(w)])
+    except Exception:  # a model that can't be asked for single pieces
+        return False
+
+
+def plain(text: str) -> bool:
+    if "'" in text or "<|" in text:
+        return False
+    return text.isascii() or all(c < "\x80" or only_letters(c) for c in set(text))
+
+
 def token_pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text",
                  capacity: int = CAPACITY, end_id: int = 0, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Rows (key, piece, start, length, ids_crc32): each text's ids and ``end_id``,

@@ -269,6 +269,21 @@ def test_piece_ids_equal_the_tokenizer():
         assert ids.text(t) == ids.encode(t), t
 
 
+def test_unseen_pieces_are_merged_without_the_tokenizer():
+    ids = packing.PieceIds(packing.default_tokenizer())
+    whole, asked = ids.encode, []
+    ids.encode = lambda x: asked.append(x) or whole(x)
+    texts = ["Thntwh ndreea$$$ ou%%% ERTIONTH, 1234 x_y", "Cióngañ ÓÍMI, straße ŽLUŤOUČKÝ elñgacoar. Ab"]
+    assert [ids.text(t) for t in texts] == [whole(t) for t in texts] and not asked
+    odd = ["don't \x00\x01\x7f <|endoftext|>", "ΣΑΣ İI \u0149a e\u0301 ½ ªº ǅ ǆ ﬁ ĳ", "a\u00adb µm ſt \u00a0x"]
+    assert [ids.text(t) for t in odd] == [whole(t) for t in odd] and asked
+    rng = random.Random(5)
+    chars = [chr(c) for c in range(1, 0x250)] + [*"aeiou thnrs.,%"] * 20
+    for _ in range(4000):
+        t = "".join(rng.choice(chars) for _ in range(rng.randint(0, 20)))
+        assert ids.text(t) == whole(t), t
+
+
 def test_packing_awkward(spark, awkward, empty):
     got = packing.pack_documents(awkward, packing.default_tokenizer()).collect()
     assert {r.doc_id for r in got} == {1, 2, None, 4, 5} and sum(r.length for r in got if r.doc_id in (1, 2)) == 2
