@@ -117,3 +117,28 @@ def test_candidates_hash_rows_of_seeds_of_lines_parted_once(spark):
     text = hash_plan(Q.queries()["s9_lsh"](spark, "/root/testdata/sf0.001"))
     assert text.count("sha2(") <= 2 * 4  # two sides of the join
     assert len(re.findall(r"Generate explode\(regexp_extract_all[^\n]*\n[^\n]*Aggregate \[repo#\d+, line#\d+\]", text)) == 2
+
+
+def test_candidates_part_lines_in_one_pass_and_shuffle_no_repeated_pairs(spark):
+    text = hash_plan(Q.queries()["s9_lsh"](spark, "/root/testdata/sf0.001"))
+    assert "regexp_replace" not in text
+    assert not re.search(r"Aggregate \[repo#\d+, shingle#\d+\], \[repo#\d+, shingle#\d+\]", text)  # words are made distinct once, where they are counted
+    assert not re.search(r"Aggregate \[a#\d+, b#\d+\]", text)
+    rows = [("a", [1, 2, 3, 4, 5, 6]), ("b", [1, 2, 3, 4, 9, 9]), ("c", [7, 7, 3, 4, 9, 9]), ("d", [1, 2, 3, 4, 5, 6]), ("e", [2, 1, 4, 3, 6, 5]),
+            ("f", [None, 2, 8, 8, 8, 8]), ("g", [None, 2, 8, 8, 0, 0]), ("h", [0, 0, 0, 0, 5, 6])]
+    sigs = spark.createDataFrame(rows, "repo string, signature array<bigint>")
+    got = [tuple(r) for r in S.lsh_candidates(sigs, "repo", 3).collect()]
+    kept = {}
+    for k, x in rows:
+        kept.setdefault(tuple(x), k)
+    want = {(p, q) for x, p in kept.items() for y, q in kept.items() if p < q and any(x[i: i + 2] == y[i: i + 2] for i in (0, 2, 4))}
+    assert sorted(got) == sorted(want) == [("a", "b"), ("a", "c"), ("a", "h"), ("b", "c"), ("f", "g")]
+
+
+def test_code_is_parted_as_by_three_patterns(spark):
+    three = F.regexp_extract_all(F.regexp_replace(F.regexp_replace("t", "([a-z])([A-Z])", "$1 $2"), "_+", " "), F.lit(r"(?U)[a-zA-Z0-9]+|[^\s\w]"), F.lit(0))
+    texts = ["getHTTPResponse2xx_A1bC__d9E", "aBcDeF", "A", "a1B2c3", "__", "_x_", "x\u0085y\xa0z", "é\u0301aB²Ⅷ日本😀ǅ", "\x00\x01\x1c\x7f", "a\r\n\tb", "a1" * 50000, "aB" * 5000, "Ab1" * 5000, "", None]
+    texts += ["a" + chr(i) + "B" for i in range(1, 0x3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(~T.code_words(F.col("t")).eqNullSafe(three)).count() == 0
+    assert "regexp_replace" not in hash_plan(df.select(T.code_words(F.col("t")).alias("w")))
